@@ -210,9 +210,20 @@ def _rank_sum(rows: str, score: str) -> str:
 
 # ---- events and timings -------------------------------------------------------------------
 ORACLES["keystroke_events"] = f"""with {EV}
-  select session_id, pos, kind, key_code, {r("t", "t")} from ev where lane = 'key'"""
+  select session_id, pos, kind, key_code,
+         {r("(epoch_us(event_time) // 1000) / 1000.0::double", "t")}
+  from ev where lane = 'key'"""
 ORACLES["mouse_events"] = f"""with {EV}
-  select session_id, pos, kind, x, y, button, {r("t", "t")} from ev where lane <> 'key'"""
+  select session_id, pos, kind, x, y, button,
+         {r("(epoch_us(event_time) // 1000) / 1000.0::double", "t")}
+  from ev where lane <> 'key'"""
+ORACLES["device_record"] = f"""
+  select event_id, {_list(RESOLUTIONS)}[cast(props->>'$.k' as int) % 4 + 1] as screen_resolution,
+         'en-US' as browser_language,
+         cast((user_id % 25 - 12) * 60 as int) as timezone_offset, 'sample' as platform,
+         regexp_matches({_list(USER_AGENTS)}[event_id % 6 + 1], '(?i)Mobile|Android|iPhone')
+           as is_mobile
+  from events"""
 ORACLES["keystroke_hold"] = f"""with {TIMED}
   select session_id, pos, key_code, {r("hold", "hold")} from timed where hold is not null"""
 for _name in ("interkey", "velocity", "acceleration"):

@@ -6,10 +6,13 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 from keystride import schema as S
+from keystride.plans.session_features import activity_features
 from keystride.plans.vectors import feature_pipeline
 from keystride.session import materialise
 from keystride.sources.feature_store import write_version
 
+RAW_VIEW = "raw_behavioral_data"
+
 
 @dataclass
 class FeatureBuild:
@@ -29,6 +32,17 @@ def vectorise(activity: DataFrame, names: list[str] | None = None) -> FeatureBui
     return FeatureBuild(model, model.transform(table))
 
 
+def register_raw(raw: DataFrame) -> str:
+    """Make interaction rows readable in SQL; returns the view's name."""
+    raw.createOrReplaceTempView(RAW_VIEW)
+    return RAW_VIEW
+
+
+def process_raw(raw: DataFrame, root: str, version: str, written_at: str) -> FeatureBuild:
+    """From interaction rows (schema.RAW) to a stored feature version."""
+    return build_and_store(activity_features(raw), root, version, written_at)
+
+
 def build_and_store(
     activity: DataFrame, root: str, version: str, written_at: str
 ) -> FeatureBuild:

@@ -38,10 +38,14 @@ FACTORS = 3
 def detector_risk(scored: DataFrame, raw: str = "raw_score") -> DataFrame:
     """Risk and confidence from a raw isolation score in [-1, 0)."""
     normal = sigmoid(F.col(raw))
-    return scored.withColumns({
-        "risk_score": 1 - normal,
-        "confidence": F.abs(normal - 0.5) * 2,
-    })
+    return scored.withColumn("risk_score", 1 - normal).withColumn(
+        "confidence", confidence_of("risk_score")
+    )
+
+
+def confidence_of(risk: str) -> Column:
+    """Distance from an undecided score, scaled to [0, 1]."""
+    return F.abs(F.col(risk) - 0.5) * 2
 
 
 def ensemble_risk(iforest: Column, forest: Column | None = None) -> Column:

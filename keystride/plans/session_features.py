@@ -108,7 +108,8 @@ def activity_features(raw: DataFrame, by: tuple = ("session_id",)) -> DataFrame:
     """The activity aggregate over interaction rows; sample standard deviations.
 
     Distinct click positions are counted on their own, over click rows only: beside the
-    percentile and the sets they would force one digest per position through the shuffle.
+    percentile and the sets, each position would carry a digest of its own. A busy session's
+    clicks spread over all tasks by position before they are counted.
     """
     hour = F.hour("timestamp")
     activity = raw.groupBy(*by).agg(

@@ -17,7 +17,7 @@ from keystride.plans import (
 )
 from keystride.plans import session_features as features
 from keystride.session import materialise, new_path
-from keystride.sources import feature_store, payloads, sample
+from keystride.sources import browser, feature_store, payloads, sample
 from keystride.streaming import ingest
 from keystride.streaming import sessions as session_streams
 
@@ -69,12 +69,19 @@ def _mouse(spark, sf_dir):
 
 @query
 def keystroke_events(spark, sf_dir):
-    return _keys(spark, sf_dir).select("session_id", "pos", "kind", "key_code", "t")
+    return browser.keystrokes(sample.listener_rows(spark, sf_dir, sample.KEY_TYPES))
 
 
 @query
 def mouse_events(spark, sf_dir):
-    return _mouse(spark, sf_dir).select("session_id", "pos", "kind", "x", "y", "button", "t")
+    return browser.mouse(sample.listener_rows(spark, sf_dir, sample.MOUSE_TYPES))
+
+
+@query
+def device_record(spark, sf_dir):
+    return browser.device_info(sample.client_rows(spark, sf_dir), "event_id").select(
+        "event_id", "device_info.*"
+    )
 
 
 @query
@@ -207,7 +214,7 @@ def session_window_batch(spark, sf_dir):
 
 @query
 def mobile_user_agent(spark, sf_dir):
-    return sample.user_agents(spark, sf_dir).select(
+    return sample.client_rows(spark, sf_dir).select(
         "event_id", scalars.is_mobile_agent(F.col("user_agent")).alias("is_mobile")
     )
 
@@ -432,7 +439,8 @@ def session_risk(spark, sf_dir):
     tier = scalars.risk_tier(F.col("risk_score"))
     shares = scoring.contributions(S.SESSION_FEATURES)
     return scored.select(
-        "session_id", "risk_score", tier.alias("tier"),
+        "session_id", "risk_score", scoring.confidence_of("risk_score").alias("confidence"),
+        tier.alias("tier"),
         F.array_join(scoring.factor_list(shares, tier), "; ").alias("factors"),
     )
 

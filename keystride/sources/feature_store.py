@@ -1,6 +1,6 @@
 """Versioned feature store (K3, K4, C6, C7): one Parquet partition per version."""
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystride import schema as S
@@ -9,14 +9,16 @@ METADATA = "version string, timestamp string, feature_count int, row_count bigin
 
 
 def write_version(features: DataFrame, root: str, version: str, written_at: str) -> DataFrame:
-    """Write one version, then its metadata; the rows are counted while they are written."""
-    seen = Observation("feature-store")
-    (
-        features.observe(seen, F.count(F.lit(1)).alias("rows"))
-        .write.mode("overwrite").parquet(f"{root}/features/version={version}")
-    )
-    record = features.sparkSession.createDataFrame(
-        [(version, written_at, len(features.columns), seen.get["rows"])], METADATA
+    """Write one version, then its metadata.
+
+    The rows are counted in the files just written, from their footers: the features are not
+    computed a second time.
+    """
+    spark = features.sparkSession
+    features.write.mode("overwrite").parquet(f"{root}/features/version={version}")
+    rows = read_version(spark, root, version).count()
+    record = spark.createDataFrame(
+        [(version, written_at, len(features.columns), rows)], METADATA
     )
     record.coalesce(1).write.mode("overwrite").json(f"{root}/metadata/version={version}")
     return record

@@ -97,10 +97,37 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def user_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user agent per event."""
+def listener_rows(spark: SparkSession, sf_dir: str, types: list[str]) -> DataFrame:
+    """Events as browser listeners see them: typed character, pixel, milliseconds."""
+    k = _prop()
+    return table(spark, sf_dir, "events").filter(F.col("event_type").isin(types)).select(
+        F.col("user_id").cast("string").alias("session_id"),
+        F.col("event_id").alias("pos"),
+        F.when(F.col("event_type") == "view", "keydown")
+        .when(F.col("event_type") == "click", "keyup")
+        .when(F.col("event_type") == "error", "click")
+        .otherwise("mousemove").alias("type"),
+        F.char(65 + k % 5).alias("key"),
+        (65 + k % 5).alias("keyCode"),
+        (k * 37 % 1920).cast("double").alias("clientX"),
+        (F.floor("value") % 1080).cast("double").alias("clientY"),
+        (k % 3).alias("button"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("at"),
+    )
+
+
+def client_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Screen, locale and user agent per event."""
+    k = _prop()
+    size = F.split(_choice(k % 4, RESOLUTIONS), "x")
     return table(spark, sf_dir, "events").select(
-        "event_id", _choice(F.col("event_id") % 6, USER_AGENTS).alias("user_agent")
+        "event_id",
+        size[0].cast("int").alias("width"),
+        size[1].cast("int").alias("height"),
+        F.lit("en-US").alias("language"),
+        ((F.col("user_id") % 25 - 12) * 60).alias("offset"),
+        F.lit("sample").alias("platform"),
+        _choice(F.col("event_id") % 6, USER_AGENTS).alias("user_agent"),
     )
 
 
