@@ -29,7 +29,9 @@ def read_version(spark: SparkSession, root: str, version: str) -> DataFrame:
 
 
 def metadata(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(METADATA).json(f"{root}/metadata")
+    return spark.read.schema(METADATA).json(f"{root}/metadata").select(
+        "version", "timestamp", "feature_count", "row_count"
+    )
 
 
 def versions(spark: SparkSession, root: str) -> DataFrame:
