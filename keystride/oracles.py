@@ -320,7 +320,7 @@ ORACLES["session_document"] = f"""with {EV}, {DEVICES}
          min(pos) filter (where lane = 'key') as first_key_pos,
          max(pos) filter (where lane <> 'key') as last_mouse_pos,
          any_value(users.screen_resolution) as screen_resolution
-  from ev join users using (session_id) group by session_id, pos // 1000"""
+  from ev join users using (session_id) group by session_id, floor(t / 5)"""
 ORACLES["merge_payloads"] = f"""with {EV}, {DEVICES}
   select session_id, {r("any_value(session_duration)", "session_duration")},
          any_value(users.screen_resolution) as screen_resolution, count(*) as events,
@@ -351,6 +351,9 @@ ORACLES["feature_pipeline"] = f"""with {ACTIVE}
 ORACLES["detector_scale"] = f"""with {FEATURES}
   select {_rounded(S.SESSION_FEATURES)} from scaled"""
 
+ORACLES["model_roundtrip"] = """
+  select distinct cast(user_id as varchar) as session_id, true as same_score from events"""
+
 # ---- scores -------------------------------------------------------------------------------
 ORACLES["risk_tier"] = f"""with {SCORED}
   select event_id, {r("risk_score", "risk_score")}, {TIER} as tier from scored"""

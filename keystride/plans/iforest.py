@@ -115,21 +115,31 @@ def grow_trees(sampled: DataFrame, seed: int, wanted: int) -> DataFrame:
 def exact_quantile(scores: DataFrame, column: str, q: float, count: int) -> float:
     """Linearly interpolated quantile, as if all values were sorted in one place.
 
-    Large inputs are first narrowed to a thin band around the quantile.
+    While there are too many values for one aggregate buffer, a band around the wanted rank
+    is cut out with approximate percentiles, and the values below it are counted.
     """
     value = F.col(column)
-    if count <= EXACT_ROWS:
-        return scores.agg(F.percentile(value, q)).first()[0]
+    rank = q * (count - 1)
+    band, below, within = scores, 0, count
     margin = 2.0 / RANK_ACCURACY
-    low, high = scores.agg(F.percentile_approx(
-        value, [max(q - margin, 0.0), min(q + margin, 1.0)], RANK_ACCURACY
-    )).first()[0]
-    inside = value.between(low, high)
-    below, within = scores.agg(F.count_if(value < low), F.count_if(inside)).first()
-    place = (q * (count - 1) - below) / max(within - 1, 1)
-    return scores.filter(inside).agg(
-        F.percentile(value, min(max(place, 0.0), 1.0))
-    ).first()[0]
+    while within > EXACT_ROWS:
+        place = (rank - below) / (within - 1)
+        low, high = band.agg(F.percentile_approx(
+            value, [max(place - margin, 0.0), min(place + margin, 1.0)], RANK_ACCURACY
+        )).first()[0]
+        inside = value.between(low, high)
+        under, kept = band.agg(F.count_if(value < low), F.count_if(inside)).first()
+        if not below + under <= rank <= below + under + kept - 1:
+            margin *= 2
+            continue
+        band, below = band.filter(inside), below + under
+        if low == high:
+            return low
+        if kept == within:
+            break
+        within = kept
+    place = (rank - below) / max(within - 1, 1)
+    return band.agg(F.percentile(value, min(max(place, 0.0), 1.0))).first()[0]
 
 
 class _ForestParams(HasFeaturesCol, HasPredictionCol, HasSeed):

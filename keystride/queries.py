@@ -415,7 +415,9 @@ def model_roundtrip(spark, sf_dir):
     loaded = detector.SessionDetector.load(spark, path)
     before = fitted.predict(rows).select("session_id", F.col("raw_score").alias("fitted"))
     after = loaded.predict(rows).select("session_id", F.col("raw_score").alias("loaded"))
-    return before.join(after, "session_id").withColumn("same", F.expr("fitted = loaded"))
+    return before.join(after, "session_id").select(
+        "session_id", (F.col("fitted") == F.col("loaded")).alias("same_score")
+    )
 
 
 @query

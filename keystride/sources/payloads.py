@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from keystride import schema as S
 from keystride.functions.scalars import iso_timestamp
+from keystride.session import materialise
 
 CORRUPT = "_corrupt_record"
 # Indented documents span lines, so a file of many needs another separator: the record
@@ -12,9 +13,12 @@ CORRUPT = "_corrupt_record"
 RECORD_SEPARATOR = "\x1e"
 # Elements without a position get one from the payload time and their index.
 POSITIONS_PER_MILLI = 1_000_000
-# Most events one payload may hold. The client flushes at 50; the block bounds what is
-# collected into one row however long or busy the session is.
+# The client flushes on this clock, and at 50 events. No document holds more than BLOCK, so
+# what is collected into one row stays small however busy a session is.
+FLUSH_SECONDS = 5
 BLOCK = 1000
+# Fields that make two events the same event.
+IDENTITY = ["session_id", "lane", "kind", "key_code", "x", "y", "button", "t"]
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -142,15 +146,35 @@ def session_records(payloads: DataFrame) -> DataFrame:
     )
 
 
+def _batches(events: DataFrame, block: int) -> DataFrame:
+    """Add (flush, part): the flush interval, and the block of positions if it overflows."""
+    rows = events.withColumn("flush", F.floor(F.col("t") / FLUSH_SECONDS))
+    by = ["session_id", "flush"]
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    whole = F.lit(0).cast("long").alias("part")
+    if largest <= block:
+        return rows.select("*", whole)
+    # Positions are unique in a session, so a block of them bounds what it holds. Semi and
+    # anti joins let Spark split an interval too full for one task.
+    over = materialise(sizes.filter(F.col("n") > block).select(*by), "full-flushes")
+    within = rows.join(over, by, "left_anti").select("*", whole)
+    beyond = rows.join(over, by, "left_semi").select(
+        "*", F.floor(F.col("pos") / block).alias("part")
+    )
+    return within.unionByName(beyond)
+
+
 def documents(events: DataFrame, sessions: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Payload documents from event rows: one per session and block of positions.
+    """Payload documents from event rows: one per session and flush interval.
 
     A document never holds more than `block` events, so no task collects a whole session;
     the documents of a session add up to it, as the client's flushes do.
     """
-    elements = events.select(
+    elements = _batches(events.filter(F.col("session_id").isNotNull()), block).select(
         "session_id",
-        F.floor(F.col("pos") / block).alias("batch"),
+        "flush",
+        "part",
         "event_time",
         "t",
         F.when(
@@ -168,7 +192,7 @@ def documents(events: DataFrame, sessions: DataFrame, block: int = BLOCK) -> Dat
             ),
         ).alias("mouse_event"),
     )
-    batches = elements.groupBy("session_id", "batch").agg(
+    batches = elements.groupBy("session_id", "flush", "part").agg(
         F.max("event_time").alias("sent"),
         F.max("t").alias("until"),
         F.array_sort(F.collect_list("key_event")).alias("keys"),
@@ -192,14 +216,14 @@ def documents(events: DataFrame, sessions: DataFrame, block: int = BLOCK) -> Dat
 
 
 def deduplicate(events: DataFrame) -> DataFrame:
-    """Events sent twice, kept once with their first position.
+    """Events sent twice, kept once as first sent.
 
     Copies meet on the whole event, so they spread over all tasks, and each task reduces
     its own copies before the shuffle.
     """
-    identity = [c for c in events.columns if c not in ("pos", "event_time")]
-    return events.groupBy(*identity).agg(
-        F.min("pos").alias("pos"), F.min("event_time").alias("event_time")
+    others = [c for c in events.columns if c not in (*IDENTITY, "pos")]
+    return events.groupBy(*IDENTITY).agg(
+        F.min("pos").alias("pos"), *[F.min_by(c, "pos").alias(c) for c in others]
     ).select(*events.columns)
 
 

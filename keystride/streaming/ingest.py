@@ -5,10 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from keystride import schema as S
-from keystride.sources.payloads import CORRUPT, accept, explode_events
-
-# Fields that make two stream events the same event.
-IDENTITY = ["session_id", "lane", "kind", "key_code", "x", "y", "button", "t"]
+from keystride.sources.payloads import CORRUPT, IDENTITY, accept, explode_events
 
 
 def payload_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:

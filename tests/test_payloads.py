@@ -107,6 +107,7 @@ def test_latest_device_and_longest_duration_win(spark, log):
 
 
 def documents(spark, block=payloads.BLOCK):
+    """Session a has three events in the first flush interval, b has one."""
     events = table(spark, [key("a", 0, 1, "keydown"), key("a", 1, 2, "keyup"),
                            move("a", 2, 3, 1, 1), click("b", 0, 4, 2, 2)])
     sessions = events.groupBy("session_id").agg(F.min("t").alias("session_start")).withColumn(
@@ -141,3 +142,27 @@ def test_requests_need_an_id_and_data(spark):
     requests = spark.createDataFrame([("a",), ("b",), ("",), (None,)], "session_id string")
     assert [r[0] for r in payloads.with_data(requests, events).collect()] == ["a"]
     assert [r[0] for r in payloads.without_data(requests, events).collect()] == ["b"]
+
+
+def test_full_flushes_are_split_and_nothing_is_lost(spark):
+    rows = [key("bot", i, 1.0, "keydown") for i in range(50)]
+    rows += [key("me", 100 * i, i, "keydown") for i in range(8)]
+    events = table(spark, rows)
+    sessions = events.groupBy("session_id").agg(F.min("t").alias("session_start")).withColumn(
+        "device_info", F.lit(None).cast("struct<screen_resolution: string>")
+    )
+    docs = payloads.documents(events, sessions, block=10).collect()
+    sizes = {s: sorted(len(r["keystroke_data"]) for r in docs if r["session_id"] == s)
+             for s in ("bot", "me")}
+    assert sizes == {"bot": [10] * 5, "me": [3, 5]}
+    assert sorted((r["session_id"], e["pos"]) for r in docs for e in r["keystroke_data"]) == \
+        sorted((r[0], r[1]) for r in rows)
+
+
+def test_a_resend_under_another_device_is_still_a_copy(spark, log):
+    one = payload(keys=[("keydown", 65, 1.0)])
+    turned = dict(one, timestamp="2024-01-01T00:00:09Z",
+                  device_info=dict(DEVICE, screen_resolution="1080x1920"))
+    events = payloads.explode_events(payloads.read_log(spark, log(turned, one)))
+    kept = payloads.deduplicate(events).collect()
+    assert [r["screen_resolution"] for r in kept] == ["1920x1080"]
