@@ -343,7 +343,7 @@ ORACLES["scaled_features"] = f"""with {ACTIVE}
   select session_id, feature, {r(
       "coalesce((value - avg(value) over w) / nullif(stddev_samp(value) over w, 0), 0)", "value")}
   from long window w as (partition by feature)"""
-ORACLES["feature_pipeline"] = f"""with {ACTIVE}
+ORACLES["feature_stages"] = f"""with {ACTIVE}
   select session_id, {", ".join(
       r(f"coalesce({n}, 0)", n) if n in ACTIVITY_DOUBLES else n for n in S.ACTIVITY_VECTOR)},
       8 as features_size, 8 as scaled_features_size, 5 as pca_features_size

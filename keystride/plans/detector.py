@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from keystride import schema as S
 from keystride.plans.iforest import IsolationForest, IsolationForestModel
-from keystride.plans.scoring import contribution_map, detector_risk
+from keystride.plans.scoring import contribution_map, contributions, detector_risk
 from keystride.plans.session_features import align
 from keystride.plans.vectors import assembler, population_scale, population_stats
 from keystride.session import materialise
@@ -50,9 +50,9 @@ class SessionDetector:
         if not self.is_fitted:
             raise RuntimeError("fit the detector before predicting")
         scored = detector_risk(self.forest.transform(self._scaled(features)))
-        return scored.select(
+        return contributions(scored, self.names).select(
             self.key, "is_anomaly", "risk_score", "confidence",
-            contribution_map(scored, self.names).alias("feature_importance"), "raw_score",
+            contribution_map(self.names).alias("feature_importance"), "raw_score",
         )
 
     def save(self, path: str) -> None:

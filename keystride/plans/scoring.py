@@ -59,48 +59,51 @@ def ensemble_risk(iforest: Column, forest: Column | None = None) -> Column:
     return S.IFOREST_WEIGHT * isolation + S.RF_WEIGHT * forest
 
 
-def contributions(names: list[str]) -> dict[str, Column]:
-    """Each scaled feature's share of the absolute sum; 0 everywhere when the sum is 0."""
-    size = {n: F.abs(F.col(n)) for n in names}
-    total = sum(size.values(), F.lit(0.0))
-    return {n: F.when(total > 0, size[n] / total).otherwise(size[n]) for n in names}
+def contributions(scaled: DataFrame, names: list[str]) -> DataFrame:
+    """Replace each scaled feature by its share of the absolute sum.
+
+    When the sum is 0 every share stays 0.
+    """
+    total = sum((F.abs(n) for n in names), F.lit(0.0))
+    return scaled.withColumn("total", total).withColumns({
+        n: F.when(F.col("total") > 0, F.abs(n) / F.col("total")).otherwise(F.abs(n))
+        for n in names
+    }).drop("total")
 
 
-def contribution_map(scaled: DataFrame, names: list[str]) -> Column:
-    pairs = [c for n, share in contributions(names).items() for c in (F.lit(n), share)]
-    return F.create_map(*pairs)
+def contribution_map(names: list[str]) -> Column:
+    return F.create_map(*[c for n in names for c in (F.lit(n), F.col(n))])
 
 
 def contribution_rows(scaled: DataFrame, names: list[str]) -> DataFrame:
-    return scaled.select(
-        "session_id", F.explode(contribution_map(scaled, names)).alias("feature", "contribution")
+    return contributions(scaled, names).select(
+        "session_id", F.explode(contribution_map(names)).alias("feature", "contribution")
     )
 
 
-def factor_list(shares: dict[str, Column], tier: Column) -> Column:
+def factor_list(names: list[str], tier: Column) -> Column:
     """The three families that contribute most, worded by tier, as an array.
 
-    High risk words all three as unusual, medium only the first, low none. Ranking inside
-    an array of five keeps this free of any shuffle.
+    Expects the columns `names` to hold contributions. High risk words all three as unusual,
+    medium only the first, low none. Ranking inside an array of five needs no shuffle.
     """
-    families = F.array(*[
-        F.struct(
-            # A descending sort by share, then by name.
-            (-F.round(sum((shares[n] for n in members if n in shares), F.lit(0.0)), 9))
-            .alias("order"),
-            F.lit(name).alias("family"),
-        )
+    def share(members: list[str]) -> Column:
+        return F.round(sum((F.col(n) for n in members if n in names), F.lit(0.0)), 9)
+
+    # Ascending by the negated share, then by name.
+    families = F.sort_array(F.array(*[
+        F.struct((-share(members)).alias("order"), F.lit(name).alias("family"))
         for name, members in FAMILIES.items()
-    ])
-    top = F.slice(F.array_sort(families), 1, FACTORS)
+    ]))
     unusual_count = F.when(tier == "high", FACTORS).when(tier == "medium", 1).otherwise(0)
     unusual = F.create_map(*[F.lit(x) for pair in UNUSUAL.items() for x in pair])
     normal = F.create_map(*[F.lit(x) for pair in NORMAL.items() for x in pair])
-    return F.transform(
-        top,
-        lambda f, i: F.when(i < unusual_count, F.element_at(unusual, f["family"]))
-        .otherwise(F.element_at(normal, f["family"])),
-    )
+
+    def words(place: int) -> Column:
+        family = F.get(families, F.lit(place))["family"]
+        return F.when(F.lit(place) < unusual_count, unusual[family]).otherwise(normal[family])
+
+    return F.array(*[words(place) for place in range(FACTORS)])
 
 
 def report(scored: DataFrame) -> DataFrame:

@@ -335,7 +335,7 @@ def pca_features(spark, sf_dir):
 
 
 @query
-def feature_pipeline(spark, sf_dir):
+def feature_stages(spark, sf_dir):
     built = feature_build.vectorise(_activity(spark, sf_dir))
     return built.features.select(
         "session_id", *S.ACTIVITY_VECTOR,
@@ -437,13 +437,12 @@ def session_risk(spark, sf_dir):
     model = training.ensemble().fit(rows)
     scored = training.score(model, rows)
     stats = vectors.population_stats(rows, S.SESSION_FEATURES)
-    scored = vectors.population_scale(scored, stats, ("session_id", "risk_score"))
+    scaled = vectors.population_scale(scored, stats, ("session_id", "risk_score"))
     tier = scalars.risk_tier(F.col("risk_score"))
-    shares = scoring.contributions(S.SESSION_FEATURES)
-    return scored.select(
+    return scoring.contributions(scaled, S.SESSION_FEATURES).select(
         "session_id", "risk_score", scoring.confidence_of("risk_score").alias("confidence"),
         tier.alias("tier"),
-        F.array_join(scoring.factor_list(shares, tier), "; ").alias("factors"),
+        F.array_join(scoring.factor_list(S.SESSION_FEATURES, tier), "; ").alias("factors"),
     )
 
 
@@ -488,12 +487,9 @@ def feature_contributions(spark, sf_dir):
 def top_factors(spark, sf_dir):
     """Factors for a given risk: the session number over 100."""
     risk = F.col("session_id").cast("long") % 100 / F.lit(100.0)
-    factors = scoring.factor_list(
-        scoring.contributions(S.SESSION_FEATURES), scalars.risk_tier(risk)
-    )
-    return _scaled_sessions(spark, sf_dir).select(
-        "session_id", F.posexplode(factors).alias("place", "factor")
-    )
+    factors = scoring.factor_list(S.SESSION_FEATURES, scalars.risk_tier(risk))
+    shares = scoring.contributions(_scaled_sessions(spark, sf_dir), S.SESSION_FEATURES)
+    return shares.select("session_id", F.posexplode(factors).alias("place", "factor"))
 
 
 @query

@@ -1,6 +1,6 @@
 """Session payloads: read, write, validate, take apart and put together."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystride import schema as S
@@ -88,48 +88,32 @@ def accept(texts: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
 
 
 def explode_events(payloads: DataFrame) -> DataFrame:
-    """Key and mouse elements of all payloads as event rows."""
-    sent = F.col("timestamp").try_cast("timestamp")
-    resolution = F.col("device_info.screen_resolution").alias("screen_resolution")
-
-    def position(index: str):
-        return F.coalesce(
-            "e.pos", F.unix_millis(sent) * POSITIONS_PER_MILLI + F.col(index)
-        ).alias("pos")
-
-    keys = payloads.select(
-        "session_id", "timestamp", resolution,
-        F.posexplode("keystroke_data").alias("i", "e"),
-    ).select(
-        "session_id",
-        position("i"),
-        F.timestamp_micros((F.col("e.timestamp") * 1e6).cast("long")).alias("event_time"),
-        F.col("e.timestamp").alias("t"),
-        F.lit("key").alias("lane"),
-        F.col("e.event_type").alias("kind"),
-        F.col("e.key_code").alias("key_code"),
-        F.lit(None).cast("double").alias("x"),
-        F.lit(None).cast("double").alias("y"),
-        F.lit(None).cast("string").alias("button"),
-        "screen_resolution",
-    )
-    mouse = payloads.select(
-        "session_id", "timestamp", resolution,
-        F.posexplode("mouse_data").alias("i", "e"),
-    ).select(
+    """Key and mouse elements of all payloads as event rows, in one pass over the payloads."""
+    sent = F.unix_millis(F.col("timestamp").try_cast("timestamp")) * POSITIONS_PER_MILLI
+
+    def event(e: Column, i: Column, lane: Column, **fields: Column) -> Column:
+        absent = {"key_code": "int", "x": "double", "y": "double", "button": "string"}
+        return F.struct(
+            F.coalesce(e["pos"], sent + i).alias("pos"),
+            F.timestamp_micros((e["timestamp"] * 1e6).cast("long")).alias("event_time"),
+            e["timestamp"].alias("t"),
+            lane.alias("lane"),
+            fields["kind"].alias("kind"),
+            *[fields.get(n, F.lit(None)).cast(t).alias(n) for n, t in absent.items()],
+        )
+
+    keys = F.transform("keystroke_data", lambda e, i: event(
+        e, i, F.lit("key"), kind=e["event_type"], key_code=e["key_code"]
+    ))
+    mouse = F.transform("mouse_data", lambda e, i: event(
+        e, i, e["type"], kind=e["type"], x=e["x"], y=e["y"], button=e["button"]
+    ))
+    present = F.filter(F.array(keys, mouse), lambda a: a.isNotNull())
+    return payloads.select(
         "session_id",
-        position("i"),
-        F.timestamp_micros((F.col("e.timestamp") * 1e6).cast("long")).alias("event_time"),
-        F.col("e.timestamp").alias("t"),
-        F.col("e.type").alias("lane"),
-        F.col("e.type").alias("kind"),
-        F.lit(None).cast("int").alias("key_code"),
-        F.col("e.x").alias("x"),
-        F.col("e.y").alias("y"),
-        F.col("e.button").alias("button"),
-        "screen_resolution",
-    )
-    return keys.unionByName(mouse)
+        F.explode(F.flatten(present)).alias("e"),
+        F.col("device_info.screen_resolution").alias("screen_resolution"),
+    ).select("session_id", "e.*", "screen_resolution")
 
 
 def session_records(payloads: DataFrame) -> DataFrame:

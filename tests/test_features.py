@@ -129,9 +129,8 @@ def test_contributions_sum_to_one_or_stay_zero(spark):
 def test_factors_by_tier(spark, risk, unusual):
     rows = spark.createDataFrame([("a", 5.0, 3.0, 1.0)], """session_id string,
         mouse_mean_velocity double, session_duration double, device_is_mobile double""")
-    shares = {n: F.col(n) for n in rows.columns[1:]}
     tier = scalars.risk_tier(F.lit(risk))
-    found = rows.select(scoring.factor_list(shares, tier)).first()[0]
+    found = rows.select(scoring.factor_list(rows.columns[1:], tier)).first()[0]
     names = ["mouse", "behaviour", "device"]
     assert found == [
         (scoring.UNUSUAL if i < unusual else scoring.NORMAL)[n] for i, n in enumerate(names)

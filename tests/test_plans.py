@@ -62,3 +62,11 @@ def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
 
     with pytest.raises(RuntimeError):
         shared_root(Session())
+
+
+def test_payloads_are_parsed_once(spark, tmp_path):
+    from keystride.sources import payloads
+
+    (tmp_path / "a.json").write_text('{"session_id": "a", "timestamp": "2024-01-01T00:00:00"}\n')
+    text = plan(payloads.explode_events(payloads.read_log(spark, str(tmp_path))))
+    assert text.count("FileScan json") == 1
