@@ -32,6 +32,18 @@ def ensemble(
     return Pipeline(stages=stages)
 
 
+def fit_ensemble(training: DataFrame, label: str | None = "label", **settings) -> PipelineModel:
+    """Fit the isolation forest on all rows and the random forest on the labelled ones.
+
+    Without a single label the isolation forest stays alone.
+    """
+    labelled = training.filter(F.col(label).isNotNull()) if label else None
+    if labelled is None or labelled.isEmpty():
+        return ensemble(label=None, **settings).fit(training)
+    isolation, forest = ensemble(label=label, **settings).getStages()
+    return PipelineModel([isolation.fit(training), forest.fit(labelled)])
+
+
 def score(model: PipelineModel, rows: DataFrame, rf_mode: str = "probability") -> DataFrame:
     """Model output plus `risk_score`; `rf_mode="label"` weighs the hard class instead."""
     scored = model.transform(rows)
@@ -72,13 +84,10 @@ def train(
     `version` names the saved model; it is passed in so that a rerun repeats itself.
     """
     spark = training.sparkSession
-    if label and training.filter(F.col(label).isNotNull()).isEmpty():
-        label = None
-    rows = training.filter(F.col(label).isNotNull()) if label else training
-    model = ensemble(label=label, **settings).fit(rows)
+    model = fit_ensemble(training, label, **settings)
 
     auc = risk_auc = None
-    if validation is not None and label:
+    if validation is not None and len(model.stages) > 1:
         scored = score(model, validation.filter(F.col(label).isNotNull()))
         auc = area_under_roc(scored, "rf_prediction", label)
         risk_auc = area_under_roc(scored, "risk_score", label)

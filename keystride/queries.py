@@ -13,7 +13,7 @@ from keystride.functions import scalars
 from keystride.operators.sessions import gap_sessions
 from keystride.operators.timings import interactions, timed_rows
 from keystride.plans import (
-    detector, feature_build, iforest, monitoring, scoring, training, vectors,
+    detector, feature_build, iforest, monitoring, risk, scoring, training, vectors,
 )
 from keystride.plans import session_features as features
 from keystride.session import materialise, new_path
@@ -384,24 +384,20 @@ def iforest_flag(spark, sf_dir):
 @query
 def rf_fit_predict(spark, sf_dir):
     rows = sample.embeddings(spark, sf_dir)
-    model = training.ensemble("features", "vec_id").fit(rows)
+    model = training.fit_ensemble(rows, features="features", key="vec_id")
     return training.score(model, rows).select(
         "vec_id", "label", "rf_prediction",
         vector_to_array("rf_probability")[1].alias("rf_probability"), "risk_score",
     )
 
 
-def _session_vectors(spark, sf_dir):
-    """Session features as principal components, with the training label."""
-    aligned = features.align(_session_features(spark, sf_dir), S.SESSION_FEATURES)
-    built = feature_build.vectorise(aligned, S.SESSION_FEATURES)
-    labels = sample.sessions(spark, sf_dir).select("session_id", "label")
-    return materialise(built.features.join(labels, "session_id", "left"), "session-vectors")
+def _model_rows(spark, sf_dir):
+    return risk.model_rows(_session_features(spark, sf_dir), sample.sessions(spark, sf_dir))
 
 
 @query
 def train_model(spark, sf_dir):
-    rows = _session_vectors(spark, sf_dir)
+    rows = _model_rows(spark, sf_dir)
     run = training.train(rows, VERSION, validation=rows, root=new_path(spark, "training"))
     return run.record.drop("model_path")
 
@@ -430,20 +426,22 @@ def detector_predict(spark, sf_dir):
     )
 
 
+def _risks(spark, sf_dir):
+    return risk.risk_table(_model_rows(spark, sf_dir)).withColumn(
+        "factors", F.array_join("factors", "; ")
+    )
+
+
 @query
 def session_risk(spark, sf_dir):
     """Features, both models, risk, tier and the leading factors of every session."""
-    rows = _session_vectors(spark, sf_dir)
-    model = training.ensemble().fit(rows)
-    scored = training.score(model, rows)
-    stats = vectors.population_stats(rows, S.SESSION_FEATURES)
-    scaled = vectors.population_scale(scored, stats, ("session_id", "risk_score"))
-    tier = scalars.risk_tier(F.col("risk_score"))
-    return scoring.contributions(scaled, S.SESSION_FEATURES).select(
-        "session_id", "risk_score", scoring.confidence_of("risk_score").alias("confidence"),
-        tier.alias("tier"),
-        F.array_join(scoring.factor_list(S.SESSION_FEATURES, tier), "; ").alias("factors"),
-    )
+    return _risks(spark, sf_dir)
+
+
+@query
+def risk_assessment(spark, sf_dir):
+    at = F.lit(HALF_TIME).cast("timestamp")
+    return risk.assess(sample.requests(spark, sf_dir), _risks(spark, sf_dir), at)
 
 
 # ---- scores -------------------------------------------------------------------------------
@@ -471,9 +469,9 @@ def detector_risk(spark, sf_dir):
 
 @query
 def ensemble_risk(spark, sf_dir):
-    risk = scoring.ensemble_risk(F.col("normality"), F.col("risk_score"))
+    both = scoring.ensemble_risk(F.col("normality"), F.col("risk_score"))
     return sample.scored(spark, sf_dir).select(
-        "event_id", risk.alias("risk"),
+        "event_id", both.alias("risk"),
         scoring.ensemble_risk(F.col("normality")).alias("isolation_only"),
     )
 
@@ -486,8 +484,8 @@ def feature_contributions(spark, sf_dir):
 @query
 def top_factors(spark, sf_dir):
     """Factors for a given risk: the session number over 100."""
-    risk = F.col("session_id").cast("long") % 100 / F.lit(100.0)
-    factors = scoring.factor_list(S.SESSION_FEATURES, scalars.risk_tier(risk))
+    given = F.col("session_id").cast("long") % 100 / F.lit(100.0)
+    factors = scoring.factor_list(S.SESSION_FEATURES, scalars.risk_tier(given))
     shares = scoring.contributions(_scaled_sessions(spark, sf_dir), S.SESSION_FEATURES)
     return shares.select("session_id", F.posexplode(factors).alias("place", "factor"))
 
@@ -627,8 +625,8 @@ def stream_session_features(spark, sf_dir):
 
 @query
 def stream_scoring(spark, sf_dir):
-    rows = _session_vectors(spark, sf_dir)
-    model = training.ensemble().fit(rows)
+    rows = _model_rows(spark, sf_dir)
+    model = training.fit_ensemble(rows)
     arrivals = new_path(spark, "arrivals")
     rows.write.parquet(arrivals)
     out = new_path(spark, "risk")

@@ -5,6 +5,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def build(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with the settings the jobs rely on; master and size come from the caller."""
@@ -14,6 +16,8 @@ def build(master: str | None = None, shuffle_partitions: int | None = None) -> S
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Stream state on local disk with its log in the checkpoint, not on the heap.
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         .config("spark.ui.enabled", "false")
     )
     if master:

@@ -213,15 +213,16 @@ def deduplicate(events: DataFrame) -> DataFrame:
 
 def with_data(requests: DataFrame, events: DataFrame) -> DataFrame:
     """Analysis requests that name a session we hold events for."""
-    return _named(requests).join(_known(events), "session_id", "left_semi")
+    return named_requests(requests).join(_known(events), "session_id", "left_semi")
 
 
 def without_data(requests: DataFrame, events: DataFrame) -> DataFrame:
     """Analysis requests that name a session without events."""
-    return _named(requests).join(_known(events), "session_id", "left_anti")
+    return named_requests(requests).join(_known(events), "session_id", "left_anti")
 
 
-def _named(requests: DataFrame) -> DataFrame:
+def named_requests(requests: DataFrame) -> DataFrame:
+    """Requests with a session id; a null or empty one is refused."""
     return requests.filter(F.col("session_id").isNotNull() & (F.col("session_id") != ""))
 
 

@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from keystride import schema as S
-from keystride.plans import detector, feature_build, iforest, monitoring, training
+from keystride.plans import detector, feature_build, iforest, monitoring, risk, training
 from keystride.session import materialise, new_path
 
 WIDTH = 4
@@ -191,6 +191,33 @@ def test_without_labels_only_the_isolation_forest_is_trained(points):
     assert scored.filter("abs(risk_score + iforest_score) > 1e-12").isEmpty()
 
 
+def test_rows_without_label_still_train_the_isolation_forest(points):
+    partly = points.withColumn("label", F.when(F.col("id") % 2 == 0, F.col("label")))
+    model = training.fit_ensemble(partly, features="features", key="id", trees=5, depth=3)
+    assert len(model.stages) == 2
+    whole = forest(numTrees=5).fit(points)
+    assert nodes_of(model.stages[0]) == nodes_of(whole)
+
+
+def test_risk_records_for_requests(spark):
+    rng = np.random.default_rng(4)
+    values = rng.normal(size=(40, len(S.SESSION_FEATURES)))
+    values[0] += 9
+    features = spark.createDataFrame(
+        [(f"s{i}", *map(float, v)) for i, v in enumerate(values)],
+        "session_id string, " + ", ".join(f"{n} double" for n in S.SESSION_FEATURES),
+    )
+    risks = materialise(risk.risk_table(risk.model_rows(features)), "risks")
+    assert risks.count() == 40
+    assert risks.orderBy(F.desc("risk_score")).first()["session_id"] == "s0"
+    assert risks.filter("size(factors) != 3 or size(array_distinct(factors)) != 3").isEmpty()
+    requests = spark.createDataFrame([("s0",), ("x",), ("",), (None,)], "session_id string")
+    found = risk.assess(requests, risks, F.lit("2024-01-01").cast("timestamp")).collect()
+    assert [(r["session_id"], r["timestamp"]) for r in found] == [
+        ("s0", "2024-01-01T00:00:00.000000Z")
+    ]
+
+
 def test_retraining_follows_drift(points):
     options = dict(features="features", key="id", trees=3, depth=2)
     assert training.retrain_if_drifted(0.2, points, "v", **options) is None
