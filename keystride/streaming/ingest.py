@@ -29,6 +29,16 @@ def accepted_events(texts: DataFrame) -> DataFrame:
     return explode_events(accept(texts)[0])
 
 
+def store_rejected(
+    texts: DataFrame, path: str, checkpoint: str, continuous: bool = False
+) -> StreamingQuery:
+    """Append request bodies that are not payloads to a text table, as they came."""
+    rejected = accept(texts)[1]
+    return start(
+        rejected.writeStream.format("parquet").option("path", path), checkpoint, continuous
+    )
+
+
 def distinct_events(events: DataFrame, delay: str) -> DataFrame:
     """Events of a stream without resent copies.
 

@@ -55,6 +55,15 @@ def test_payload_stream_keeps_broken_lines(spark, tmp_path):
     assert found.filter(F.col(payloads.CORRUPT).isNotNull()).count() == 1
 
 
+def test_rejected_bodies_are_kept_as_they_came(spark, tmp_path):
+    inbox, out = tmp_path / "in", new_path(spark, "o")
+    bodies = ["not json", '{"session_id": "a"}']
+    write(inbox, "1.json", payload("2024-01-01T00:00:00Z", 1.0), *bodies)
+    texts = ingest.text_stream(spark, str(inbox))
+    ingest.store_rejected(texts, out, new_path(spark, "c")).awaitTermination()
+    assert sorted(r["raw"] for r in spark.read.parquet(out).collect()) == sorted(bodies)
+
+
 def stream_of(spark, rows):
     path = new_path(spark, "rows")
     rows.write.parquet(path)
