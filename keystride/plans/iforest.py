@@ -31,6 +31,8 @@ NODES = "tree int, node int, feature int, split double, lo int, hi int, size int
 LEAF = -1
 # Expected rows drawn per row needed, before the exact trim.
 OVERDRAW = 3
+# Rows that walk the trees together; small enough for their state to stay in cache.
+CHUNK = 1024
 # Quantiles of at most this many scores are computed in one aggregate buffer.
 EXACT_ROWS = 1_000_000
 RANK_ACCURACY = 100_000
@@ -202,24 +204,28 @@ class IsolationForestModel(Model, _ForestParams, MLReadable, MLWritable):
         self._arrays = None
 
     def _forest(self):
-        """Node arrays, one line per tree; at most numTrees x (2 maxSamples - 1) entries."""
+        """Flat node arrays; at most numTrees x (2 maxSamples - 1) entries.
+
+        Leaves lead back to themselves, so all rows can take the same number of steps.
+        `child` holds two entries per node: the next node above and below the split.
+        """
         if self._arrays is None:
-            table = self.nodes.toPandas().sort_values(["tree", "node"])
-            trees, width = table["tree"].nunique(), int(table["node"].max()) + 1
-            line = table["tree"].rank(method="dense").astype(int).to_numpy() - 1
-            at = (line, table["node"].to_numpy())
+            table = self.nodes.toPandas().sort_values(["tree", "node"], ignore_index=True)
+            root = (table["node"] == 0).to_numpy().nonzero()[0]
+            base = np.repeat(root, np.diff([*root, len(table)]))
+            leaf = (table["feature"] == LEAF).to_numpy()
 
-            def grid(values, dtype):
-                out = np.zeros((trees, width), dtype)
-                out[at] = values
-                return out
+            def towards(side: str) -> np.ndarray:
+                return np.where(leaf, table.index, base + table[side])
 
-            leaf_length = table["depth"] + table["size"].map(mean_path)
             context = self.nodes.sparkSession.sparkContext
             self._arrays = context.broadcast((
-                grid(table["feature"], np.int32), grid(table["split"], np.float64),
-                grid(table["lo"], np.int32), grid(table["hi"], np.int32),
-                grid(leaf_length, np.float64), int(table["depth"].max()),
+                root[:, None],
+                np.where(leaf, 0, table["feature"]),
+                np.where(leaf, np.inf, table["split"]),
+                np.stack([towards("hi"), towards("lo")], axis=1).ravel(),
+                (table["depth"] + table["size"].map(mean_path)).to_numpy(),
+                int(table["depth"].max()),
             ))
         return self._arrays
 
@@ -228,23 +234,24 @@ class IsolationForestModel(Model, _ForestParams, MLReadable, MLWritable):
 
         @F.pandas_udf("double")
         def raw_score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            feature, split, lo, hi, length, depth = forest.value
-            line = np.arange(len(feature))[:, None]
-            for batch in batches:
-                if len(batch) == 0:
-                    yield pd.Series([], dtype="float64")
-                    continue
-                x = np.stack(batch.to_numpy())
-                row = np.arange(len(x))[None, :]
-                node = np.zeros((len(feature), len(x)), np.int32)
+            root, feature, split, child, length, depth = forest.value
+
+            def mean_lengths(x: np.ndarray) -> np.ndarray:
+                flat = x.ravel()
+                start = np.arange(len(x))[None, :] * x.shape[1]
+                node = np.broadcast_to(root, (len(root), len(x)))
                 for _ in range(depth):
-                    at = feature[line, node]
-                    inner = at != LEAF
-                    below = x[row, np.where(inner, at, 0)] <= split[line, node]
-                    step = np.where(below, lo[line, node], hi[line, node])
-                    node = np.where(inner, step, node)
-                mean_length = length[line, node].mean(axis=0)
-                yield pd.Series(-np.power(2.0, -mean_length / typical))
+                    below = flat.take(start + feature.take(node)) <= split.take(node)
+                    node = child.take(2 * node + below)
+                return length.take(node).mean(axis=0)
+
+            for batch in batches:
+                parts = [
+                    mean_lengths(np.stack(batch.iloc[i:i + CHUNK].to_numpy()))
+                    for i in range(0, len(batch), CHUNK)
+                ]
+                lengths = np.concatenate(parts) if parts else np.empty(0)
+                yield pd.Series(-np.power(2.0, -lengths / typical))
 
         score, prediction = self.getOrDefault("scoreCol"), self.getPredictionCol()
         scored = dataset.withColumn(score, raw_score(vector_to_array(self.getFeaturesCol())))
