@@ -530,11 +530,10 @@ def alert_rules(spark, sf_dir):
     change = training.area_under_roc(before, "risk_score") - training.area_under_roc(
         now, "risk_score"
     )
-    observed = (
-        monitoring.metrics(now).select("false_positive_rate")
-        .join(F.broadcast(monitoring.drift_index(before, now)
-                          .withColumnRenamed("drift", "model_drift")), F.lit(True))
-        .withColumn("performance_degradation", F.lit(change))
+    drift = monitoring.drift_index(before, now).first()["drift"]
+    observed = monitoring.metrics(now).select(
+        "false_positive_rate", F.lit(drift).alias("model_drift"),
+        F.lit(change).alias("performance_degradation"),
     )
     return monitoring.alerts(observed)
 

@@ -19,6 +19,8 @@ def build(master: str | None = None, shuffle_partitions: int | None = None) -> S
         # Stream state on local disk with its log in the checkpoint, not on the heap.
         .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         .config("spark.ui.enabled", "false")
+        # Call sites in error messages cost more than building the plan itself.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from keystride.session import materialise
 from keystride.streaming.ingest import start
 
 MERGE_EARLY = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
@@ -43,12 +44,17 @@ def features_of_closed(
 
     The stream only decides *which* sessions are complete. Their events come from the stored
     event table, read for the days in question, and go through the batch operators - with
-    their handling of oversized sessions - instead of growing a state per session. Every
-    micro-batch owns one folder and overwrites it, so a replayed batch changes nothing.
+    their handling of oversized sessions - instead of growing a state per session. The table
+    is filled by `store_events` from the same intake; a session closes only after the gap
+    and the watermark delay, which is the time that query has to catch up. Every micro-batch
+    owns one folder and overwrites it, so a replayed batch changes nothing.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        ended = batch.select("session_id", "session_start", "last_event")
+        # Written once: every further read of a stateful batch would run its state again.
+        ended = materialise(
+            batch.select("session_id", "session_start", "last_event"), "closed"
+        )
         days = ended.agg(
             F.to_date(F.min("session_start")), F.to_date(F.max("last_event"))
         ).first()

@@ -1,6 +1,11 @@
 """What the physical plans must look like."""
 
+import os
+import subprocess
+import sys
+
 import pytest
+from pyspark import cloudpickle
 
 from keystride.plans import session_features as features
 from keystride.queries import QUERIES
@@ -28,6 +33,7 @@ def test_session_features_add_only_the_session_side(spark, sf):
 @pytest.mark.parametrize("name", [
     "session_features", "session_sql_features", "top_factors", "risk_report",
     "feature_contributions", "ensemble_risk", "dedup_events", "payload_validation",
+    "alert_rules", "risk_drift", "model_monitor", "hourly_features", "session_document",
 ])
 def test_no_python_and_no_cross_join(spark, sf, name):
     text = plan(QUERIES[name](spark, sf))
@@ -70,3 +76,32 @@ def test_payloads_are_parsed_once(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"session_id": "a", "timestamp": "2024-01-01T00:00:00"}\n')
     text = plan(payloads.explode_events(payloads.read_log(spark, str(tmp_path))))
     assert text.count("FileScan json") == 1
+
+
+def test_the_configured_folder_is_used():
+    class Conf:
+        def get(self, key, default):
+            assert key == "spark.checkpoint.dir"
+            return "hdfs:///shared"
+
+    class Session:
+        conf = Conf()
+
+    assert shared_root(Session()) == "hdfs:///shared"
+
+
+def test_task_functions_need_no_installed_package(tmp_path):
+    from keystride.plans import iforest
+
+    pickled = tmp_path / "function"
+    pickled.write_bytes(cloudpickle.dumps(iforest._grow))
+    program = (
+        "import pickle, sys, numpy as np;"
+        f"grow = pickle.load(open({str(pickled)!r}, 'rb'));"
+        "print(len(grow(np.arange(8.0).reshape(8, 1), 0, 1, 8)))"
+    )
+    done = subprocess.run(
+        [sys.executable, "-c", program], cwd=tmp_path, capture_output=True, text=True,
+        env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"},
+    )
+    assert done.stdout.strip() == "15", done.stderr

@@ -122,3 +122,17 @@ def test_scoring_replaces_a_replayed_batch(spark, visits):
             new_path(spark, "c"),
         ).awaitTermination()
     assert spark.read.parquet(out).count() == 7
+
+
+def test_running_on_the_flush_interval(spark, tmp_path):
+    inbox, out = tmp_path / "in", new_path(spark, "o")
+    write(inbox, "1.json", payload("2024-01-01T00:00:00Z", 1.0))
+    events = ingest.accepted_events(ingest.text_stream(spark, str(inbox)))
+    running = ingest.store_events(events, out, new_path(spark, "c"), continuous=True)
+    try:
+        running.processAllAvailable()
+        write(inbox, "2.json", payload("2024-01-01T00:00:05Z", 2.0))
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    assert sorted(r["t"] for r in spark.read.parquet(out).collect()) == [1.0, 2.0]
