@@ -351,6 +351,10 @@ ORACLES["feature_stages"] = f"""with {ACTIVE}
 ORACLES["detector_scale"] = f"""with {FEATURES}
   select {_rounded(S.SESSION_FEATURES)} from scaled"""
 
+ORACLES["iforest_trees"] = f"""
+  select cast(tree as int) as tree, cast(least(n, {S.MAX_SAMPLES}) as int) as drawn,
+         least(n, {S.MAX_SAMPLES}) as in_leaves, 1::bigint as leaves_over_splits
+  from range({S.NUM_TREES}) trees(tree), (select count(*) as n from embeddings)"""
 ORACLES["model_roundtrip"] = """
   select distinct cast(user_id as varchar) as session_id, true as same_score from events"""
 

@@ -1,7 +1,6 @@
 """The session detector (M5-M10, M13, M16, K7, S7): fit, predict, save and load."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from keystride import schema as S
 from keystride.plans.iforest import IsolationForest, IsolationForestModel

@@ -13,6 +13,12 @@ def assembler(names: list[str], output: str = "features") -> VectorAssembler:
     return VectorAssembler(inputCols=names, outputCol=output)
 
 
+def standard_scaler() -> StandardScaler:
+    return StandardScaler(
+        inputCol="features", outputCol="scaled_features", withMean=True, withStd=True
+    )
+
+
 def feature_pipeline(names: list[str] | None = None, k: int = S.PCA_COMPONENTS) -> Pipeline:
     """Assemble, standardise (sample deviation) and reduce to `k` components.
 
@@ -20,19 +26,11 @@ def feature_pipeline(names: list[str] | None = None, k: int = S.PCA_COMPONENTS)
     """
     return Pipeline(stages=[
         assembler(names or S.ACTIVITY_VECTOR),
-        StandardScaler(
-            inputCol="features", outputCol="scaled_features", withMean=True, withStd=True
-        ),
+        standard_scaler(),
         PCA(k=k, inputCol="scaled_features", outputCol="pca_features"),
     ])
 
 
-def standard_scaler() -> StandardScaler:
-    return StandardScaler(
-        inputCol="features", outputCol="scaled_features", withMean=True, withStd=True
-    )
-
-
 def long_rows(vectors: DataFrame, column: str, names: list[str], key: str = "session_id"):
     """A vector column as (key, feature, value) rows."""
     labels = F.array(*[F.lit(n) for n in names])

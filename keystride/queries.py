@@ -369,6 +369,18 @@ def iforest_fit(spark, sf_dir):
     return _embedding_forest(spark, sf_dir)[1].nodes
 
 
+@query
+def iforest_trees(spark, sf_dir):
+    """Rows each tree was grown from, and where they ended up."""
+    nodes = _embedding_forest(spark, sf_dir)[1].nodes
+    leaf = F.col("feature") == iforest.LEAF
+    return nodes.groupBy("tree").agg(
+        F.max(F.when(F.col("node") == 0, F.col("size"))).alias("drawn"),
+        F.sum(F.when(leaf, F.col("size"))).alias("in_leaves"),
+        (F.count_if(leaf) - F.count_if(~leaf)).alias("leaves_over_splits"),
+    )
+
+
 @query
 def iforest_score(spark, sf_dir):
     rows, model = _embedding_forest(spark, sf_dir)
@@ -591,7 +603,7 @@ def stream_ingest(spark, sf_dir):
     ingest.store_events(
         ingest.accepted_events(texts), out, new_path(spark, "stream")
     ).awaitTermination()
-    return _plain_events(spark.read.parquet(out))
+    return _plain_events(payloads.read_events(spark, out))
 
 
 @query

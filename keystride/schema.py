@@ -17,9 +17,19 @@ REQUIRED_FIELDS = ["session_id", "timestamp"]
 
 # One row per key or mouse event. `lane` is key, movement or click: the sequence the event
 # belongs to inside its session. `pos` is unique within a session and breaks ties on `t`.
-EVENT_COLUMNS = [
-    "session_id", "pos", "event_time", "t", "lane", "kind", "key_code", "x", "y", "button",
-]
+EVENT = """
+    session_id string,
+    pos bigint,
+    event_time timestamp,
+    t double,
+    lane string,
+    kind string,
+    key_code int,
+    x double,
+    y double,
+    button string,
+    screen_resolution string
+"""
 
 # Input of the activity aggregate.
 RAW = """

@@ -30,6 +30,11 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """A stored event table, partitioned by day."""
+    return spark.read.schema(f"{S.EVENT}, event_date date").parquet(path)
+
+
 def append_log(payloads: DataFrame, path: str) -> None:
     payloads.write.mode("append").json(path)
 
@@ -89,12 +94,14 @@ def accept(texts: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
 
 def explode_events(payloads: DataFrame) -> DataFrame:
     """Key and mouse elements of all payloads as event rows, in one pass over the payloads."""
-    sent = F.unix_millis(F.col("timestamp").try_cast("timestamp")) * POSITIONS_PER_MILLI
+    # A payload whose time does not parse sorts before the others.
+    sent = F.coalesce(F.unix_millis(F.col("timestamp").try_cast("timestamp")), F.lit(0))
+    first = sent * POSITIONS_PER_MILLI
 
     def event(e: Column, i: Column, lane: Column, **fields: Column) -> Column:
         absent = {"key_code": "int", "x": "double", "y": "double", "button": "string"}
         return F.struct(
-            F.coalesce(e["pos"], sent + i).alias("pos"),
+            F.coalesce(e["pos"], first + i).alias("pos"),
             F.timestamp_micros((e["timestamp"] * 1e6).cast("long")).alias("event_time"),
             e["timestamp"].alias("t"),
             lane.alias("lane"),

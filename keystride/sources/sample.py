@@ -7,8 +7,6 @@ position and key code, and time is compressed so that the two-second rule has bo
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystride import schema as S
-
 # ---- fixed values: how event types and numbers map to interaction fields ------------------
 KEY_TYPES = ["view", "click"]
 MOUSE_TYPES = ["error", "signup", "purchase"]

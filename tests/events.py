@@ -1,26 +1,30 @@
 """Small hand-made event tables."""
 
+from collections import namedtuple
+
 from pyspark.sql import functions as F
 
-EVENT = """session_id string, pos bigint, t double, lane string, kind string, key_code int,
-x double, y double, button string"""
+from keystride import schema as S
+
+Event = namedtuple(
+    "Event", "session pos time t lane kind code x y button resolution",
+    defaults=[None, None, None, None, "1920x1080"],
+)
 
 
 def key(session, pos, t, kind, code=65):
-    return (session, pos, float(t), "key", kind, code, None, None, None)
+    return Event(session, pos, None, float(t), "key", kind, code)
 
 
 def move(session, pos, t, x=0.0, y=0.0):
-    return (session, pos, float(t), "movement", "movement", None, float(x), float(y), None)
+    return Event(session, pos, None, float(t), "movement", "movement", x=float(x), y=float(y))
 
 
 def click(session, pos, t, x=0.0, y=0.0, button="0"):
-    return (session, pos, float(t), "click", "click", None, float(x), float(y), button)
+    return Event(session, pos, None, float(t), "click", "click", None, float(x), float(y), button)
 
 
 def table(spark, rows):
-    return (
-        spark.createDataFrame(rows, EVENT)
-        .withColumn("event_time", F.timestamp_micros((F.col("t") * 1e6).cast("long")))
-        .withColumn("screen_resolution", F.lit("1920x1080"))
+    return spark.createDataFrame([tuple(r) for r in rows], S.EVENT).withColumn(
+        "event_time", F.timestamp_micros((F.col("t") * 1e6).cast("long"))
     )

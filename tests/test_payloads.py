@@ -156,7 +156,7 @@ def test_full_flushes_are_split_and_nothing_is_lost(spark):
              for s in ("bot", "me")}
     assert sizes == {"bot": [10] * 5, "me": [3, 5]}
     assert sorted((r["session_id"], e["pos"]) for r in docs for e in r["keystroke_data"]) == \
-        sorted((r[0], r[1]) for r in rows)
+        sorted((r.session, r.pos) for r in rows)
 
 
 def test_a_resend_under_another_device_is_still_a_copy(spark, log):

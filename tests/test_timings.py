@@ -25,31 +25,31 @@ def measured(rows, **options):
 def by_hand(rows):
     """The definitions, one session and one row at a time."""
     out = {}
-    for session in {r[0] for r in rows}:
-        mine = sorted((r for r in rows if r[0] == session), key=lambda r: (r[2], r[1]))
+    for session in {r.session for r in rows}:
+        mine = sorted((r for r in rows if r.session == session), key=lambda r: (r.t, r.pos))
         for lane in ("key", "movement", "click"):
-            events = [r for r in mine if r[3] == lane]
+            events = [r for r in mine if r.lane == lane]
             valid = None
             for i, e in enumerate(events):
                 m = dict.fromkeys(MEASURES)
                 prior = events[i - 1] if i else None
                 if lane == "key":
                     if prior:
-                        m["key_gap"] = e[2] - prior[2]
-                        if e[4] == "keydown" and m["key_gap"] < 2.0:
+                        m["key_gap"] = e.t - prior.t
+                        if e.kind == "keydown" and m["key_gap"] < 2.0:
                             m["interkey"] = m["key_gap"]
-                    if e[4] == "keydown":
-                        ups = [x for x in events[i + 1:] if x[4] == "keyup" and x[5] == e[5]]
-                        m["hold"] = ups[0][2] - e[2] if ups else None
+                    if e.kind == "keydown":
+                        ups = [x for x in events[i + 1:] if x.kind == "keyup" and x.code == e.code]
+                        m["hold"] = ups[0].t - e.t if ups else None
                 if lane == "movement" and prior:
-                    dx, dy, dt = e[6] - prior[6], e[7] - prior[7], e[2] - prior[2]
+                    dx, dy, dt = e.x - prior.x, e.y - prior.y, e.t - prior.t
                     m["angle"] = math.atan2(dy, dx)
                     if dt > 0:
                         m["velocity"] = math.sqrt(dx * dx + dy * dy) / dt
                         if valid is not None:
                             m["acceleration"] = (m["velocity"] - valid) / dt
                         valid = m["velocity"]
-                out[session, e[1]] = m
+                out[session, e.pos] = m
     return out
 
 
