@@ -48,9 +48,9 @@ def metrics_by_window(
     )
 
 
-def append_metrics(record: DataFrame, root: str, version: str) -> None:
+def append_metrics(record: DataFrame, root: str, version: str, written_at: str) -> None:
     """A metrics row as JSON under a key named by its time."""
-    record.withColumn("version", F.lit(version)).coalesce(1).write.mode("append").json(
+    record.withColumn("timestamp", F.lit(written_at)).coalesce(1).write.mode("append").json(
         f"{root}/metrics/{version}"
     )
 

@@ -104,14 +104,18 @@ def align(features: DataFrame, names: list[str], keep: tuple[str, ...] = ("sessi
     )
 
 
-def activity_features(raw: DataFrame, by: tuple = ("session_id",)) -> DataFrame:
+def activity_features(
+    raw: DataFrame, by: tuple[str, ...] = ("session_id",), approximate: bool = False
+) -> DataFrame:
     """The activity aggregate over interaction rows; sample standard deviations.
 
     Distinct click positions are counted on their own, over click rows only: beside the
     percentile and the sets, each position would carry a digest of its own. A busy session's
-    clicks spread over all tasks by position before they are counted.
+    clicks spread over all tasks by position before they are counted. `approximate` counts
+    them with a sketch in the main pass instead.
     """
     hour = F.hour("timestamp")
+    sketch = F.approx_count_distinct("mouse_click_position").alias("distinct_click_positions")
     activity = raw.groupBy(*by).agg(
         F.avg("time_between_keystrokes").alias("avg_typing_speed"),
         F.stddev_samp("time_between_keystrokes").alias("typing_rhythm_consistency"),
@@ -122,7 +126,10 @@ def activity_features(raw: DataFrame, by: tuple = ("session_id",)) -> DataFrame:
         F.array_sort(F.collect_set("screen_resolution")).alias("screen_resolution_changes"),
         F.count(F.lit(1)).alias("total_interactions"),
         F.count_if((hour >= 0) & (hour <= 5)).alias("late_night_activity"),
+        *([sketch] if approximate else []),
     )
+    if approximate:
+        return activity
     clicks = (
         raw.filter(F.col("mouse_click_position").isNotNull())
         .groupBy(*by)

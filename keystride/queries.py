@@ -515,7 +515,7 @@ def auc_roc(spark, sf_dir):
 def model_monitor(spark, sf_dir):
     record = monitoring.metrics(sample.scored_documents(spark, sf_dir))
     root = new_path(spark, "monitoring")
-    monitoring.append_metrics(record, root, VERSION)
+    monitoring.append_metrics(record, root, VERSION, "2024-01-31T00:00:00")
     return spark.read.schema(record.schema).json(f"{root}/metrics/{VERSION}")
 
 

@@ -89,6 +89,12 @@ def test_activity_edges(spark):
     assert found["many"]["screen_resolution_changes"] == ["1x2", "2x1"]
 
 
+def test_approximate_click_count_needs_one_pass(spark):
+    exact, sketched = activity_features(raw(spark)), activity_features(raw(spark), approximate=True)
+    assert sorted(exact.columns) == sorted(sketched.columns)
+    assert exact.exceptAll(sketched.select(exact.columns)).isEmpty()
+
+
 def test_raw_rows_can_be_queried_and_stored(spark):
     view = register_raw(raw(spark))
     assert spark.sql(f"select count(*) from {view}").first()[0] == 8

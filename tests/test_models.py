@@ -241,6 +241,10 @@ def test_monitoring_counts_the_bound_as_high(spark):
     assert found["true_positive_rate"] == found["false_positive_rate"] == 0.25
     assert found["recall"] == 0.5 and found["fall_out"] == 1.0
     assert "recall" not in monitoring.metrics(rows, labelled=False).columns
+    root = new_path(spark, "monitoring")
+    monitoring.append_metrics(monitoring.metrics(rows), root, "v1", "2024-01-01T00:00:00")
+    stored = spark.read.json(f"{root}/metrics/v1").first()
+    assert stored["timestamp"] == "2024-01-01T00:00:00" and stored["prediction_count"] == 4
     empty = monitoring.metrics(rows.limit(0)).first()
     assert empty["prediction_count"] == 0 and empty["true_positive_rate"] is None
 
