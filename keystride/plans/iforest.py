@@ -95,6 +95,8 @@ def _grow(x: np.ndarray, tree: int, seed: int, limit: int) -> list[tuple]:
             continue
         feature = int(rng.choice(varying))
         split = float(rng.uniform(low[feature], high[feature]))
+        if split >= high[feature]:  # neighbouring floats can round up; both sides need rows
+            split = float(low[feature])
         below = x[members, feature] <= split
         nodes[node][2:4] = feature, split
         open_nodes.append((members[~below], depth + 1, node, 5))

@@ -88,6 +88,13 @@ def test_score_follows_the_path_lengths(points, fitted):
         assert score == pytest.approx(expected, rel=1e-12)
 
 
+def test_neighbouring_floats_can_be_split():
+    x = np.array([[1.0], [np.nextafter(1.0, 2.0)]])
+    for seed in range(50):
+        nodes = iforest._grow(x, 0, seed, 8)
+        assert sorted(n[6] for n in nodes) == [1, 1, 2]
+
+
 def test_mean_path():
     assert [iforest.mean_path(n) for n in (0, 1, 2)] == [0.0, 0.0, 1.0]
     assert iforest.mean_path(256) == pytest.approx(10.244770920116851)
