@@ -167,6 +167,11 @@ class _ForestParams(HasFeaturesCol, HasPredictionCol, HasSeed):
 
 
 class IsolationForest(Estimator, _ForestParams, DefaultParamsReadable, DefaultParamsWritable):
+    """Fitting reads the rows three times: to count, to sample and to score them.
+
+    Hand it a written table rather than a long plan (see session.materialise).
+    """
+
     @keyword_only
     def __init__(self, *, featuresCol=None, predictionCol=None, idCol=None, scoreCol=None,
                  anomalyCol=None, numTrees=None, maxSamples=None, contamination=None, seed=None):

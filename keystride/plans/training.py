@@ -35,7 +35,8 @@ def ensemble(
 def fit_ensemble(training: DataFrame, label: str | None = "label", **settings) -> PipelineModel:
     """Fit the isolation forest on all rows and the random forest on the labelled ones.
 
-    Without a single label the isolation forest stays alone.
+    Without a single label the isolation forest stays alone. The rows are read many times:
+    hand in a written table.
     """
     labelled = training.filter(F.col(label).isNotNull()) if label else None
     if labelled is None or labelled.isEmpty():
