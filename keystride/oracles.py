@@ -292,7 +292,7 @@ ORACLES["mobile_user_agent"] = f"""
   from events"""
 
 # ---- payloads -----------------------------------------------------------------------------
-ORACLES["payload_validation"] = """
+CHECKED = """
   with bodies as (
     select event_id, case event_type
       when 'view' then '{"session_id":"' || user_id || '","timestamp":"' || ts
@@ -303,10 +303,14 @@ ORACLES["payload_validation"] = """
       else '["session_id","timestamp",' || user_id || ']' end as raw
     from events
   ),
-  parsed as (select event_id, json_keys(try_cast(raw as json)) as names from bodies)
-  select event_id, coalesce(list_contains(names, 'session_id')
-                            and list_contains(names, 'timestamp'), false) as is_valid
-  from parsed"""
+  parsed as (select *, json_keys(try_cast(raw as json)) as names from bodies),
+  checked as (
+    select event_id, raw, coalesce(list_contains(names, 'session_id')
+                                   and list_contains(names, 'timestamp'), false) as is_valid
+    from parsed
+  )"""
+ORACLES["payload_validation"] = f"{CHECKED} select event_id, is_valid from checked"
+ORACLES["stream_rejected"] = f"{CHECKED} select raw from checked where not is_valid"
 _PLAIN = f"""with {EV}
   select session_id, pos, lane, kind, key_code, x, y, button, {r("t", "t")} from ev"""
 for _name in ("explode_events", "read_session_log", "read_session_doc", "dedup_events",

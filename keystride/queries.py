@@ -606,6 +606,16 @@ def stream_ingest(spark, sf_dir):
     return _plain_events(payloads.read_events(spark, out))
 
 
+@query
+def stream_rejected(spark, sf_dir):
+    inbox, out = new_path(spark, "inbox"), new_path(spark, "rejected")
+    sample.payload_texts(spark, sf_dir).select("raw").write.text(inbox)
+    ingest.store_rejected(
+        ingest.text_stream(spark, inbox), out, new_path(spark, "stream")
+    ).awaitTermination()
+    return spark.read.parquet(out)
+
+
 @query
 def stream_dedup(spark, sf_dir):
     texts = ingest.text_stream(spark, _payload_folder(spark, sf_dir, copies=2))
