@@ -21,17 +21,18 @@ from keystride.session import materialise
 
 KEY = "keystride"
 MOST_DRAWS = 60
-TITLE = r"(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sra|г-н|г-жа)"
+TITLE = r"\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sra|г-н|г-жа)"
 FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|г-жа)\b"
 #: In this order: what an earlier pattern can match is no match of a later one.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,63}",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?!\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ -]\d{4}(?!\d)|(?<!\d)\d{3}-\d{3}-\d{4}(?!\d)",
     "name": TITLE + r"\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
+CODE = r"^(\+\d{1,3}(?=[ .(-]))"
 ANY = "|".join(PATTERNS.values())
 #: Made-up given names by script and gender.
 GIVEN = {
@@ -62,9 +63,9 @@ def canonical(mention: Column) -> Column:
     return F.when(mention.rlike(f"^{TITLE}"), mention).otherwise(F.lower(mention))
 
 
-def _draw(type_: Column, form: Column, attempt: Column, part: str = "") -> Column:
+def _draw(type_: Column, form: Column, attempt: Column) -> Column:
     """64 hexadecimal digits that depend on the key, the entity and the attempt."""
-    return F.sha2(F.concat_ws("\x1f", F.lit(KEY), type_, form, attempt.cast("string"), F.lit(part)), 256)
+    return F.sha2(F.concat_ws("\x1f", F.lit(KEY), type_, form, attempt.cast("string")), 256)
 
 
 def _hex(digits: Column, at: int, n: int) -> Column:
@@ -91,11 +92,9 @@ def surrogate(type_: Column, form: Column, attempt: Column) -> Column:
     ip = F.array_join(F.transform(F.array(*[F.lit(i) for i in (1, 3, 5, 7)]), lambda i: F.conv(d.substr(i, F.lit(2)), 16, 10)), ".")
     digits = _redrawn(form, d, "0123456789", r"^\d$")
     # The country code of a telephone number stays.
-    code = F.regexp_extract(form, r"^(\+\d{1,3}(?=[ .(-]))?", 1)
-    phone = F.concat(code, _redrawn(F.expr("substring(form, length(regexp_extract(form, '^([+]\\\\d{1,3}(?=[ .(-]))?', 1)) + 1)"), d, "0123456789", r"^\d$"))
-    secret = _redrawn(form, F.concat(d), "0123456789abcdef", "^[0-9a-f]$")
-    secret = F.concat(F.substring(d, 1, 32), F.expr("substring(form, 33)"))
-    secret = F.when(F.length(form) <= 64, F.substring(d, F.lit(1), F.length(form).cast("int"))).otherwise(secret)
+    code = F.regexp_extract(form, CODE, 1)
+    phone = F.concat(code, _redrawn(F.regexp_replace(form, CODE, ""), d, "0123456789", r"^\d$"))
+    secret = F.substring(d, F.lit(1), F.length(form).cast("int"))
 
     def named(script: str, gender: str) -> Column:
         given, parts = GIVEN[script, gender], F.lit(SYLLABLES[script])

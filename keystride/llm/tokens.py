@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-KEPT_PIECES = 1_500_000
+KEPT_PIECES = 1_000_000
 END = 1
 
 
@@ -41,10 +41,14 @@ class PieceEncoder:
         if None in found:
             missing = [i for i, x in enumerate(found) if x is None]
             new = [pieces[i] for i in missing]
-            if len(self.pieces) + len(new) > self.kept:
+            known = self._ids(new)
+            for i, ids in zip(missing, known):
+                found[i] = ids
+            # A full table stays while it knows most pieces: what came first is what comes often.
+            if len(self.pieces) + len(new) > self.kept and 2 * len(new) > len(pieces):
                 self.pieces.clear()
-            for i, piece, ids in zip(missing, new, self._ids(new)):
-                found[i] = self.pieces[piece] = ids
+            if len(self.pieces) + len(new) <= self.kept:
+                self.pieces.update(zip(new, known))
         return found
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
