@@ -101,7 +101,7 @@ def worker_encoder(path: str, space_opens: bool, lower: bool) -> PieceEncoder:
     return kept[key]
 
 
-def slices(texts: list[str], most: int = 2 << 20) -> list[tuple[int, int]]:
+def slices(texts: list[str], most: int = 4 << 20) -> list[tuple[int, int]]:
     """Runs of texts of at most `most` characters, or single texts."""
     out, first, held = [], 0, 0
     for i, t in enumerate(texts):
