@@ -35,8 +35,8 @@ from keystride.llm.tokens import documents_ids, worker_encoder
 from keystride.session import new_path
 
 SCALE = 18
-LANES = 512
-BLOCK_IDS = 1 << 18
+LANES = 4096
+BLOCK_IDS = 1 << 19
 SEGMENT_IDS = 1 << 21
 LOW = np.uint64(1 << 31)
 HEAD = "<4sIIIIQ"
@@ -100,8 +100,12 @@ def decode_block(n: int, state: np.ndarray, words: np.ndarray, freq: np.ndarray,
 
 
 def encode_segment(names: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    symbols, codes = np.unique(ids, return_inverse=True)
-    freq = scaled(np.bincount(codes, minlength=len(symbols)))
+    counts = np.bincount(ids)
+    symbols = np.nonzero(counts)[0]
+    number = np.zeros(len(counts), np.int32)
+    number[symbols] = np.arange(len(symbols))
+    codes = number[ids]
+    freq = scaled(counts[symbols])
     first = np.cumsum(freq) - freq
     heads, bodies = [], []
     for at in range(0, len(ids), BLOCK_IDS):

@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 
 KEPT_PIECES = 1_000_000
 END = 1
+ENDS = {" ": " ", "\x00": r"\x00"}  # a separator as a pattern
 
 
 class PieceEncoder:
@@ -69,7 +70,11 @@ class PieceEncoder:
             cut = [t if o else t.replace("\n", " ") for t, o in zip(texts, odd)]
             mark = " "
         # A text of two spaces is one piece: the pieces of the others are found together.
-        plain = pc.split_pattern(pa.array([None if o else t for t, o in zip(cut, odd)], pa.large_string()), mark)
+        plain = pa.array([None if o else t for t, o in zip(cut, odd)], pa.large_string())
+        # A lone mark between a letter and a space is a piece of its own in either form, and without
+        # it the word before is one piece wherever it stands.
+        plain = pc.replace_substring_regex(plain, rf"([A-Za-z])([.,])({ENDS[mark]}|$)", rf"\1{mark}\2\3")
+        plain = pc.split_pattern(plain, mark)
         flat = plain.flatten().dictionary_encode()
         table = self._known(flat.dictionary.to_pylist())
         table += self._known([t for t, o in zip(texts, odd) if o])
