@@ -46,7 +46,9 @@ def millis_to_seconds(millis: Column) -> Column:
 
 
 def iso_timestamp(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    """UTC, whatever the session's zone."""
+    utc = F.to_utc_timestamp(ts, F.current_timezone())
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
 def version_of(ts: Column) -> Column:

@@ -90,7 +90,36 @@ def nearest(
         .select(*within, "carried")
     )
     return (
-        found.join(edges, within, "left")
+        _beside(found, edges, within)
         .withColumn(name, F.coalesce(name, "carried"))
         .drop("carried")
     )
+
+
+def position(rows: DataFrame, name: str, by: list[str]) -> DataFrame:
+    """Add `name`: the place, from 0, of each row in its group."""
+    sliced = SLICE in rows.columns
+    within = [*by, SLICE] if sliced else by
+    place = F.row_number().over(Window.partitionBy(*within).orderBy(*ORDER)) - 1
+    found = rows.withColumn(name, place.cast("long"))
+    if not sliced:
+        return found
+
+    earlier = (
+        Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    counts = (
+        rows.groupBy(*within)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(*within, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    )
+    return _beside(found, counts, within).withColumn(name, F.col(name) + F.col("before")).drop(
+        "before"
+    )
+
+
+def _beside(rows: DataFrame, others: DataFrame, within: list[str]) -> DataFrame:
+    """Rows with what `others` hold for their group; as in a window, NULL keys are one group."""
+    others = others.withColumnsRenamed({c: f"_{c}" for c in within})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in within]
+    return rows.join(others, same, "left").drop(*[f"_{c}" for c in within])

@@ -1,6 +1,6 @@
 """Timing and movement quantities of every event, relative to its neighbours."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystride import schema as S
@@ -53,6 +53,11 @@ def _timings(events: DataFrame) -> DataFrame:
     ).drop("released")
 
 
+def click_position() -> Column:
+    place = F.concat_ws(",", F.col("x").cast("string"), F.col("y").cast("string"))
+    return F.when(F.col("lane") == "click", place)
+
+
 def interactions(timed: DataFrame) -> DataFrame:
     """Timed rows in the column layout the activity aggregate reads, one per event."""
     width, height = screen_size(F.col("screen_resolution"))
@@ -63,10 +68,7 @@ def interactions(timed: DataFrame) -> DataFrame:
         F.col("key_gap").alias("time_between_keystrokes"),
         F.col("velocity").alias("mouse_velocity"),
         F.col("angle").alias("mouse_movement_angle"),
-        F.when(
-            F.col("lane") == "click",
-            F.concat_ws(",", F.col("x").cast("string"), F.col("y").cast("string")),
-        ).alias("mouse_click_position"),
+        click_position().alias("mouse_click_position"),
         F.when(height > width, "portrait").when(height <= width, "landscape")
         .alias("device_orientation"),
         "screen_resolution",

@@ -316,7 +316,9 @@ _PLAIN = f"""with {EV}
 for _name in ("explode_events", "read_session_log", "read_session_doc", "dedup_events",
               "stream_ingest", "stream_dedup"):
     ORACLES[_name] = _PLAIN
-ORACLES["session_document"] = f"""with {EV}, {DEVICES}
+ORACLES["session_document"] = f"""with {EV}, {DEVICES}, placed as (
+    select *, (row_number() over (partition by session_id, floor(t / 5) order by t, pos) - 1)
+              // 50 as run from ev)
   select session_id, strftime(max(event_time), '%Y-%m-%dT%H:%M:%S.%fZ') as "timestamp",
          {r("max(t) - any_value(session_start)", "session_duration")},
          cast(count(*) filter (where lane = 'key') as int) as keys,
@@ -324,7 +326,7 @@ ORACLES["session_document"] = f"""with {EV}, {DEVICES}
          min(pos) filter (where lane = 'key') as first_key_pos,
          max(pos) filter (where lane <> 'key') as last_mouse_pos,
          any_value(users.screen_resolution) as screen_resolution
-  from ev join users using (session_id) group by session_id, floor(t / 5)"""
+  from placed join users using (session_id) group by session_id, floor(t / 5), run"""
 ORACLES["merge_payloads"] = f"""with {EV}, {DEVICES}
   select session_id, {r("any_value(session_duration)", "session_duration")},
          any_value(users.screen_resolution) as screen_resolution, count(*) as events,

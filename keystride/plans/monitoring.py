@@ -55,12 +55,22 @@ def append_metrics(record: DataFrame, root: str, version: str, written_at: str)
     )
 
 
+def _has_risk() -> Column:
+    return F.col("risk_score").isNotNull() & ~F.isnan("risk_score")
+
+
+def unscored_share(scored: DataFrame) -> DataFrame:
+    """Share of rows without a risk score, which drift leaves out."""
+    return scored.agg(
+        F.try_divide(F.count_if(~_has_risk()), F.count(F.lit(1))).alias("unscored_share")
+    )
+
+
 def _shares(scored: DataFrame, name: str) -> DataFrame:
-    """Share of rows per risk bin; the total is summed from the at most ten bins."""
-    bin_of = F.least(
-        F.floor(F.col("risk_score") * DRIFT_BINS), F.lit(DRIFT_BINS - 1)
-    ).cast("int")
-    counts = scored.groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    """Share of scored rows per risk bin; the total is summed from the at most ten bins."""
+    cell = F.floor(F.col("risk_score") * DRIFT_BINS)
+    bin_of = F.greatest(F.least(cell, F.lit(DRIFT_BINS - 1)), F.lit(0)).cast("int")
+    counts = scored.filter(_has_risk()).groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     pairs = counts.agg(
         F.collect_list(F.struct("bin", "n")).alias("bins"), F.sum("n").alias("total")
     )

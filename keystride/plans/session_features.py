@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from keystride import schema as S
 from keystride.functions.scalars import screen_size
-from keystride.operators.timings import interactions, timed_rows
+from keystride.operators.timings import click_position, interactions, timed_rows
 
 
 def _keystroke_aggregates() -> list[Column]:
@@ -105,14 +105,16 @@ def align(features: DataFrame, names: list[str], keep: tuple[str, ...] = ("sessi
 
 
 def activity_features(
-    raw: DataFrame, by: tuple[str, ...] = ("session_id",), approximate: bool = False
+    raw: DataFrame, by: tuple[str, ...] = ("session_id",), approximate: bool = False,
+    clicks: DataFrame | None = None,
 ) -> DataFrame:
     """The activity aggregate over interaction rows; sample standard deviations.
 
     Distinct click positions are counted on their own, over click rows only: beside the
-    percentile and the sets, each position would carry a digest of its own. A busy session's
-    clicks spread over all tasks by position before they are counted. `approximate` counts
-    them with a sketch in the main pass instead.
+    percentile and the sets, each position would carry a digest of its own. `clicks` are the
+    same click positions from rows that no window has partitioned by session yet: then a busy
+    session's positions spread over all tasks before they are counted. `approximate` counts them with a
+    sketch in the main pass instead.
     """
     hour = F.hour("timestamp")
     sketch = F.approx_count_distinct("mouse_click_position").alias("distinct_click_positions")
@@ -130,8 +132,9 @@ def activity_features(
     )
     if approximate:
         return activity
+    clicks = raw if clicks is None else clicks
     clicks = (
-        raw.filter(F.col("mouse_click_position").isNotNull())
+        clicks.filter(F.col("mouse_click_position").isNotNull())
         .groupBy(*by)
         .agg(F.count_distinct("mouse_click_position").alias("distinct_click_positions"))
     )
@@ -139,4 +142,5 @@ def activity_features(
 
 
 def session_activity(events: DataFrame, max_rows: int | None = None) -> DataFrame:
-    return activity_features(interactions(timed_rows(events, max_rows)))
+    clicks = events.select("session_id", click_position().alias("mouse_click_position"))
+    return activity_features(interactions(timed_rows(events, max_rows)), clicks=clicks)

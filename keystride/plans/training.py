@@ -52,7 +52,8 @@ def score(model: PipelineModel, rows: DataFrame, rf_mode: str = "probability") -
     if "rf_prediction" in scored.columns:
         forest = (
             F.col("rf_prediction") if rf_mode == "label"
-            else vector_to_array("rf_probability")[1]
+            # A forest that saw one class only has no second probability.
+            else F.coalesce(F.get(vector_to_array("rf_probability"), F.lit(1)), F.lit(0.0))
         )
     return scored.withColumn("risk_score", ensemble_risk(F.col("iforest_prediction"), forest))
 

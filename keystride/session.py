@@ -18,6 +18,9 @@ def build(master: str | None = None, shuffle_partitions: int | None = None) -> S
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # Stream state on local disk with its log in the checkpoint, not on the heap.
         .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        .config(
+            "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"
+        )
         .config("spark.ui.enabled", "false")
         # Call sites in error messages cost more than building the plan itself.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
@@ -40,7 +43,7 @@ def shared_root(spark: SparkSession) -> str:
         return configured
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="keystride-"))
     return context.getCheckpointDir()

@@ -40,15 +40,18 @@ def versions(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_latest(spark: SparkSession, root: str) -> DataFrame:
-    """The newest version; only its own partition is opened."""
-    newest = versions(spark, root).agg(F.max("version")).first()[0]
+    """The version written last by its metadata; only its own partition is opened."""
+    written = F.struct(F.col("timestamp").try_cast("timestamp"), "version")
+    newest = metadata(spark, root).agg(F.max_by("version", written)).first()[0]
     if newest is None:
         raise ValueError(f"no feature version below {root}")
     return read_version(spark, root, newest).withColumn("version", F.lit(newest))
 
 
 def retention(known: DataFrame, as_of, days: int = S.RETENTION_DAYS) -> DataFrame:
-    """(version, keep): versions older than `days` before `as_of` may be deleted."""
-    written = F.to_timestamp("version", S.VERSION_FORMAT)
+    """(version, keep): versions older than `days` before `as_of` may be deleted.
+
+    A name that is no time says nothing about age, so its version stays."""
+    written = F.try_to_timestamp("version", F.lit(S.VERSION_FORMAT))
     oldest = F.to_timestamp(F.lit(as_of)) - F.expr(f"interval {days} days")
-    return known.select("version", (written >= oldest).alias("keep"))
+    return known.select("version", F.coalesce(written >= oldest, F.lit(True)).alias("keep"))

@@ -5,18 +5,19 @@ from pyspark.sql import functions as F
 
 from keystride import schema as S
 from keystride.functions.scalars import iso_timestamp
-from keystride.session import materialise
+from keystride.operators.slicing import SLICE, per_group, position
 
 CORRUPT = "_corrupt_record"
 # Indented documents span lines, so a file of many needs another separator: the record
 # separator of JSON text sequences (RFC 7464).
 RECORD_SEPARATOR = "\x1e"
+# About the year 9999; microseconds beyond it leave the range of a timestamp.
+MOST_SECONDS = 253_402_300_799
 # Elements without a position get one from the payload time and their index.
 POSITIONS_PER_MILLI = 1_000_000
-# The client flushes on this clock, and at 50 events. No document holds more than BLOCK, so
-# what is collected into one row stays small however busy a session is.
+# The client flushes on this clock, and at 50 events: its documents hold no more.
 FLUSH_SECONDS = 5
-BLOCK = 1000
+BLOCK = 50
 # Fields that make two events the same event.
 IDENTITY = ["session_id", "lane", "kind", "key_code", "x", "y", "button", "t"]
 
@@ -82,14 +83,19 @@ def validate(texts: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def accept(texts: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
-    """Parsed payloads, and the texts to quarantine."""
-    checked = validate(texts, raw)
-    parsed = (
-        checked.filter("is_valid")
-        .select(F.from_json(F.col(raw), S.PAYLOAD).alias("payload"))
-        .select("payload.*")
-    )
-    return parsed, checked.filter(~F.col("is_valid")).drop("is_valid")
+    """Parsed payloads, and the texts to quarantine: those that are no payload, and those of
+    which a field or a time would be lost in parsing."""
+    checked = validate(texts, raw).withColumn("payload", F.from_json(
+        F.col(raw), f"{S.PAYLOAD}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT}
+    ))
+    # A field of the wrong type would parse to NULL and its events vanish; so would a time
+    # that no timestamp holds.
+    times = [F.col(f"payload.{f}.timestamp") for f in ("keystroke_data", "mouse_data")]
+    late = [F.coalesce(F.exists(t, lambda x: F.abs(x) > MOST_SECONDS), F.lit(False)) for t in times]
+    whole = F.col("is_valid") & F.col(f"payload.{CORRUPT}").isNull() & ~late[0] & ~late[1]
+    checked = checked.withColumn("is_whole", F.coalesce(whole, F.lit(False)))
+    parsed = checked.filter("is_whole").select("payload.*").drop(CORRUPT)
+    return parsed, checked.filter(~F.col("is_whole")).drop("is_valid", "is_whole", "payload")
 
 
 def explode_events(payloads: DataFrame) -> DataFrame:
@@ -97,12 +103,14 @@ def explode_events(payloads: DataFrame) -> DataFrame:
     # A payload whose time does not parse sorts before the others.
     sent = F.coalesce(F.unix_millis(F.col("timestamp").try_cast("timestamp")), F.lit(0))
     first = sent * POSITIONS_PER_MILLI
+    # Mouse elements count on after the key elements of their payload.
+    keys_before = F.greatest(F.coalesce(F.size("keystroke_data"), F.lit(0)), F.lit(0))
 
     def event(e: Column, i: Column, lane: Column, **fields: Column) -> Column:
         absent = {"key_code": "int", "x": "double", "y": "double", "button": "string"}
         return F.struct(
             F.coalesce(e["pos"], first + i).alias("pos"),
-            F.timestamp_micros((e["timestamp"] * 1e6).cast("long")).alias("event_time"),
+            F.timestamp_micros(F.round(e["timestamp"] * 1e6).try_cast("long")).alias("event_time"),
             e["timestamp"].alias("t"),
             lane.alias("lane"),
             fields["kind"].alias("kind"),
@@ -113,7 +121,7 @@ def explode_events(payloads: DataFrame) -> DataFrame:
         e, i, F.lit("key"), kind=e["event_type"], key_code=e["key_code"]
     ))
     mouse = F.transform("mouse_data", lambda e, i: event(
-        e, i, e["type"], kind=e["type"], x=e["x"], y=e["y"], button=e["button"]
+        e, i + keys_before, e["type"], kind=e["type"], x=e["x"], y=e["y"], button=e["button"]
     ))
     present = F.filter(F.array(keys, mouse), lambda a: a.isNotNull())
     return payloads.select(
@@ -137,32 +145,30 @@ def session_records(payloads: DataFrame) -> DataFrame:
     )
 
 
-def _batches(events: DataFrame, block: int) -> DataFrame:
-    """Add (flush, part): the flush interval, and the block of positions if it overflows."""
+def _batches(events: DataFrame, block: int, max_rows: int | None) -> DataFrame:
+    """Add (flush, part): the flush interval, and the run of `block` events in it."""
     rows = events.withColumn("flush", F.floor(F.col("t") / FLUSH_SECONDS))
-    by = ["session_id", "flush"]
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    whole = F.lit(0).cast("long").alias("part")
-    if largest <= block:
-        return rows.select("*", whole)
-    # Positions are unique in a session, so a block of them bounds what it holds. Semi and
-    # anti joins let Spark split an interval too full for one task.
-    over = materialise(sizes.filter(F.col("n") > block).select(*by), "full-flushes")
-    within = rows.join(over, by, "left_anti").select("*", whole)
-    beyond = rows.join(over, by, "left_semi").select(
-        "*", F.floor(F.col("pos") / block).alias("part")
+
+    def placed(part: DataFrame) -> DataFrame:
+        # One exchange by session, or by slice of a session, serves the ranks as well.
+        part = part.repartition(*[c for c in ("session_id", SLICE) if c in part.columns])
+        return position(part, "place", ["session_id", "flush"])
+
+    return per_group(rows, placed, max_rows=max_rows).withColumn(
+        "part", F.floor(F.col("place") / block)
     )
-    return within.unionByName(beyond)
 
 
-def documents(events: DataFrame, sessions: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Payload documents from event rows: one per session and flush interval.
+def documents(
+    events: DataFrame, sessions: DataFrame, block: int = BLOCK, max_rows: int | None = None
+) -> DataFrame:
+    """Payload documents from event rows: runs of `block` events of each flush interval.
 
-    A document never holds more than `block` events, so no task collects a whole session;
-    the documents of a session add up to it, as the client's flushes do.
+    The rule is the same at every size, so no task collects a whole session; the documents of
+    a session add up to it, as the client's flushes do. A session without a record starts with
+    its first event and has no device.
     """
-    elements = _batches(events.filter(F.col("session_id").isNotNull()), block).select(
+    elements = _batches(events.filter(F.col("session_id").isNotNull()), block, max_rows).select(
         "session_id",
         "flush",
         "part",
@@ -189,10 +195,12 @@ def documents(events: DataFrame, sessions: DataFrame, block: int = BLOCK) -> Dat
         F.array_sort(F.collect_list("key_event")).alias("keys"),
         F.array_sort(F.collect_list("mouse_event")).alias("mice"),
     )
-    return batches.join(sessions, "session_id").select(
+    first = elements.groupBy("session_id").agg(F.min("t").alias("first_event"))
+    known = first.join(sessions, "session_id", "left")
+    return batches.join(known, "session_id").select(
         "session_id",
         iso_timestamp(F.col("sent")).alias("timestamp"),
-        (F.col("until") - F.col("session_start")).alias("session_duration"),
+        (F.col("until") - F.coalesce("session_start", "first_event")).alias("session_duration"),
         F.transform("keys", lambda e: F.struct(
             e["event_type"].alias("event_type"), e["key_code"].alias("key_code"),
             e["timestamp"].alias("timestamp"), e["pos"].alias("pos"),

@@ -9,15 +9,13 @@ from pyspark.sql.streaming import StreamingQuery
 from keystride.session import materialise
 from keystride.streaming.ingest import start
 
-MERGE_EARLY = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
-
 
 def closed_sessions(events: DataFrame, gap: str, delay: str) -> DataFrame:
     """Sessions that ended: no event for `gap`, and the watermark has passed the end.
 
-    Rows merge before the shuffle, so a busy session sends one row per task and batch.
+    With the setting of `session.build`, rows merge before the shuffle, so a busy session sends
+    one row per task and batch.
     """
-    events.sparkSession.conf.set(MERGE_EARLY, "true")
     return (
         events.withWatermark("event_time", delay)
         .groupBy("session_id", F.session_window("event_time", gap).alias("s"))
@@ -53,7 +51,7 @@ def features_of_closed(
     def process(batch: DataFrame, batch_id: int) -> None:
         # Written once: every further read of a stateful batch would run its state again.
         ended = materialise(
-            batch.select("session_id", "session_start", "last_event"), "closed"
+            batch.select("session_id", "session_start", "last_event", "events"), "closed"
         )
         days = ended.agg(
             F.to_date(F.min("session_start")), F.to_date(F.max("last_event"))
@@ -69,10 +67,25 @@ def features_of_closed(
                 (F.col("e.session_id") == F.col("s.session_id"))
                 & F.col("e.event_time").between(F.col("s.session_start"), F.col("s.last_event")),
             )
-            .select("e.*", named.alias("window_id"))
+            .select("e.*", "s.events", named.alias("window_id"))
             .withColumn("session_id", F.col("window_id"))
             .drop("window_id")
         )
+        # Written as well: the count below and the features must see the same table.
+        members = materialise(members, "closed-events")
+        held = members.groupBy("session_id").agg(F.count(F.lit(1)).alias("held"))
+        expected = ended.select(
+            F.concat_ws("@", "session_id", F.unix_micros("session_start")).alias("session_id"),
+            "events",
+        )
+        short = expected.join(held, "session_id", "left").filter(
+            F.coalesce("held", F.lit(0)) < F.col("events")
+        )
+        # The batch fails and is replayed, rather than write features of half a session. Late
+        # events that the watermark left out of the count may be in the table, and then count.
+        if not short.isEmpty():
+            raise RuntimeError(f"the event table lacks events of {short.count()} closed sessions")
+        members = members.drop("events")
         started = F.regexp_extract("session_id", "@(\\d+)$", 1).cast("long")
         (
             features(members)
