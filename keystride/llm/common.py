@@ -4,9 +4,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keystride.session import materialise
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: A word is a run of anything but these six bytes, as a Java, RE2 and Python pattern.
@@ -15,6 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 250_000
 #: Bytes of text that a vectorised kernel handles at a time.
 SLICE_BYTES = 2 << 20
+#: Type of `row_key`.
+ROW_KEY = "struct<file:bigint,at:bigint>"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +38,25 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def row_key(docs: DataFrame) -> Column:
+    """The file (hash of its path) and the place there of each row of a `stored` table.
+
+    Unlike a number counted in the tasks, it is the same in every scan: how files are cut into tasks
+    depends on the executors that are alive when the scan is planned.
+    """
+    hidden = docs.metadataColumn("_metadata")
+    return F.struct(F.xxhash64(hidden["file_path"]).alias("file"), hidden["row_index"].alias("at"))
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """`docs` if it is a scan of Parquet files, else a written copy of it."""
+    try:
+        docs.select(row_key(docs))
+    except AnalysisException:
+        return materialise(docs, "docs")
+    return docs
+
+
 def quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 

@@ -15,7 +15,7 @@ other than the two named ones play no part.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystride.llm.common import ascii_lower, fresh, quoted, small, text_or_empty
+from keystride.llm.common import ascii_lower, fresh, quoted, row_key, small, stored, text_or_empty
 from keystride.session import materialise
 
 SUPPORT = 1 / 1024
@@ -23,10 +23,11 @@ SUPPORT = 1 / 1024
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, sha and place of the row in the table, written once."""
+    docs = stored(docs)
     return materialise(docs.select(
         quoted(doc_id).alias("doc_id"),
         F.sha2(ascii_lower(text_or_empty(text)), 256).alias("sha"),
-        F.monotonically_increasing_id().alias("row"),
+        row_key(docs).alias("row"),
     ), "digests")
 
 
@@ -64,10 +65,10 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sup
 
 
 def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: float = SUPPORT) -> DataFrame:
-    """The rows of `docs`, a stored table, that stay."""
-    row = fresh(docs, "row")
+    """The rows of `docs` that stay."""
+    docs, row = stored(docs), fresh(docs, "row")
     dropped = materialise(
         judged(digests(docs, doc_id, text), support).where(~F.col("kept"))
         .select(F.col("row").alias(row)), "dropped",
     )
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(small(dropped), row, "left_anti").drop(row)
+    return docs.withColumn(row, row_key(docs)).join(small(dropped), row, "left_anti").drop(row)

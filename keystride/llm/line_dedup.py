@@ -13,7 +13,7 @@ play no part.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystride.llm.common import quoted, small, text_or_empty
+from keystride.llm.common import quoted, row_key, small, stored, text_or_empty
 from keystride.session import materialise
 
 LEAST = 6
@@ -30,7 +30,7 @@ def line_rows(docs: DataFrame, text: str = "text", site: str = "source") -> Data
     """row, pos, key and site of every non-blank line, written once."""
     site_key = F.coalesce(F.xxhash64(quoted(site).cast("string")), F.lit(0))
     site_key = F.when(quoted(site).isNull(), F.lit(-1)).otherwise(site_key).cast("long")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), site_key.alias("site"), text_or_empty(text).alias("text"))
+    rows = docs.select(row_key(docs).alias("row"), site_key.alias("site"), text_or_empty(text).alias("text"))
     rows = rows.select("row", "site", F.posexplode(text_lines(F.col("text"))).alias("pos", "line"))
     key = F.unhex(F.md5(F.trim("line"))).alias("key")
     return materialise(rows.where(F.trim("line") != "").select("row", "pos", key, "site"), "lines")
@@ -52,12 +52,13 @@ def widespread(lines: DataFrame, least: int = LEAST, lg_k: int = LG_K) -> DataFr
 
 
 def without_boilerplate(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
-    """One row per document, `docs` being a stored table: doc_id, n_lines, n_removed, text without the removed lines."""
+    """One row per document: doc_id, n_lines, n_removed, text without the removed lines."""
+    docs = stored(docs)
     lines = line_rows(docs, text, site)
     found = lines.join(small(widespread(lines, least)), "key", "left_semi")
     removed = found.groupBy("row").agg(F.collect_list("pos").alias("removed"))
     removed = materialise(removed.withColumn("removed", F.map_from_arrays("removed", "removed")), "removed")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), quoted(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
+    rows = docs.select(row_key(docs).alias("row"), quoted(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
     joined = rows.join(removed, "row", "left").withColumn("lines", text_lines(F.col("text")))
     stay = F.filter("lines", lambda line, i: ~F.coalesce(F.map_contains_key("removed", i), F.lit(False)))
     return joined.select(

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystride.llm.common import fresh, quoted, small, text_slices
+from keystride.llm.common import ROW_KEY, fresh, quoted, row_key, small, stored, text_slices
 from keystride.llm.components import components
 from keystride.session import materialise
 
@@ -120,7 +120,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 def signed(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """row, doc_id, n_shingles, set_key and sig of every text, written once."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text"))
+    rows = docs.select(row_key(docs).alias("row"), quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text"))
     alone = 100 // (100 - percent) if percent < 100 else 1 << 62  # smaller sets are similar to equal ones only
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +136,7 @@ def signed(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, doc_id:
                 names=["row", "doc_id", "n_shingles", "set_key", "sig"],
             )
 
-    return materialise(rows.mapInArrow(batches, "row long, doc_id long, n_shingles long, set_key binary, sig array<long>"), "signed")
+    return materialise(rows.mapInArrow(batches, f"row {ROW_KEY}, doc_id long, n_shingles long, set_key binary, sig array<long>"), "signed")
 
 
 def classes(rows: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ def spanning_links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple
 
 def confirmed(docs: DataFrame, grouped: DataFrame, percent: int, width: int, text: str) -> DataFrame:
     """(a, b): links between the nodes of each group, enough to join what links join."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), quoted(text).alias("text"))
+    rows = docs.select(row_key(docs).alias("row"), quoted(text).alias("text"))
     wanted = rows.join(small(grouped), "row").select("node", "root", "groups", "text")
     schema = wanted.drop("text").withColumn("shingles", F.array().cast("array<long>")).schema
 
@@ -278,8 +278,9 @@ def confirmed(docs: DataFrame, grouped: DataFrame, percent: int, width: int, tex
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document, `docs` being a stored table: doc_id, n_shingles, component_id, kept,
+    """One row per document: doc_id, n_shingles, component_id, kept,
     and row, the document's place in the table."""
+    docs = stored(docs)
     rows = signed(docs, percent, width, doc_id, text)
     sigs, groups = classes(rows)
     postings = posted(sigs)
@@ -300,12 +301,12 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, doc_
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs`, a stored table, that stay: of each component those with its least
+    """The rows of `docs` that stay: of each component those with its least
     doc_id, and of several such rows the first of the table."""
-    row = fresh(docs, "row")
+    docs, row = stored(docs), fresh(docs, "row")
     judged = near_dedup(docs, percent, width, doc_id, text)
     judged = materialise(judged.select("doc_id", "n_shingles", "component_id", "kept", F.col("row").alias("place")), "judged")
     first = judged.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id", "component_id").agg(F.min("place").alias("place"))
     again = judged.where("kept and n_shingles > 0 and doc_id is not null").join(first, "place", "left_anti")
     dropped = materialise(judged.where("not kept").select("place").union(again.select("place")).withColumnRenamed("place", row), "dropped")
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(small(dropped), row, "left_anti").drop(row)
+    return docs.withColumn(row, row_key(docs)).join(small(dropped), row, "left_anti").drop(row)

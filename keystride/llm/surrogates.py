@@ -16,7 +16,7 @@ columns play no part.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystride.llm.common import quoted, text_or_empty
+from keystride.llm.common import quoted, row_key, stored, text_or_empty
 from keystride.session import materialise
 
 KEY = "keystride"
@@ -143,8 +143,9 @@ def dictionary(entities: DataFrame) -> DataFrame:
 
 
 def replaced(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document, `docs` being a stored table: doc_id, n_entities (mentions), text with surrogates."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), quoted(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
+    """One row per document: doc_id, n_entities (mentions), text with surrogates."""
+    docs = stored(docs)
+    rows = docs.select(row_key(docs).alias("row"), quoted(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
     found = rows.select("row", F.explode(F.array_distinct(mentions(F.col("text")))).alias("mention"))
     found = materialise(found.select("row", "mention", kind(F.col("mention")).alias("type"), canonical(F.col("mention")).alias("form")), "mentions")
     names = dictionary(found.select("type", "form"))

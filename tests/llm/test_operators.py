@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from keystride.llm import (
     components, exact_dedup, fingerprint, line_dedup, mixing, near_dedup, packing, quality, rans, surrogates, url_filter,
 )
-from keystride.llm.common import UPPER, LOWER, table
+from keystride.llm.common import UPPER, LOWER, row_key, stored, table
 from keystride.llm.queries import ORACLES, QUERIES
 from keystride.llm.tokens import PieceEncoder
 
@@ -49,6 +49,23 @@ def documents(spark, sf):
     return [tuple(r) for r in table(spark, sf, "documents").select("doc_id", "text").collect()]
 
 
+def test_row_keys_do_not_depend_on_how_files_are_cut(spark, sf, edge):
+    whole, number = table(spark, sf, "documents"), "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(number)
+    scans = []
+    try:
+        for size in ("64m", "64k"):
+            spark.conf.set(number, size)
+            docs = table(spark, sf, "documents")
+            scans.append({(r[0], tuple(r[1])) for r in docs.select("doc_id", row_key(docs)).collect()})
+    finally:
+        spark.conf.set(number, before)
+    assert scans[0] == scans[1] and len({key for _, key in scans[0]}) == whole.count()
+    assert stored(whole) is whole
+    clash = stored(edge.withColumn("_metadata", F.lit(7)).withColumn("row_index", F.lit(7)))
+    assert clash.select(row_key(clash)).distinct().count() == len(ROWS)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equals_sql(spark, sf, name):
     assert compare(QUERIES[name](spark, sf), connect(sf), ORACLES[name]) > 0
