@@ -59,7 +59,8 @@ def without_boilerplate(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_
     removed = found.groupBy("row").agg(F.collect_list("pos").alias("removed"))
     removed = materialise(removed.withColumn("removed", F.map_from_arrays("removed", "removed")), "removed")
     rows = docs.select(row_key(docs).alias("row"), quoted(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
-    joined = rows.join(removed, "row", "left").withColumn("lines", text_lines(F.col("text")))
+    # Texts meet their removed lines by a shuffle at every size: those lines grow with the documents.
+    joined = rows.join(removed.hint("merge"), "row", "left").withColumn("lines", text_lines(F.col("text")))
     stay = F.filter("lines", lambda line, i: ~F.coalesce(F.map_contains_key("removed", i), F.lit(False)))
     return joined.select(
         "doc_id", F.size("lines").cast("long").alias("n_lines"),
