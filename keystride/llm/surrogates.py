@@ -154,7 +154,8 @@ def replaced(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     said = found.join(names, ["type", "form"]).withColumn("say", F.when(loud, F.upper("surrogate")).otherwise(F.col("surrogate")))
     # As many entries as the document has different mentions.
     maps = said.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("mention", "say"))).alias("say"))
-    joined = rows.join(materialise(maps, "replacements"), "row", "left")
+    # Texts meet their replacements by a shuffle at every size: those grow with the documents.
+    joined = rows.join(materialise(maps, "replacements").hint("merge"), "row", "left")
     has = F.col("say").isNotNull()
     inside = F.when(has, mentions(F.col("text"))).otherwise(F.array().cast("array<string>"))
     parts = joined.withColumn("inside", inside)
