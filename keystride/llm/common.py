@@ -1,6 +1,7 @@
 """Helpers shared by the operators of this package."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,22 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def releasing(kernel: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """`kernel` of mapInArrow, giving Arrow's free memory back at its end: workers outlive their tasks."""
+
+    @wraps(kernel)
+    def run(found: Batches) -> Batches:
+        try:
+            yield from kernel(found)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of at most SLICE_BYTES or one row; null is empty."""
     texts = batch.column(column).cast(pa.large_binary()).fill_null(b"")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystride.llm.common import ROW_KEY, fresh, quoted, row_key, small, stored, text_slices
+from keystride.llm.common import ROW_KEY, fresh, quoted, releasing, row_key, small, stored, text_slices
 from keystride.llm.components import components
 from keystride.session import materialise
 
@@ -136,7 +136,7 @@ def signed(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, doc_id:
                 names=["row", "doc_id", "n_shingles", "set_key", "sig"],
             )
 
-    return materialise(rows.mapInArrow(batches, f"row {ROW_KEY}, doc_id long, n_shingles long, set_key binary, sig array<long>"), "signed")
+    return materialise(rows.mapInArrow(releasing(batches), f"row {ROW_KEY}, doc_id long, n_shingles long, set_key binary, sig array<long>"), "signed")
 
 
 def classes(rows: DataFrame) -> DataFrame:
@@ -273,7 +273,7 @@ def confirmed(docs: DataFrame, grouped: DataFrame, percent: int, width: int, tex
             "a": pa.array([nodes[i] for i, _ in pairs], pa.int64()), "b": pa.array([nodes[j] for _, j in pairs], pa.int64()),
         })
 
-    sets = wanted.mapInArrow(batches, schema).select("node", "root", "shingles", F.explode("groups").alias("g"))
+    sets = wanted.mapInArrow(releasing(batches), schema).select("node", "root", "shingles", F.explode("groups").alias("g"))
     return sets.select("node", "root", "g.low", "g.high", "shingles").groupBy("root", "low", "high").applyInArrow(links, "a long, b long")
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keystride.llm.common import quoted, text_or_empty
+from keystride.llm.common import quoted, releasing, text_or_empty
 from keystride.llm.tokens import documents_ids, worker_encoder
 from keystride.session import materialise
 
@@ -43,7 +43,7 @@ def cut(docs: DataFrame, tokenizer: str, window: int = WINDOW, doc_id: str = "do
         for batch in found:
             out = []
             names = zip(batch["row"].to_pylist(), batch["doc_id"].to_pylist())
-            for (row, name), ids in zip(names, documents_ids(encoder, batch["text"].to_pylist())):
+            for (row, name), ids in zip(names, documents_ids(encoder, batch["text"])):
                 data = ids.astype("<u4").tobytes()
                 for start in range(0, len(ids), window):
                     part = data[4 * start:4 * (start + window)]
@@ -54,7 +54,7 @@ def cut(docs: DataFrame, tokenizer: str, window: int = WINDOW, doc_id: str = "do
                 names=["row", "doc_id", "start", "length", "ids_crc32", "doc_tokens"],
             )
 
-    return materialise(rows.mapInArrow(batches, PIECES), "pieces")
+    return materialise(rows.mapInArrow(releasing(batches), PIECES), "pieces")
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:

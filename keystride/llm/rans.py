@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keystride.llm.common import partitions, quoted, text_or_empty
+from keystride.llm.common import partitions, quoted, releasing, text_or_empty
 from keystride.llm.tokens import documents_ids, worker_encoder
 from keystride.session import new_path
 
@@ -190,7 +190,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, parts: int | None = None,
 
         n = 0
         for batch in found:
-            for name, ids in zip(batch["doc_id"].to_pylist(), documents_ids(encoder, batch["text"].to_pylist())):
+            for name, ids in zip(batch["doc_id"].to_pylist(), documents_ids(encoder, batch["text"])):
                 if n and n + len(ids) > SEGMENT_IDS:
                     yield flush()
                     n = 0
@@ -200,7 +200,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, parts: int | None = None,
         if names:
             yield flush()
 
-    ordered.mapInArrow(batches, SEGMENTS).write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(releasing(batches), SEGMENTS).write.option("compression", "none").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -231,7 +231,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     decoded = found.select("part", "segment", "payload").mapInArrow(
-        batches, "part int, segment int, doc_id long, at long, n_tokens long, ids_crc32 long")
+        releasing(batches), "part int, segment int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return decoded.join(starts, ["part", "segment"]).select(
         "doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"
     )

@@ -15,7 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-KEPT_PIECES = 1_000_000
+#: About 100 MB of a worker's memory.
+KEPT_PIECES = 400_000
 END = 1
 ENDS = {" ": " ", "\x00": r"\x00"}  # a separator as a pattern
 
@@ -106,21 +107,24 @@ def worker_encoder(path: str, space_opens: bool, lower: bool) -> PieceEncoder:
     return kept[key]
 
 
-def slices(texts: list[str], most: int = 4 << 20) -> list[tuple[int, int]]:
+def slices(lengths: list[int], most: int = 4 << 20) -> list[tuple[int, int]]:
     """Runs of texts of at most `most` characters, or single texts."""
     out, first, held = [], 0, 0
-    for i, t in enumerate(texts):
-        if i > first and held + len(t) > most:
+    for i, n in enumerate(lengths):
+        if i > first and held + n > most:
             out.append((first, i))
             first, held = i, 0
-        held += len(t)
-    return [*out, (first, len(texts))] if texts else []
+        held += n
+    return [*out, (first, len(lengths))] if lengths else []
 
 
-def documents_ids(encoder: PieceEncoder, texts: list[str]):
-    """For each text its ids with the end id, as an array of 32-bit numbers."""
-    for first, end in slices(texts):
-        ids, ends = encoder.encode(texts[first:end])
+def documents_ids(encoder: PieceEncoder, texts: pa.Array):
+    """For each text its ids with the end id, as an array of 32-bit numbers; null is empty.
+
+    Only a run of texts at a time is made into Python strings."""
+    texts = texts.fill_null("")
+    for first, end in slices(pc.utf8_length(texts).to_pylist()):
+        ids, ends = encoder.encode(texts[first:end].to_pylist())
         start = 0
         for stop in ends.tolist():
             yield np.append(ids[start:stop], np.uint32(END))
