@@ -392,6 +392,17 @@ def test_quality_on_held_out_labels(spark):
     assert good["kept"].mean() > 0.93 and bad["kept"].mean() < 0.4
 
 
+def test_a_language_without_trusted_text_stays(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    for withheld in ("es", "de"):
+        shown = labels.join(docs.where(F.col("lang") == withheld).select("doc_id"), "doc_id", "left_anti")
+        found = quality.classify(docs, shown).toPandas()
+        foreign = found[found["lang"] == withheld]
+        assert len(foreign) and foreign["kept"].all() and foreign["threshold"].isna().all()
+        assert foreign["perplexity"].notna().any() and not found[found["lang"] == "en"]["kept"].all()
+
+
 def test_model_is_a_distribution(spark):
     texts = spark.createDataFrame([("x", t) for t in ("aba abc abcab", "bca cab ab", "hello there")], "lang string, text string")
     logp = quality.dense(quality.model(quality.counted(texts)), ["x", "unknown"])
