@@ -403,6 +403,16 @@ def test_a_language_without_trusted_text_stays(spark):
         assert foreign["perplexity"].notna().any() and not found[found["lang"] == "en"]["kept"].all()
 
 
+def test_a_language_with_few_trusted_texts_keeps_its_clean_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = table(spark, sf, "documents").where("lang = 'de'")
+    labels = table(spark, sf, "labels").join(docs.select("doc_id"), "doc_id")
+    good = sorted(r.doc_id for r in labels.where("quality = 1").select("doc_id").collect())
+    for n in (3, 16):
+        found = quality.classify(docs, labels.where(F.col("doc_id").isin(good[:n]))).toPandas().set_index("doc_id")
+        assert found.loc[good[n:]]["kept"].mean() > 0.85, n
+
+
 def test_model_is_a_distribution(spark):
     texts = spark.createDataFrame([("x", t) for t in ("aba abc abcab", "bca cab ab", "hello there")], "lang string, text string")
     logp = quality.dense(quality.model(quality.counted(texts)), ["x", "unknown"])
