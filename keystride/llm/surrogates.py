@@ -2,8 +2,12 @@
 
 Entities: e-mail addresses, telephone and card numbers, IPv4 addresses, long hexadecimal secrets,
 and names after a title. An entity's surrogate is made from a keyed hash of its type and canonical
-form, so every mention gets the same one (coreference): digits become digits, separators stay, an
-address keeps four parts of 0-255, a name keeps its gender (from the title) and script, and a
+form, so every mention gets the same one (coreference). Telephone and card numbers are their digits
+alone, laid back into each mention's separators; the country code, which the digits tell, stays. A
+name is its family name and, before it, its given name, each an entity of its own: the title stays
+and plays no part, but for the gender of the given name. After a title without gender it has the
+gender found elsewhere for this given name. Where a document has a name, its bare repetitions are
+mentions too. An address keeps four parts of 0-255, a name its script, and a
 mention all in capitals gets the surrogate in capitals. Surrogates of one type must differ from
 each other and from every entity found in the corpus: of several that collide, the least entity
 keeps its surrogate and the others draw again until nothing collides. The entity table grows with
@@ -16,13 +20,16 @@ columns play no part.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystride.llm.common import quoted, row_key, stored, text_or_empty
+from keystride.llm.common import quoted, row_key, small, stored, text_or_empty
 from keystride.session import materialise
 
 KEY = "keystride"
 MOST_DRAWS = 60
-TITLE = r"\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sra|г-н|г-жа)"
-FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|г-жа)\b"
+TITLE = r"(?:(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sra|г-н|г-жа|Dr|Dra|Prof|Professor|д-р|проф)\.? )+"
+FEMALE = r"^(?:\S+ )*?(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Dra|г-жа)\.? "
+MALE = r"^(?:\S+ )*?(?:Mr|Herr|Monsieur|Señor|г-н)\.? "
+#: A word that can be the bare repetition of a name.
+WORD = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
 #: In this order: what an earlier pattern can match is no match of a later one.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,63}",
@@ -30,9 +37,10 @@ PATTERNS = {
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?!\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ -]\d{4}(?!\d)|(?<!\d)\d{3}-\d{3}-\d{4}(?!\d)",
-    "name": TITLE + r"\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "name": r"\b" + TITLE + r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
-CODE = r"^(\+\d{1,3}(?=[ .(-]))"
+#: Country codes; none begins another one.
+CODE = r"^(\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}))"
 ANY = "|".join(PATTERNS.values())
 #: Made-up given names by script and gender.
 GIVEN = {
@@ -58,9 +66,28 @@ def kind(mention: Column) -> Column:
     return out
 
 
-def canonical(mention: Column) -> Column:
-    """One form for all mentions of an entity; capitals are told apart in names only."""
-    return F.when(mention.rlike(f"^{TITLE}"), mention).otherwise(F.lower(mention))
+def entities(mention: Column, type_: Column) -> Column:
+    """type, form and gender (null but of given names) of what a mention names: one form for all
+    mentions of an entity."""
+    name = F.split(F.regexp_replace(mention, f"^{TITLE}", ""), " ")
+    gender = F.when(mention.rlike(FEMALE), "f").when(mention.rlike(MALE), "m")
+    none = F.lit(None).cast("string")
+
+    def one(t: Column, form: Column, of: Column = none) -> Column:
+        return F.struct(t.alias("type"), form.alias("form"), of.alias("gender"))
+
+    family = one(F.lit("family"), F.element_at(name, -1))
+    given = one(F.lit("given"), F.element_at(name, 1), gender)
+    plain = F.when(type_.isin("phone", "card"), F.regexp_replace(mention, r"[^\d+]", "")).otherwise(F.lower(mention))
+    return F.when(type_ != "name", F.array(one(type_, plain))).when(F.size(name) > 1, F.array(family, given)).otherwise(F.array(family))
+
+
+def laid(mention: Column, digits: Column) -> Column:
+    """`mention` with the digits of `digits` in the places of its own."""
+    digits = F.regexp_replace(digits, r"\D", "")
+    upto = lambda n: F.length(F.regexp_replace(mention.substr(F.lit(1), n), r"\D", ""))
+    one = lambda c, i: F.when(c.rlike(r"^\d$"), digits.substr(upto(i + 1), F.lit(1))).otherwise(c)
+    return F.concat(F.array_join(F.transform(F.split(mention, "(?!^)"), one), ""), digits.substr(upto(F.length(mention)) + 1, F.length(digits)))
 
 
 def _draw(type_: Column, form: Column, attempt: Column) -> Column:
@@ -96,22 +123,21 @@ def surrogate(type_: Column, form: Column, attempt: Column) -> Column:
     phone = F.concat(code, _redrawn(F.regexp_replace(form, CODE, ""), d, "0123456789", r"^\d$"))
     secret = F.substring(d, F.lit(1), F.length(form).cast("int"))
 
-    def named(script: str, gender: str) -> Column:
-        given, parts = GIVEN[script, gender], F.lit(SYLLABLES[script])
-        last = F.concat(*[F.element_at(parts, (_hex(d, 9 + 2 * i, 2) % 16 + 1).cast("int")) for i in range(5)])
-        first = F.element_at(F.lit(given), (_hex(d, 1, 4) % len(given) + 1).cast("int"))
-        title = F.regexp_extract(form, rf"^({TITLE}\.? )", 1)
-        two = form.rlike(r" \p{Lu}\p{Ll}+ \p{Lu}")
-        return F.concat(title, F.when(two, F.concat(first, F.lit(" "))).otherwise(""), F.initcap(last))
-
-    female, cyrillic = form.rlike(FEMALE), form.rlike(r"\p{IsCyrillic}")
-    name = (
-        F.when(cyrillic & female, named("cyrillic", "f")).when(cyrillic, named("cyrillic", "m"))
-        .when(female, named("latin", "f")).otherwise(named("latin", "m"))
-    )
+    def syllables(script: str, wanted: Column, most: int) -> Column:
+        parts = F.lit(SYLLABLES[script])
+        some = [F.element_at(parts, (_hex(d, 9 + 2 * i, 2) % 16 + 1).cast("int")) for i in range(most)]
+        return F.concat(*[F.when(wanted > i, x).otherwise("") for i, x in enumerate(some)])
+
+    def given(script: str) -> Column:
+        first = [F.element_at(F.lit(GIVEN[script, g]), (_hex(d, 1, 4) % len(GIVEN[script, g]) + 1).cast("int")) for g in "fm"]
+        return F.concat(F.when(type_ == "given f", first[0]).otherwise(first[1]), syllables(script, attempt, 12))
+
+    cyrillic = form.rlike(r"\p{IsCyrillic}")
+    family = F.when(cyrillic, syllables("cyrillic", F.lit(5), 5)).otherwise(syllables("latin", F.lit(5), 5))
     return (
         F.when(type_ == "email", email).when(type_ == "ip", ip).when(type_ == "card", digits)
-        .when(type_ == "phone", phone).when(type_ == "secret", secret).otherwise(name)
+        .when(type_ == "phone", phone).when(type_ == "secret", secret).when(type_ == "family", F.initcap(family))
+        .when(cyrillic, given("cyrillic")).otherwise(given("latin"))
     )
 
 
@@ -147,21 +173,38 @@ def replaced(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     docs = stored(docs)
     rows = docs.select(row_key(docs).alias("row"), quoted(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
     found = rows.select("row", F.explode(F.array_distinct(mentions(F.col("text")))).alias("mention"))
-    found = materialise(found.select("row", "mention", kind(F.col("mention")).alias("type"), canonical(F.col("mention")).alias("form")), "mentions")
+    found = found.withColumn("kind", kind(F.col("mention")))
+    found = materialise(found.select("row", "mention", "kind", F.inline(entities(F.col("mention"), F.col("kind")))), "mentions")
+    genders = materialise(found.where("gender is not null").groupBy("form").agg(F.max("gender").alias("elsewhere")), "genders")
+    drawn = F.when(F.pmod(F.xxhash64("form"), F.lit(2)) == 0, "f").otherwise("m")
+    gender = F.coalesce("gender", "elsewhere", drawn)
+    found = found.join(small(genders), "form", "left").withColumn("type", F.when(F.col("type") == "given", F.concat(F.lit("given "), gender)).otherwise(F.col("type")))
     names = dictionary(found.select("type", "form"))
-    # A mention all in capitals that is not in its canonical form gets capitals.
-    loud = (F.col("mention") != F.col("form")) & (F.col("mention") == F.upper("mention"))
-    said = found.join(names, ["type", "form"]).withColumn("say", F.when(loud, F.upper("surrogate")).otherwise(F.col("surrogate")))
+    said = materialise(found.join(names, ["type", "form"]).select("row", "mention", "kind", "type", "form", "surrogate"), "said")
+    first = F.max(F.when(F.col("type").startswith("given"), F.col("surrogate")))
+    main = F.max(F.when(~F.col("type").startswith("given"), F.col("surrogate")))
+    whole = said.groupBy("row", "mention", "kind").agg(first.alias("first"), main.alias("main"))
+    # A mention all in capitals gets capitals.
+    loud = (F.col("mention") != F.lower("mention")) & (F.col("mention") == F.upper("mention"))
+    name = F.concat(F.regexp_extract("mention", f"^({TITLE})", 1), F.concat_ws(" ", "first", "main"))
+    say = (
+        F.when(F.col("kind") == "name", name).when(F.col("kind").isin("phone", "card"), laid(F.col("mention"), F.col("main")))
+        .when(loud, F.upper("main")).otherwise(F.col("main"))
+    )
+    # A word that is a family name and a given name of the document is the family name.
+    bare = said.where("kind = 'name'").groupBy("row", F.col("form").alias("mention")).agg(F.min(F.struct("type", "surrogate"))["surrogate"].alias("say"))
+    entries = whole.select("row", "mention", say.alias("say"), (F.col("kind") == "name").alias("named")).union(bare.select("*", F.lit(True)))
     # As many entries as the document has different mentions.
-    maps = said.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("mention", "say"))).alias("say"))
+    maps = entries.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("mention", "say"))).alias("say"), F.max("named").alias("named"))
     # Texts meet their replacements by a shuffle at every size: those grow with the documents.
     joined = rows.join(materialise(maps, "replacements").hint("merge"), "row", "left")
-    has = F.col("say").isNotNull()
-    inside = F.when(has, mentions(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    has, wide = F.col("say").isNotNull(), f"{ANY}|{WORD}"
+    all_of = lambda pattern: F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    inside = F.when(F.col("named"), all_of(wide)).when(has, all_of(ANY)).otherwise(F.array().cast("array<string>"))
     parts = joined.withColumn("inside", inside)
-    said = F.transform("inside", lambda m: F.element_at("say", m))
-    between = F.split("text", ANY, -1)
+    # Words that are no name of the document stay.
+    said = F.transform("inside", lambda m: F.coalesce(F.element_at("say", m), m))
+    between = F.when(F.col("named"), F.split("text", wide, -1)).otherwise(F.split("text", ANY, -1))
     woven = F.array_join(F.flatten(F.zip_with(between, F.concat(said, F.array(F.lit(""))), lambda p, s: F.array(p, s))), "")
-    return parts.select(
-        "doc_id", F.size("inside").cast("long").alias("n_entities"), F.when(has, woven).otherwise(F.col("text")).alias("text")
-    )
+    count = F.when(has, F.size(F.filter("inside", lambda m: F.map_contains_key("say", m)))).otherwise(0)
+    return parts.select("doc_id", count.cast("long").alias("n_entities"), F.when(has, woven).otherwise(F.col("text")).alias("text"))

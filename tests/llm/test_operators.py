@@ -375,6 +375,26 @@ def test_surrogates(spark, edge):
     assert surrogates.replaced(edge).count() == len(ROWS)
 
 
+def test_surrogates_of_an_entity_agree(spark):
+    texts = [
+        "call +1 (017) 555-7713 or +1 017 555 7713 or +10175557713", "pay 4734 6632 1986 6878 or 4734663219866878",
+        "Mr Stone and Mr. Stone and Stone, and Dr. Stone, Prof. Dr. Stone", "Mrs. Maria Stone, Mrs. Stone, Maria Stone; Maria and Dr. Maria Stone",
+        "г-жа Анна Иванова, Иванова", "Stone without a title. Paris stays", "Mrs. Anna Stone",
+    ]
+    rows = {r.doc_id: r for r in surrogates.replaced(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = [rows[i].text for i in range(len(texts))]
+    phones, cards = re.findall(r"\+[\d ()-]+\d", found[0]), re.findall(r"\d[\d ]+\d", found[1])
+    assert [re.sub(r"\d", "0", p) for p in phones] == ["+0 (000) 000-0000", "+0 000 000 0000", "+00000000000"]
+    assert len({re.sub(r"\D", "", p) for p in phones}) == 1 and phones[0].startswith("+1 (") and phones[1] != "+1 017 555 7713"
+    assert len(cards) == 2 and cards[0].replace(" ", "") == cards[1] != "4734663219866878" and cards[0].count(" ") == 3
+    stone = re.fullmatch(r"Mr ([A-Z][a-z]+) and Mr\. \1 and \1, and Dr\. \1, Prof\. Dr\. \1", found[2])[1]
+    maria, other = re.fullmatch(r"Mrs\. ([A-Z][a-z]+) ([A-Z][a-z]+), Mrs\. \2, \1 \2; \1 and Dr\. \1 \2", found[3]).groups()
+    assert stone == other != "Stone" and maria in surrogates.GIVEN["latin", "f"]
+    assert re.fullmatch(r"г-жа [А-Я][а-я]+ ([А-Я][а-я]+), \1", found[4]) and "Иванова" not in found[4]
+    assert found[5] == texts[5] and rows[5].n_entities == 0 and rows[2].n_entities == 5 and rows[3].n_entities == 6
+    assert found[6].endswith(stone) and found[6].split()[1] != maria
+
+
 def test_surrogates_that_collide_are_drawn_again(spark, monkeypatch):
     draw = lambda kind, form, attempt: F.when(attempt < 2, F.lit("c")).otherwise(F.concat(F.lit("s"), form))
     monkeypatch.setattr(surrogates, "surrogate", draw)
