@@ -10,7 +10,9 @@ gender found elsewhere for this given name. Where a document has a name, its bar
 mentions too. An address keeps four parts of 0-255, a name its script, and a
 mention all in capitals gets the surrogate in capitals. Surrogates of one type must differ from
 each other and from every entity found in the corpus: of several that collide, the least entity
-keeps its surrogate and the others draw again until nothing collides. The entity table grows with
+keeps its surrogate and the others draw again until nothing collides. After every GROW draws an
+entity's surrogates are a digit or syllable longer (an IPv4 address becomes IPv6 after 8 x GROW), so a
+format of which all or nearly all is taken does not end the query. The entity table grows with
 the data and is joined, never broadcast unchecked.
 
 Null text is empty. Repeated rows are treated alike. An empty table gives an empty result; other
@@ -24,7 +26,8 @@ from keystride.llm.common import quoted, row_key, small, stored, text_or_empty
 from keystride.session import materialise
 
 KEY = "keystride"
-MOST_DRAWS = 60
+GROW = 8  # draws
+LEAST_DIGITS = 7  # of a telephone number
 TITLE = r"(?:(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sra|г-н|г-жа|Dr|Dra|Prof|Professor|д-р|проф)\.? )+"
 FEMALE = r"^(?:\S+ )*?(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Dra|г-жа)\.? "
 MALE = r"^(?:\S+ )*?(?:Mr|Herr|Monsieur|Señor|г-н)\.? "
@@ -116,11 +119,17 @@ def surrogate(type_: Column, form: Column, attempt: Column) -> Column:
     user = F.regexp_extract(form, "^([^@]+)@", 1)
     email = F.concat(_redrawn(user, d, "abcdefghijklmnopqrstuvwxyz", r"^\p{L}$"),
                      F.lit("."), (_hex(d, 1, 8) % 1_000_000).cast("string"), F.lit("@mail.example.invalid"))
+    grown = F.floor(attempt / GROW).cast("int")
+    # Grown surrogates end in hexadecimal digits made decimal.
+    more = F.translate(d.substr(F.lit(33), grown), "abcdef", "012345")
+    email = F.when(grown == 0, email).otherwise(F.concat(F.substring(d, 1, 24), F.lit("."), email))
     ip = F.array_join(F.transform(F.array(*[F.lit(i) for i in (1, 3, 5, 7)]), lambda i: F.conv(d.substr(i, F.lit(2)), 16, 10)), ".")
-    digits = _redrawn(form, d, "0123456789", r"^\d$")
+    six = F.concat(F.lit("2001:db8"), *[F.concat(F.lit(":"), d.substr(F.lit(i), F.lit(4))) for i in range(9, 33, 4)])
+    ip = F.when(grown < 8, ip).otherwise(six)
+    digits = F.concat(_redrawn(form, d, "0123456789", r"^\d$"), more)
     # The country code of a telephone number stays.
     code = F.regexp_extract(form, CODE, 1)
-    phone = F.concat(code, _redrawn(F.regexp_replace(form, CODE, ""), d, "0123456789", r"^\d$"))
+    phone = F.concat(code, _redrawn(F.regexp_replace(form, CODE, ""), d, "0123456789", r"^\d$"), more)
     secret = F.substring(d, F.lit(1), F.length(form).cast("int"))
 
     def syllables(script: str, wanted: Column, most: int) -> Column:
@@ -133,7 +142,7 @@ def surrogate(type_: Column, form: Column, attempt: Column) -> Column:
         return F.concat(F.when(type_ == "given f", first[0]).otherwise(first[1]), syllables(script, attempt, 12))
 
     cyrillic = form.rlike(r"\p{IsCyrillic}")
-    family = F.when(cyrillic, syllables("cyrillic", F.lit(5), 5)).otherwise(syllables("latin", F.lit(5), 5))
+    family = F.when(cyrillic, syllables("cyrillic", 5 + grown, 12)).otherwise(syllables("latin", 5 + grown, 12))
     return (
         F.when(type_ == "email", email).when(type_ == "ip", ip).when(type_ == "card", digits)
         .when(type_ == "phone", phone).when(type_ == "secret", secret).when(type_ == "family", F.initcap(family))
@@ -147,7 +156,7 @@ def dictionary(entities: DataFrame) -> DataFrame:
     forms = materialise(entities.distinct().withColumn("attempt", F.lit(0)), "entities")
     forms = materialise(forms.withColumn("surrogate", surrogate(F.col("type"), F.col("form"), F.col("attempt"))), "drawn")
     real = forms.select("type", F.col("form").alias("surrogate"))
-    for _ in range(MOST_DRAWS):
+    while True:
         # Settled ones win over new draws, then the least form.
         owner = forms.groupBy("type", "surrogate").agg(F.min(F.struct("attempt", "form")).alias("owner"), F.count("*").alias("n"))
         clash = owner.where("n > 1").select("type", "surrogate", F.col("owner.form").alias("keeps"))
@@ -165,7 +174,6 @@ def dictionary(entities: DataFrame) -> DataFrame:
             F.when(F.col("again"), surrogate(F.col("type"), F.col("form"), F.col("attempt"))).otherwise(F.col("surrogate")).alias("surrogate"),
         )
         forms = materialise(forms, "drawn")
-    raise RuntimeError(f"surrogates still collide after {MOST_DRAWS} draws")
 
 
 def replaced(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -174,6 +182,9 @@ def replaced(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     rows = docs.select(row_key(docs).alias("row"), quoted(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
     found = rows.select("row", F.explode(F.array_distinct(mentions(F.col("text")))).alias("mention"))
     found = found.withColumn("kind", kind(F.col("mention")))
+    # "+2500" is no telephone number.
+    short = (F.col("kind") == "phone") & (F.length(F.regexp_replace("mention", r"\D", "")) < LEAST_DIGITS)
+    found = found.where(~short)
     found = materialise(found.select("row", "mention", "kind", F.inline(entities(F.col("mention"), F.col("kind")))), "mentions")
     genders = materialise(found.where("gender is not null").groupBy("form").agg(F.max("gender").alias("elsewhere")), "genders")
     drawn = F.when(F.pmod(F.xxhash64("form"), F.lit(2)) == 0, "f").otherwise("m")

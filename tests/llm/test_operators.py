@@ -403,6 +403,17 @@ def test_surrogates_that_collide_are_drawn_again(spark, monkeypatch):
     assert len(set(found.values())) == 5 and not set(found.values()) & set(found)
 
 
+def test_a_full_format_grows(spark):
+    # Of 100 numbers behind the code, 60 are real: 40 are left for 60 surrogates.
+    forms = spark.createDataFrame([("phone", f"+250 {i:02d}") for i in range(60)], "type string, form string")
+    found = {r.form: r.surrogate for r in surrogates.dictionary(forms).collect()}
+    assert len(found) == len(set(found.values())) == 60 and not set(found.values()) & set(found)
+    assert all(re.fullmatch(r"\+250 \d{2,4}", x) for x in found.values()) and any(len(x) == 7 for x in found.values())
+    text = "+2500 points, +5 100 more, +1-800; +1 800 555 0100"
+    row = surrogates.replaced(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.n_entities == 1 and row.text.startswith("+2500 points, +5 100 more, +1-800; +1 ") and not row.text.endswith("800 555 0100")
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
