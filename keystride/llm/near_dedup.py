@@ -277,10 +277,9 @@ def confirmed(docs: DataFrame, grouped: DataFrame, percent: int, width: int, tex
     return sets.select("node", "root", "g.low", "g.high", "shingles").groupBy("root", "low", "high").applyInArrow(links, "a long, b long")
 
 
-def near_dedup(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept,
-    and row, the document's place in the table."""
-    docs = stored(docs)
+def named_components(docs: DataFrame, percent: int, width: int, doc_id: str, text: str) -> DataFrame:
+    """One row per document of a `stored` table: row, doc_id, n_shingles, root (a number of its
+    component, null without a word) and component_id."""
     rows = signed(docs, percent, width, doc_id, text)
     sigs, groups = classes(rows)
     postings = posted(sigs)
@@ -292,21 +291,27 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, doc_
     names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     # Sets that no other set is linked with keep their own least doc_id.
     member = materialise(
-        named.join(names.where(F.col("component_id").isNotNull()), "root", "left").select("set_key", "component_id"), "members"
+        named.join(names.where(F.col("component_id").isNotNull()), "root", "left").select("set_key", "root", "component_id"), "members"
     )
-    return rows.join(member, "set_key", "left").select(
+    return rows.join(member, "set_key", "left").select("row", "doc_id", "n_shingles", "root", "component_id")
+
+
+def near_dedup(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept,
+    and row, the document's place in the table."""
+    return named_components(stored(docs), percent, width, doc_id, text).select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"), "row",
     )
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that stay: of each component those with its least
-    doc_id, and of several such rows the first of the table."""
+    """The rows of `docs` that stay: of each component the one with the least doc_id, null the last,
+    and of several such rows the first of the table. Rows without a word stay."""
     docs, row = stored(docs), fresh(docs, "row")
-    judged = near_dedup(docs, percent, width, doc_id, text)
-    judged = materialise(judged.select("doc_id", "n_shingles", "component_id", "kept", F.col("row").alias("place")), "judged")
-    first = judged.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id", "component_id").agg(F.min("place").alias("place"))
-    again = judged.where("kept and n_shingles > 0 and doc_id is not null").join(first, "place", "left_anti")
-    dropped = materialise(judged.where("not kept").select("place").union(again.select("place")).withColumnRenamed("place", row), "dropped")
+    found = named_components(docs, percent, width, doc_id, text).where("root is not null")
+    found = materialise(found.select("doc_id", "root", F.col("row").alias("place")), "judged")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "place"))["place"].alias("place")
+    first = found.groupBy("root").agg(least).select("place")
+    dropped = materialise(found.join(first, "place", "left_anti").select(F.col("place").alias(row)), "dropped")
     return docs.withColumn(row, row_key(docs)).join(small(dropped), row, "left_anti").drop(row)

@@ -375,6 +375,15 @@ def test_surrogates(spark, edge):
     assert surrogates.replaced(edge).count() == len(ROWS)
 
 
+def test_near_duplicates_without_ids_leave_one(spark):
+    words = [f"w{i}" for i in range(60)]
+    near, other = " ".join(words), " ".join(words[:-1] + ["end"])
+    rows = [(None, near), (None, other), (None, near), (None, "alone it is"), (None, ""), (None, None), (4, "x y z"), (None, "x y z"), (3, "x y z")]
+    left = near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.text in (near, other) for r in left) == 1 and [r.doc_id for r in left if r.text == "x y z"] == [3]
+    assert len(left) == 5
+
+
 def test_surrogates_of_an_entity_agree(spark):
     texts = [
         "call +1 (017) 555-7713 or +1 017 555 7713 or +10175557713", "pay 4734 6632 1986 6878 or 4734663219866878",
