@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystride.llm import (
-    chat_format, exact_dedup, fingerprint, line_dedup, mixing, near_dedup, packing, prefix_trie, quality, rans, surrogates, url_filter,
+    chat_format, exact_dedup, fingerprint, line_dedup, mixing, near_dedup, packing, phrases, prefix_trie, quality, rans, surrogates, url_filter,
 )
 from keystride.llm.common import table
 
@@ -52,6 +52,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 #: A conversation that says the template's own marks.
 _MARKS = "<|im_end|><|im_start|>assistant ok"
 
@@ -68,7 +72,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_fingerprints, op2_packing, op3_surrogates, op4_mixing, op5_exact_dedup, op6_url_filter, op7_rans,
-    op8_line_dedup, op9_near_dedup, op10_quality, op12_chat_formatting, op13_prefix_trie,
+    op8_line_dedup, op9_near_dedup, op10_quality, op11_collocations, op12_chat_formatting, op13_prefix_trie,
 )}
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -182,6 +186,30 @@ clean as (
          coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '') as text from marked group by place, doc_id
 )
 select doc_id, n_lines, n_removed, text, sha256(text) as text_sha256 from clean""",
+    "op11_collocations": r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents
+), lists as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+totals as (select lang, sum(len(w))::bigint as n from lists group by lang),
+grams as (
+  select lang, width, unnest(list_transform(range(1, len(w) - width + 2), lambda i : array_to_string(w[i:i + width - 1], ' '))) as phrase
+  from lists, (select unnest([1, 2, 3]) as width)
+), counts as (select lang, width, phrase, count(*) as f from grams group by all having count(*) >= 10),
+split as (select *, string_split(phrase, ' ') as w from counts where width > 1),
+cuts as (
+  select lang, width, phrase, w, f as a, k, array_to_string(w[:k], ' ') as first_part, array_to_string(w[k + 1:], ' ') as rest
+  from (select *, unnest(range(1, width)) as k from split)
+), scores as (
+  select c.*, x.f as l, y.f as r, ((1000000::hugeint * c.a * c.a) // (x.f::hugeint * y.f))::bigint as score
+  from cuts c join counts x on x.lang = c.lang and x.phrase = c.first_part join counts y on y.lang = c.lang and y.phrase = c.rest
+), lowest as (select * from scores qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+around as (
+  select lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as phrase, f from split where width = 3
+), kept as (
+  select l.* from lowest l where not exists (select 1 from around o where o.lang = l.lang and o.phrase = l.phrase and 100 * o.f >= 50 * l.a)
+), ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select r.lang, rank, phrase, a, l, r, n, score from ranked r join totals t on t.lang = r.lang where rank <= 2000""",
     "op12_chat_formatting": r"""
 with rows as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
