@@ -14,7 +14,7 @@ differ stands for several phrases: all its occurrences are counted once more by
 A-Z are lower-cased. Texts fall into pieces at `[.,;:!?\\x0A-\\x0D]` and pieces into words `[^\\x20\\x09]+`; phrases do not cross
 pieces. Null text is empty, null lang is `und` and joins a lang of that name. Repeated rows count as often as they stand.
 Ties of the score go by count and the phrase's bytes. An empty table gives an empty result; other columns play no part.
-A text is hashed in runs of whole pieces of about SLICE_BYTES; memory grows beyond that only with a single longer piece.
+A text is hashed in runs of whole pieces of about RUN_BYTES; memory grows beyond that only with a single longer piece.
 """
 
 import zlib
@@ -22,10 +22,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keystride.llm.common import SLICE_BYTES, Batches, fresh, quoted, releasing, row_key, stored
+from keystride.llm.common import Batches, quoted, releasing, row_key, stored
 from keystride.llm.hot import lookup
 from keystride.session import materialise
 
@@ -37,7 +37,9 @@ COVERED = 50
 #: Bits of the filter of frequent fingerprints, 8 MB.
 FILTER_BITS = 1 << 26
 #: Fingerprints that a task adds up before it emits them.
-HELD = 1 << 21
+HELD = 1 << 18
+#: Bytes of text that are hashed at a time.
+RUN_BYTES = 1 << 20
 #: Parts that a language's phrases are ranked in before the best of each part meet.
 SALTS = 32
 
@@ -45,6 +47,8 @@ SALTS = 32
 _BYTE_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _WORD_BASES = (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)
 _U = np.uint64
+#: A check number has the 32 upper bits of its hash.
+CHECK_SHIFT = 32
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -119,6 +123,7 @@ class Words:
         prints = [
             _mixed(range_hashes(h, at, at + width, b) ^ self.seeds[:n]) for h, b in zip(self.hashes, _WORD_BASES)
         ]
+        prints[1] >>= _U(CHECK_SHIFT)
         if width > 1:
             # Piece numbers grow by separators and by texts, so equal numbers at both ends are one piece.
             at = np.flatnonzero((self.piece[:n] == self.piece[width - 1:]) & (self.text[:n] == self.text[width - 1:]))
@@ -138,23 +143,23 @@ def in_filter(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
 
 
 def _runs(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, offsets, numbers of the texts): whole texts up to SLICE_BYTES, longer ones cut between pieces."""
+    """(bytes, offsets, numbers of the texts): whole texts up to RUN_BYTES, longer ones cut between pieces."""
     first = 0
     while first < len(offsets) - 1:
-        end = int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, side="right")) - 1
+        end = int(np.searchsorted(offsets, offsets[first] + RUN_BYTES, side="right")) - 1
         if end > first:
             yield data[offsets[first]:offsets[end]], offsets[first:end + 1] - offsets[first], np.arange(first, end)
             first = end
             continue
         at, last = int(offsets[first]), int(offsets[first + 1])
         while at < last:
-            stop = min(at + SLICE_BYTES, last)
+            stop = min(at + RUN_BYTES, last)
             while stop < last:
-                cut = np.flatnonzero(_KIND[data[stop:stop + SLICE_BYTES]] == 2)
+                cut = np.flatnonzero(_KIND[data[stop:stop + RUN_BYTES]] == 2)
                 if len(cut):
                     stop += int(cut[0])
                     break
-                stop = min(stop + SLICE_BYTES, last)
+                stop = min(stop + RUN_BYTES, last)
             yield data[at:stop], np.array([0, stop - at]), np.array([first])
             at = stop
         first += 1
@@ -203,19 +208,18 @@ class _Sums:
         if len(at):
             self._put(lang[at], prints[at], checks[at], doc[at], np.add.reduceat(counts, at))
 
-    def batches(self, names: list[str], width: int, piece: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    def batches(self, names: list[str], piece: int = 1 << 16) -> Iterator[pa.RecordBatch]:
         for lang, prints, checks, doc, counts in self.parts:
             for i in range(0, len(lang), piece):
                 part = slice(i, i + piece)
                 yield pa.record_batch([
                     pa.DictionaryArray.from_arrays(pa.array(lang[part], pa.int32()), pa.array(names, pa.string())).cast(pa.string()),
-                    pa.array(np.full(len(lang[part]), width, np.int32)), pa.array(prints[part].view(np.int64)),
-                    pa.array(checks[part].view(np.int64)), pa.array(counts[part].astype(np.int64)), pa.array(doc[part]),
-                ], ["lang", "width", "print", "check", "n", "doc"])
+                    pa.array(prints[part].view(np.int64)), pa.array(checks[part].view(np.int64)), pa.array(counts[part].astype(np.int64)), pa.array(doc[part]),
+                ], ["lang", "print", "check", "n", "doc"])
         self.parts, self.held = [], 0
 
 
-_COUNTS = "lang string, width int, print long, check long, n long, doc long"
+_COUNTS = "lang string, print long, check long, n long, doc long"
 
 
 def _counting(width: int, shorter, bits: int, held: int) -> Callable[[Batches], Batches]:
@@ -240,10 +244,21 @@ def _counting(width: int, shorter, bits: int, held: int) -> Callable[[Batches],
                 if sums.held > 2 * held:
                     sums.squeeze()
                     if sums.held > held:
-                        yield from sums.batches(list(numbers), width)
+                        yield from sums.batches(list(numbers))
         if sums.parts:
             sums.squeeze()
-            yield from sums.batches(list(numbers), width)
+            yield from sums.batches(list(numbers))
+
+    return releasing(kernel)
+
+
+def _passing(pointed) -> Callable[[Batches], Batches]:
+    """Kernel: the documents whose mark passes the filter."""
+
+    def kernel(found: Batches) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            hit = in_filter(pointed.value, batch.column("mark").to_numpy().view(np.uint64))
+            yield batch.filter(pa.array(hit)).select(["lang", "text", "doc"])
 
     return releasing(kernel)
 
@@ -317,10 +332,12 @@ def bit_filter(prints: DataFrame, size: int = FILTER_BITS) -> np.ndarray:
 
 
 def documents_of(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
-    """lang, text and doc (a hash of the row's place) of every document."""
+    """lang, text and doc of every document: 32 bits of the file's hash and of the place there, mostly distinct."""
     docs = stored(docs)
+    key = row_key(docs)
+    doc = F.shiftleft(key["file"], 32).bitwiseOR(key["at"].bitwiseAND(F.lit(2**32 - 1)))
     return docs.select(
-        F.coalesce(quoted(lang).cast("string"), F.lit("und")).alias("lang"), quoted(text).alias("text"), F.xxhash64(row_key(docs)).alias("doc")
+        F.coalesce(quoted(lang).cast("string"), F.lit("und")).alias("lang"), quoted(text).alias("text"), doc.alias("doc")
     )
 
 
@@ -330,9 +347,9 @@ def frequent_prints(docs: DataFrame, least: int, bits: int = 64, held: int = HEL
     found, shorter, totals = [], None, None
     for width in range(1, WIDEST + 1):
         counted = docs.mapInArrow(_counting(width, shorter, bits, held), _COUNTS)
-        sums = counted.groupBy("lang", "width", "print").agg(
+        sums = counted.groupBy("lang", "print").agg(
             F.sum("n").alias("f"), F.min("check").alias("low"), F.max("check").alias("high"), F.min("doc").alias("doc")
-        )
+        ).withColumn("width", F.lit(width))
         if width == 1:
             sums = materialise(sums, "words")
             totals = sums.groupBy("lang").agg(F.sum("f").alias("n"))
@@ -354,11 +371,13 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, bits: int = 64, held:
     single, shared = frequent.where("low = high"), frequent.where("low <> high")
 
     # Each document meets the fingerprints that point at it, and only those documents go on.
+    pointed = docs.sparkSession.sparkContext.broadcast(bit_filter(single.select(F.xxhash64("doc").alias("print")).distinct()))
+    chosen = docs.withColumn("mark", F.xxhash64("doc")).mapInArrow(_passing(pointed), "lang string, text string, doc long")
     wanted = single.groupBy("doc").agg(F.collect_list(F.struct("width", "print", F.col("low").alias("check"))).alias("wanted"))
-    located = docs.join(wanted.hint("merge"), "doc").select("lang", "text", "wanted").mapInArrow(
+    located = chosen.join(wanted.hint("merge"), "doc").select("lang", "text", "wanted").mapInArrow(
         _locating(bits), "lang string, width int, print long, phrase string"
     )
-    # Two rows may have one hash, and both the phrase.
+    # Two rows may have one key, and both the phrase.
     located = located.dropDuplicates(["lang", "width", "print"])
     phrases = single.join(located, ["lang", "width", "print"]).select("lang", "width", "phrase", "f")
 

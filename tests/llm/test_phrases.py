@@ -68,7 +68,7 @@ def test_long_texts_are_cut_between_pieces(spark, monkeypatch):
     for _, text in rows:
         want.update(piece for piece in text.split(".") if piece.strip())
     data = rows[0][1].encode()
-    monkeypatch.setattr(phrases, "SLICE_BYTES", 64)
+    monkeypatch.setattr(phrases, "RUN_BYTES", 64)
     parts = list(phrases._runs(np.frombuffer(data, np.uint8), np.array([0, len(data)])))
     assert len(parts) > 5 and b"".join(p.tobytes() for p, _, _ in parts) == data
     grams = Counter()
