@@ -37,9 +37,9 @@ COVERED = 50
 #: Bits of the filter of frequent fingerprints, 8 MB.
 FILTER_BITS = 1 << 26
 #: Fingerprints that a task adds up before it emits them.
-HELD = 1 << 18
+HELD = 1 << 17
 #: Bytes of text that are hashed at a time.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 #: Parts that a language's phrases are ranked in before the best of each part meet.
 SALTS = 32
 
