@@ -357,6 +357,95 @@ ORACLES["feature_stages"] = f"""with {ACTIVE}
 ORACLES["detector_scale"] = f"""with {FEATURES}
   select {_rounded(S.SESSION_FEATURES)} from scaled"""
 
+
+def _uniform(*parts: str) -> str:
+    """A number in [0, 1) from the digest of the joined parts."""
+    joined = " || ':' || ".join(f"({p})::varchar" for p in parts)
+    return f"(('0x' || left(md5({joined}), 13))::bigint / 4503599627370496.0::double)"
+
+
+def _mean_path(n: str) -> str:
+    return (f"(case when {n} <= 1 then 0 when {n} = 2 then 1 else 2 * (ln({n} - 1) + 0.5772156649015329) "
+            f"- 2 * ({n} - 1) / {n}::double end)")
+
+
+def forest_ctes(rows: str, seed: int = 42, trees: int = 100, wanted: int = 256, levels: int = 8) -> str:
+    """Tables nodes (the grown forest) and forest_scores (id, raw_score), level by level.
+
+    `rows` is a query of (id, f, v): number f of the features of id has the value v. The table has `wanted` rows
+    or more, else fewer levels are grown.
+    """
+    parts = [f"""
+cells as ({rows}),
+ids as (select distinct id from cells),
+numbers as (select count(*) as n, least({wanted}, count(*)) as wanted, least(1.0, 6.0 * {trees} * least({wanted}, count(*)) / count(*)) as pool from ids),
+tree_list as (select unnest(range({trees})) as tree),
+offered as (
+  select tree, id, {_uniform(str(seed), "tree", "id")} as u, n, wanted, pool from ids, tree_list, numbers
+  where {_uniform(str(seed), "'pool'", "id")} < pool
+),
+l0 as (
+  select tree, 0 as node, id from offered where u < least(1.0, 3.0 * wanted / (n * pool))
+  qualify row_number() over (partition by tree order by u, id) <= max(wanted) over ()
+)"""]
+    for d in range(levels + 1):
+        grows = f"{d} < least({levels}, ceil(log2(greatest((select wanted from numbers), 2))))"
+        parts.append(f"""
+p{d} as (
+  select tree, node, f, case when lo + u * (hi - lo) >= hi then lo else lo + u * (hi - lo) end as split
+  from (
+    select tree, node, f, min(v) as lo, max(v) as hi, {_uniform(str(seed), "tree", "node", "'split'")} as u,
+           row_number() over (partition by tree, node order by f) - 1 as place,
+           count(*) over (partition by tree, node) as varying
+    from l{d} join cells using (id) where {grows} group by tree, node, f having max(v) > min(v)
+  ) where place = floor({_uniform(str(seed), "tree", "node", "'feature'")} * varying)
+),
+n{d} as (
+  select s.tree, s.node, coalesce(p.f, -1) as feature, coalesce(p.split, 0.0) as split, case when p.f is null then -1 else 2 * s.node + 1 end as lo,
+         case when p.f is null then -1 else 2 * s.node + 2 end as hi, s.size, {d} as depth
+  from (select tree, node, count(*) as size from l{d} group by tree, node) s left join p{d} p using (tree, node)
+),
+l{d + 1} as (
+  select tree, case when v <= split then 2 * node + 1 else 2 * node + 2 end as node, id from l{d} join p{d} using (tree, node) join cells using (id, f)
+)""")
+    parts.append("\nnodes as (" + " union all ".join(f"select * from n{d}" for d in range(levels + 1)) + ")")
+    parts.append("\nw0 as (select id, tree, 0 as node from ids, tree_list)")
+    for d in range(levels):
+        parts.append(f"""
+w{d + 1} as (
+  select w.id, w.tree, case when n.feature < 0 then w.node when c.v <= n.split then n.lo else n.hi end as node
+  from w{d} w join nodes n using (tree, node) left join cells c on c.id = w.id and c.f = n.feature
+)""")
+    parts.append(f"""
+forest_scores as (
+  select id, -pow(2, -avg(depth + {_mean_path("size")}) / (select {_mean_path("wanted")} from numbers)) as raw_score
+  from w{levels} join nodes using (tree, node) group by id
+)""")
+    return ",".join(parts)
+
+
+_EMBEDDED = "select vec_id as id, generate_subscripts(embedding, 1) - 1 as f, unnest(embedding)::double as v from embeddings"
+ORACLES["iforest_fit"] = f"""with {forest_ctes(_EMBEDDED)}
+  select tree, node, feature, {r("split", "split")}, lo, hi, size, depth from nodes"""
+ORACLES["iforest_score"] = f"""with {forest_ctes(_EMBEDDED)}
+  select id as vec_id, {r("raw_score", "iforest_score")}, {r("1 + raw_score", "iforest_prediction")} from forest_scores"""
+ORACLES["iforest_flag"] = f"""with {forest_ctes(_EMBEDDED)}
+  select id as vec_id, raw_score < (select quantile_cont(raw_score, 0.1) from forest_scores) as iforest_anomaly from forest_scores"""
+
+
+def detector_ctes(table: str, names: list[str], key: str = "session_id") -> str:
+    """forest_scores of a table of scaled features."""
+    rows = " union all ".join(f"select {key} as id, {i} as f, {n}::double as v from {table}" for i, n in enumerate(names))
+    return forest_ctes(rows)
+
+
+ORACLES["detector_predict"] = f"""with {FEATURES}, {detector_ctes("scaled", S.SESSION_FEATURES)},
+  judged as (select id as session_id, raw_score, 1 - 1 / (1 + exp(-raw_score)) as risk_score,
+                    raw_score < (select quantile_cont(raw_score, 0.1) from forest_scores) as is_anomaly from forest_scores)
+  select session_id, is_anomaly, {r("risk_score", "risk_score")}, {r("abs(risk_score - 0.5) * 2", "confidence")},
+         {r("raw_score", "raw_score")}, {r("session_duration", "duration_importance")}
+  from judged join shares using (session_id)"""
+
 ORACLES["iforest_trees"] = f"""
   select cast(tree as int) as tree, cast(least(n, {S.MAX_SAMPLES}) as int) as drawn,
          least(n, {S.MAX_SAMPLES}) as in_leaves, 1::bigint as leaves_over_splits

@@ -1,11 +1,13 @@
 """Isolation forest (M6-M8) after Liu, Ting and Zhou (2008), fitted and applied on executors.
 
 Fitting draws `maxSamples` rows per tree by hashing the row id, so the draw repeats under any
-partitioning, and builds each tree in its own task from that many rows. The fitted forest is
-a table of nodes with a size fixed by the parameters, so it can be broadcast for scoring.
+partitioning, and builds each tree in its own task from that many rows. What is random in a tree
+is a digest of seed, tree and node, so the same rows give the same forest in any engine. The fitted
+forest is a table of nodes with a size fixed by the parameters, so it can be broadcast for scoring.
 """
 
 from collections.abc import Iterator
+from hashlib import md5
 from math import ceil, log, log2
 
 import numpy as np
@@ -29,6 +31,8 @@ from keystride.session import materialise
 EULER_GAMMA = 0.5772156649015329
 NODES = "tree int, node int, feature int, split double, lo int, hi int, size int, depth int"
 LEAF = -1
+# Hexadecimal digits of a digest that make a random number: 52 bits, exact in a double.
+DIGITS = 13
 # Expected rows drawn per row needed, before the exact trim.
 OVERDRAW = 3
 # Rows that walk the trees together; small enough for their state to stay in cache.
@@ -49,7 +53,13 @@ def mean_path(n: float) -> float:
 
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) that depends on the given columns only."""
-    return F.xxhash64(*parts).bitwiseAND(F.lit(2**53 - 1)) / F.lit(float(2**53))
+    digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
+    return F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("double") / F.lit(float(16**DIGITS))
+
+
+def uniform_of(*parts: object) -> float:
+    """The same number for plain values."""
+    return int(md5(":".join(map(str, parts)).encode()).hexdigest()[:DIGITS], 16) / 16**DIGITS
 
 
 def sample_per_tree(
@@ -79,29 +89,29 @@ def sample_per_tree(
 
 
 def _grow(x: np.ndarray, tree: int, seed: int, limit: int) -> list[tuple]:
-    """Nodes of one tree over the rows of `x`, split at random until alone or too deep."""
-    rng = np.random.default_rng([seed, tree])
-    nodes: list[list] = []
-    open_nodes = [(np.arange(len(x)), 0, None, None)]
+    """Nodes of one tree over the rows of `x`, split at random until alone or too deep.
+
+    The root is node 0, the nodes below and above the split of node n are 2n + 1 and 2n + 2.
+    """
+    nodes = []
+    open_nodes = [(0, 0, np.arange(len(x)))]
     while open_nodes:
-        members, depth, parent, side = open_nodes.pop()
-        node = len(nodes)
-        nodes.append([tree, node, LEAF, 0.0, LEAF, LEAF, len(members), depth])
-        if parent is not None:
-            nodes[parent][side] = node
+        node, depth, members = open_nodes.pop()
         low, high = x[members].min(axis=0), x[members].max(axis=0)
         varying = np.flatnonzero(high > low)
-        if depth >= limit or len(members) <= 1 or len(varying) == 0:
+        if depth >= limit or len(varying) == 0:
+            nodes.append((tree, node, LEAF, 0.0, LEAF, LEAF, len(members), depth))
             continue
-        feature = int(rng.choice(varying))
-        split = float(rng.uniform(low[feature], high[feature]))
-        if split >= high[feature]:  # neighbouring floats can round up; both sides need rows
-            split = float(low[feature])
+        feature = int(varying[int(uniform_of(seed, tree, node, "feature") * len(varying))])
+        lowest, highest = float(low[feature]), float(high[feature])
+        split = lowest + uniform_of(seed, tree, node, "split") * (highest - lowest)
+        if split >= highest:  # neighbouring floats can round up; both sides need rows
+            split = lowest
         below = x[members, feature] <= split
-        nodes[node][2:4] = feature, split
-        open_nodes.append((members[~below], depth + 1, node, 5))
-        open_nodes.append((members[below], depth + 1, node, 4))
-    return [tuple(n) for n in nodes]
+        lo, hi = 2 * node + 1, 2 * node + 2
+        nodes.append((tree, node, feature, split, lo, hi, len(members), depth))
+        open_nodes += [(lo, depth + 1, members[below]), (hi, depth + 1, members[~below])]
+    return nodes
 
 
 def grow_trees(sampled: DataFrame, seed: int, wanted: int) -> DataFrame:
@@ -219,11 +229,12 @@ class IsolationForestModel(Model, _ForestParams, MLReadable, MLWritable):
         if self._arrays is None:
             table = self.nodes.toPandas().sort_values(["tree", "node"], ignore_index=True)
             root = (table["node"] == 0).to_numpy().nonzero()[0]
-            base = np.repeat(root, np.diff([*root, len(table)]))
             leaf = (table["feature"] == LEAF).to_numpy()
+            first = table["tree"].to_numpy(np.int64) * (int(table["node"].max()) + 1)
+            places = first + table["node"].to_numpy()
 
             def towards(side: str) -> np.ndarray:
-                return np.where(leaf, table.index, base + table[side])
+                return np.where(leaf, table.index, np.searchsorted(places, first + table[side].to_numpy()))
 
             context = self.nodes.sparkSession.sparkContext
             self._arrays = context.broadcast((
