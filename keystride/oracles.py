@@ -543,12 +543,29 @@ ORACLES["retention_versions"] = f"""
   from events"""
 
 # ---- streams ------------------------------------------------------------------------------
-ORACLES["stream_session_features"] = f"""with {GAPS},
+CLOSED = f"""{GAPS},
   closed as (
     select * from spans
     where last_event + interval 6 hours
           <= date_trunc('millisecond', (select max(ts) from events)) - interval 1 hour
-  ),
+  )"""
+CLOSED_FEATURES = f"""{CLOSED},
+members as (
+  select ev.* replace (ev.session_id || '@' || epoch_us(session_start) as session_id)
+  from ev join closed on ev.session_id = closed.session_id
+   and event_time between session_start and last_event
+){TIMED.removeprefix(EV).replace("from ev window", "from members window")},
+closed_kf as (select session_id, {KEYS} from timed where lane = 'key' group by session_id),
+closed_mf as (select session_id, {MOUSE} from timed where lane <> 'key' group by session_id),
+closed_features as (
+  select c.session_id, epoch_us(session_start) as session_start, epoch_us(last_event) as last_event, events,
+         {_prefixed("keystroke_", S.KEYSTROKE_FEATURES)}, {_prefixed("mouse_", S.MOUSE_FEATURES, "movements >= 2")}
+  from closed c left join closed_kf k on k.session_id = c.session_id || '@' || epoch_us(session_start)
+  left join closed_mf m on m.session_id = c.session_id || '@' || epoch_us(session_start)
+)"""
+ORACLES["stream_state_features"] = f"""with {CLOSED_FEATURES}
+  select {_rounded(S.SESSION_FEATURES[:11], "session_id, session_start, last_event, events")} from closed_features"""
+ORACLES["stream_session_features"] = f"""with {CLOSED},
   members as (
     select ev.* replace (ev.session_id || '@' || epoch_us(session_start) as session_id),
            closed.session_id as plain_id, session_start

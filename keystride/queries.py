@@ -20,6 +20,7 @@ from keystride.session import materialise, new_path
 from keystride.sources import browser, feature_store, payloads, sample
 from keystride.streaming import ingest
 from keystride.streaming import sessions as session_streams
+from keystride.streaming import stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -644,6 +645,17 @@ def stream_session_features(spark, sf_dir):
     )
 
 
+@query
+def stream_state_features(spark, sf_dir):
+    """Key and mouse features of closed sessions, from the stream's own state."""
+    out = new_path(spark, "closed")
+    found = stateful.session_state_features(sample.event_stream(spark, sf_dir), 6 * 3600, "1 hour")
+    ingest.start(found.writeStream.format("parquet").option("path", out), new_path(spark, "stream")).awaitTermination()
+    return spark.read.schema(stateful.CLOSED).parquet(out).withColumns({
+        "session_start": F.unix_micros("session_start"), "last_event": F.unix_micros("last_event")
+    })
+
+
 @query
 def stream_scoring(spark, sf_dir):
     rows = _model_rows(spark, sf_dir)

@@ -40,6 +40,10 @@ def events(spark: SparkSession, sf_dir: str, types: list[str] | None = None) ->
     rows = table(spark, sf_dir, "events")
     if types:
         rows = rows.filter(F.col("event_type").isin(types))
+    return _as_events(rows)
+
+
+def _as_events(rows: DataFrame) -> DataFrame:
     kind = (
         F.when(F.col("event_type") == "view", "keydown")
         .when(F.col("event_type") == "click", "keyup")
@@ -203,15 +207,9 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored events as a stream, with the columns session windows need."""
+    """The stored events as a stream."""
     shape = table(spark, sf_dir, "events").schema
     rows = spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").parquet(
         sf_dir
     )
-    is_key = F.col("event_type").isin(KEY_TYPES)
-    return rows.select(
-        F.col("user_id").cast("string").alias("session_id"),
-        F.col("ts").cast("timestamp").alias("event_time"),
-        F.when(is_key, "key").when(F.col("event_type") == "error", "click")
-        .otherwise("movement").alias("lane"),
-    )
+    return _as_events(rows)
