@@ -369,14 +369,14 @@ def _mean_path(n: str) -> str:
             f"- 2 * ({n} - 1) / {n}::double end)")
 
 
-def forest_ctes(rows: str, seed: int = 42, trees: int = 100, wanted: int = 256, levels: int = 8) -> str:
-    """Tables nodes (the grown forest) and forest_scores (id, raw_score), level by level.
+def forest_ctes(rows: str, others: str = "select * from cells", seed: int = 42, trees: int = 100, wanted: int = 256, levels: int = 8) -> str:
+    """Tables nodes (the forest grown from `rows`, level by level) and forest_scores (id, raw_score) of `others`.
 
-    `rows` is a query of (id, f, v): number f of the features of id has the value v. The table has `wanted` rows
-    or more, else fewer levels are grown.
+    Both are queries of (id, f, v): number f of the features of id has the value v.
     """
     parts = [f"""
 cells as ({rows}),
+others as ({others}),
 ids as (select distinct id from cells),
 numbers as (select count(*) as n, least({wanted}, count(*)) as wanted, least(1.0, 6.0 * {trees} * least({wanted}, count(*)) / count(*)) as pool from ids),
 tree_list as (select unnest(range({trees})) as tree),
@@ -409,12 +409,12 @@ l{d + 1} as (
   select tree, case when v <= split then 2 * node + 1 else 2 * node + 2 end as node, id from l{d} join p{d} using (tree, node) join cells using (id, f)
 )""")
     parts.append("\nnodes as (" + " union all ".join(f"select * from n{d}" for d in range(levels + 1)) + ")")
-    parts.append("\nw0 as (select id, tree, 0 as node from ids, tree_list)")
+    parts.append("\nw0 as (select id, tree, 0 as node from (select distinct id from others), tree_list)")
     for d in range(levels):
         parts.append(f"""
 w{d + 1} as (
   select w.id, w.tree, case when n.feature < 0 then w.node when c.v <= n.split then n.lo else n.hi end as node
-  from w{d} w join nodes n using (tree, node) left join cells c on c.id = w.id and c.f = n.feature
+  from w{d} w join nodes n using (tree, node) left join others c on c.id = w.id and c.f = n.feature
 )""")
     parts.append(f"""
 forest_scores as (
@@ -433,10 +433,13 @@ ORACLES["iforest_flag"] = f"""with {forest_ctes(_EMBEDDED)}
   select id as vec_id, raw_score < (select quantile_cont(raw_score, 0.1) from forest_scores) as iforest_anomaly from forest_scores"""
 
 
+def _cells(table: str, names: list[str], key: str = "id") -> str:
+    return " union all ".join(f"select {key} as id, {i} as f, {n}::double as v from {table}" for i, n in enumerate(names))
+
+
 def detector_ctes(table: str, names: list[str], key: str = "session_id") -> str:
     """forest_scores of a table of scaled features."""
-    rows = " union all ".join(f"select {key} as id, {i} as f, {n}::double as v from {table}" for i, n in enumerate(names))
-    return forest_ctes(rows)
+    return forest_ctes(_cells(table, names, key))
 
 
 ORACLES["detector_predict"] = f"""with {FEATURES}, {detector_ctes("scaled", S.SESSION_FEATURES)},
@@ -588,3 +591,50 @@ ORACLES["stream_session_features"] = f"""with {CLOSED},
   kf as (select plain_id, session_start, {KEYS} from timed group by plain_id, session_start)
   select plain_id as session_id, epoch_us(session_start) as session_start,
          {", ".join(r(n, n) for n in S.KEYSTROKE_FEATURES)} from kf"""
+
+
+BEHAVIOUR = S.SESSION_FEATURES[:11]
+
+
+def _detector(train: str, scored: str) -> str:
+    """Scores (id, raw_score) of the table `scored` by a detector of the table `train`: id and the features."""
+    stats = ", ".join(f"avg({n}) as {n}_m, coalesce(nullif(stddev_pop({n}), 0), 1) as {n}_s" for n in BEHAVIOUR)
+    scale = ", ".join(f"(coalesce({n}, 0) - {n}_m) / {n}_s as {n}" for n in BEHAVIOUR)
+    filled = ", ".join(f"coalesce({n}, 0) as {n}" for n in BEHAVIOUR)
+    return f"""(
+    with stats as (select {stats} from (select {filled} from {train})), scaled_train as (select id, {scale} from {train}, stats),
+    scaled_rows as (select id, {scale} from {scored}, stats), {forest_ctes(_cells("scaled_train", BEHAVIOUR), _cells("scaled_rows", BEHAVIOUR))}
+    select * from forest_scores)"""
+
+
+#: Sessions as the payloads' own clock closes them.
+_PAYLOAD_CLOSED = (
+    CLOSED_FEATURES.replace("ts as event_time", "make_timestamp(cast(round(epoch_us(ts) / 8e10 * 1e6) as bigint)) as event_time")
+    .replace("interval 6 hours", "interval 270 milliseconds")
+    .replace("(select max(ts) from events)) - interval 1 hour", "(select max(event_time) from ev)) - interval 45 milliseconds")
+)
+ORACLES["stream_scoring"] = f"""with train as (with {FEATURES} select session_id as id, {", ".join(BEHAVIOUR)} from features),
+  closed_rows as (with {_PAYLOAD_CLOSED} select session_id || '@' || session_start as id, * from closed_features),
+  judged as (select id, 1 - 1 / (1 + exp(-raw_score)) as risk_score from {_detector("train", "closed_rows")})
+  select session_id, session_start, {r("risk_score", "risk_score")}, {r("abs(risk_score - 0.5) * 2", "confidence")}, '{Q.VERSION}' as model_version
+  from judged join closed_rows using (id)"""
+
+
+def _half(side: str) -> str:
+    part = EV.replace("from events)", f"from events where ts {side} timestamp '{Q.HALF_TIME}')")
+    return f"""(with {FEATURES.replace(EV, part)}
+    select session_id as id, {", ".join(BEHAVIOUR)}, ('0x' || left(md5(session_id), 8))::bigint % 4 = 0 as unseen from features)"""
+
+
+ORACLES["retrain_decision"] = f"""with {SCORED}, {DRIFT}, {DEVICES},
+  early_rows as {_half("<")}, late_rows as {_half(">=")},
+  old_train as (select * from early_rows where not unseen), new_train as (select * from late_rows where not unseen),
+  asked as (select * from late_rows where unseen),
+  old_rated as (select 1 - 1 / (1 + exp(-raw_score)) as risk_score, label from {_detector("old_train", "asked")} join users on session_id = id),
+  new_rated as (select 1 - 1 / (1 + exp(-raw_score)) as risk_score, label from {_detector("new_train", "asked")} join users on session_id = id),
+  areas as (select {_rank_sum("old_rated", "risk_score")} as old_area, {_rank_sum("new_rated", "risk_score")} as new_area,
+            (select sum((c - b) * ln(c / b)) from sides) as drift)
+  select '{Q.OLDER_VERSION}' as champion, '{Q.VERSION}' as challenger, {r("drift", "drift")}, {r("old_area", "champion_auc")},
+         {r("new_area", "challenger_auc")}, new_area > old_area as promoted,
+         case when new_area > old_area then '{Q.VERSION}' else '{Q.OLDER_VERSION}' end as in_use
+  from areas"""

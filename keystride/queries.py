@@ -13,7 +13,7 @@ from keystride.functions import scalars
 from keystride.operators.sessions import gap_sessions
 from keystride.operators.timings import interactions, timed_rows
 from keystride.plans import (
-    detector, feature_build, iforest, monitoring, risk, scoring, training, vectors,
+    detector, feature_build, iforest, monitoring, registry, retraining, risk, scoring, training, vectors,
 )
 from keystride.plans import session_features as features
 from keystride.session import materialise, new_path
@@ -31,6 +31,8 @@ VERSION = "20240131_000000"
 OLDER_VERSION = "20240101_000000"
 RETENTION_AS_OF = "2024-04-14 00:00:00"
 HALF_TIME = "2024-01-16 00:00:00"
+# Six hours and one hour in the payloads' compressed time.
+PAYLOAD_GAP, PAYLOAD_DELAY = 0.27, "45 milliseconds"
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -656,16 +658,54 @@ def stream_state_features(spark, sf_dir):
     })
 
 
+def _behaviour(events: DataFrame, sessions: DataFrame) -> DataFrame:
+    return features.session_features(events, sessions).select("session_id", *stateful.FEATURES)
+
+
+def _windows_scored(model: detector.SessionDetector, closed: DataFrame) -> DataFrame:
+    """Risk of closed sessions; a session that closes twice is two rows."""
+    named = closed.withColumn("session_id", F.concat_ws("@", "session_id", F.unix_micros("session_start")))
+    return model.predict(named).select(
+        F.regexp_replace("session_id", "@\\d+$", "").alias("session_id"),
+        F.regexp_extract("session_id", "@(\\d+)$", 1).cast("long").alias("session_start"), "risk_score", "confidence",
+    )
+
+
 @query
 def stream_scoring(spark, sf_dir):
-    rows = _model_rows(spark, sf_dir)
-    model = training.fit_ensemble(rows)
-    arrivals = new_path(spark, "arrivals")
-    rows.write.parquet(arrivals)
+    """From payloads on a stream to risks: events, features when a session closes, the promoted detector."""
+    root = new_path(spark, "models")
+    rows = materialise(_behaviour(sample.events(spark, sf_dir), sample.sessions(spark, sf_dir)), "sessions")
+    detector.SessionDetector(names=stateful.FEATURES).fit(rows).save(registry.version_path(root, VERSION))
+    registry.promote(spark, root, VERSION)
+    events = ingest.accepted_events(ingest.text_stream(spark, _payload_folder(spark, sf_dir)))
     out = new_path(spark, "risk")
-    session_streams.score_stream(
-        spark.readStream.schema(rows.schema).parquet(arrivals),
-        lambda batch: training.score(model, batch).select("session_id", "risk_score"),
-        out, new_path(spark, "stream"),
+    session_streams.score_with_current(
+        stateful.session_state_features(events, PAYLOAD_GAP, PAYLOAD_DELAY), root, detector.SessionDetector.load,
+        _windows_scored, out, new_path(spark, "stream"),
     ).awaitTermination()
-    return spark.read.parquet(out).select("session_id", "risk_score")
+    return spark.read.parquet(out).select("session_id", "session_start", "risk_score", "confidence", "model_version")
+
+
+@query
+def retrain_decision(spark, sf_dir):
+    """A detector of the first half of the time against one of the second, on sessions neither has seen."""
+    events, sessions = sample.events(spark, sf_dir), sample.sessions(spark, sf_dir)
+    half = F.lit(HALF_TIME).cast("timestamp")
+    early, late = (
+        materialise(_behaviour(events.where(side), sessions), "sessions")
+        for side in (F.col("event_time") < half, F.col("event_time") >= half)
+    )
+    root, names, unseen = new_path(spark, "models"), stateful.FEATURES, retraining.held_out("session_id")
+    detector.SessionDetector(names=names).fit(early.where(~unseen)).save(registry.version_path(root, OLDER_VERSION))
+    registry.promote(spark, root, OLDER_VERSION)
+    labels = sessions.select(F.col("session_id").alias("id"), "label")
+
+    def scored(model, rows):
+        return model.predict(rows).join(labels, F.col("session_id") == F.col("id"))
+
+    return retraining.retrain(
+        spark, root, VERSION, monitoring.drift_index(*_halves(spark, sf_dir)).first()["drift"],
+        lambda: detector.SessionDetector(names=names).fit(late.where(~unseen)), detector.SessionDetector.load, scored,
+        late.where(unseen).join(labels, F.col("session_id") == F.col("id")).drop("id"), threshold=0.0,
+    )

@@ -1,11 +1,13 @@
 """Session features and scores on streams."""
 
 from collections.abc import Callable
+from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from keystride.plans import registry
 from keystride.session import materialise
 from keystride.streaming.ingest import start
 
@@ -110,3 +112,35 @@ def score_stream(
         score(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return start(rows.writeStream.foreachBatch(process), checkpoint, continuous)
+
+
+def score_with_current(
+    rows: DataFrame,
+    root: str,
+    load: Callable[[SparkSession, str], Any],
+    score: Callable[[Any, DataFrame], DataFrame],
+    path: str,
+    checkpoint: str,
+    continuous: bool = False,
+) -> StreamingQuery:
+    """Score arriving feature rows with the saved model that is in use when their batch starts.
+
+    A promotion takes effect with the next batch, without a restart. The version of a batch is noted
+    before it is scored, so a replayed batch gets the model it had; without a model the stream stops
+    and goes on from there once one is promoted. `score` must need its rows once only.
+    """
+    loaded: dict[str, Any] = {}
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        spark, note = batch.sparkSession, f"{path}/_versions/{batch_id}"
+        version = registry.get_text(spark, note) or registry.current(spark, root)
+        if version is None:
+            raise RuntimeError(f"no model is in use below {root}")
+        registry.put_text(spark, note, version)
+        if version not in loaded:
+            loaded.clear()
+            loaded[version] = load(spark, registry.version_path(root, version))
+        scored = score(loaded[version], batch).withColumn("model_version", F.lit(version))
+        scored.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return start(rows.writeStream.foreachBatch(process), checkpoint, continuous)

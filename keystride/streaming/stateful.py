@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from keystride import schema as S
 
+#: Names of the detector's features that a stream's state holds.
 FEATURES = [f"keystroke_{n}" for n in S.KEYSTROKE_FEATURES] + [f"mouse_{n}" for n in S.MOUSE_FEATURES]
 CLOSED = "session_id string, session_start timestamp, last_event timestamp, events long, " + ", ".join(f"{n} double" for n in FEATURES)
 
@@ -110,8 +111,8 @@ class _Run:
 
 
 class SessionState(StatefulProcessor):
-    def __init__(self, gap_seconds: int):
-        self.gap = gap_seconds * 1_000_000
+    def __init__(self, gap_seconds: float):
+        self.gap = round(gap_seconds * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -182,7 +183,7 @@ class SessionState(StatefulProcessor):
 _NO_CODE = -(2**63)
 
 
-def session_state_features(events: DataFrame, gap_seconds: int, delay: str) -> DataFrame:
+def session_state_features(events: DataFrame, gap_seconds: float, delay: str) -> DataFrame:
     """One row (CLOSED) for each session that ended: keystroke and mouse features, as the batch operators give them.
 
     Needs the RocksDB state store (see session.build).
