@@ -118,6 +118,24 @@ def position(rows: DataFrame, name: str, by: list[str]) -> DataFrame:
     )
 
 
+def running_total(rows: DataFrame, name: str, value: Column, by: list[str]) -> DataFrame:
+    """Add `name`: the sum of `value` over the rows before each row of its group."""
+    sliced = SLICE in rows.columns
+    within = [*by, SLICE] if sliced else by
+    before = Window.partitionBy(*within).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumn(name, F.coalesce(F.sum(value).over(before), F.lit(0)))
+    if not sliced:
+        return found
+
+    earlier = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    totals = (
+        rows.groupBy(*within)
+        .agg(F.sum(value).alias("total"))
+        .select(*within, F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("carried"))
+    )
+    return _beside(found, totals, within).withColumn(name, F.col(name) + F.col("carried")).drop("carried")
+
+
 def _beside(rows: DataFrame, others: DataFrame, within: list[str]) -> DataFrame:
     """Rows with what `others` hold for their group; as in a window, NULL keys are one group."""
     others = others.withColumnsRenamed({c: f"_{c}" for c in within})

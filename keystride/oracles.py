@@ -252,6 +252,7 @@ ORACLES["align_features"] = f"""with {FEATURES}
   select {_rounded(S.SESSION_FEATURES[:-2])}, 0.0::double as device_battery from aligned"""
 ORACLES["session_sql_features"] = f"""with {ACTIVE}
   select {_rounded(ACTIVITY_DOUBLES)}, {", ".join(ACTIVITY_OTHERS)} from activity"""
+ORACLES["sql_view_features"] = ORACLES["session_sql_features"]
 ORACLES["hourly_features"] = f"""with {RAW},
   activity as (select session_id, epoch_us(date_trunc('hour', event_time)) as hour, {ACTIVITY}
     from raw group by all)
@@ -449,6 +450,21 @@ ORACLES["detector_predict"] = f"""with {FEATURES}, {detector_ctes("scaled", S.SE
          {r("raw_score", "raw_score")}, {r("session_duration", "duration_importance")}
   from judged join shares using (session_id)"""
 
+ORACLES["request_outcomes"] = f"""with {FEATURES}, {detector_ctes("scaled", S.SESSION_FEATURES)},
+  risks as (select id as session_id, 1 - 1 / (1 + exp(-raw_score)) as risk_score from forest_scores),
+  requests as (
+    select c_custkey as request_id,
+           case c_custkey % 10 when 9 then '' when 8 then null else cast(c_custkey as varchar) end as session_id
+    from customer
+  )
+  select q.request_id, q.session_id,
+         case when coalesce(q.session_id, '') = '' then 'refused' when k.session_id is null then 'no_data' else 'scored' end as outcome,
+         case when coalesce(q.session_id, '') = '' then 'Missing session_id' when k.session_id is null then 'No data found for this session' end as reason,
+         {r("k.risk_score", "risk_score")}, {r("abs(k.risk_score - 0.5) * 2", "confidence")},
+         case when k.risk_score > 0.7 then 'high' when k.risk_score > 0.3 then 'medium' when k.risk_score is not null then 'low' end as tier,
+         '{Q.HALF_TIME.replace(" ", "T")}.000000Z' as "timestamp"
+  from requests q left join risks k on k.session_id = q.session_id"""
+
 ORACLES["iforest_trees"] = f"""
   select cast(tree as int) as tree, cast(least(n, {S.MAX_SAMPLES}) as int) as drawn,
          least(n, {S.MAX_SAMPLES}) as in_leaves, 1::bigint as leaves_over_splits
@@ -511,6 +527,15 @@ ORACLES["model_monitor"] = f"""with scored as (
 ORACLES["metrics_by_window"] = f"""with {SCORED}
   select epoch_us(time_bucket(interval 5 minutes, event_time)) as window_start, {METRICS}
   from scored group by window_start"""
+ORACLES["auc_by_window"] = f"""with {SCORED}, days as (
+    select epoch_us(date_trunc('day', event_time)) as "group", label, rank() over w as place,
+           count(*) over (partition by date_trunc('day', event_time), risk_score) as ties
+    from scored window w as (partition by date_trunc('day', event_time) order by risk_score))
+  select "group", count(*) filter (label = 1) as positives, count(*) filter (label = 0) as negatives,
+         {r("""(sum(place + (ties - 1) / 2.0) filter (label = 1)
+              - count(*) filter (label = 1) * (count(*) filter (label = 1) + 1) / 2.0)
+            / (count(*) filter (label = 1) * count(*) filter (label = 0))""", "auc")}
+  from days group by "group\""""
 ORACLES["risk_drift"] = f"""with {SCORED}, {DRIFT}
   select bin, {r("b", "baseline_share")}, {r("c", "current_share")},
          {r("(c - b) * ln(c / b)", "term")} from sides"""

@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystride import schema as S
+from keystride.operators.slicing import per_group, running_total
+from keystride.session import materialise
 
 DRIFT_BINS = 10
 DRIFT_FLOOR = 1e-6
@@ -48,6 +50,27 @@ def metrics_by_window(
     )
 
 
+def area_by_group(
+    scored: DataFrame, group: Column, score: str = "risk_score", label: str = "label", max_rows: int | None = None
+) -> DataFrame:
+    """group, positives, negatives and the exact area under ROC of each group, ties counting half.
+
+    Rows are first counted by (group, score) on both sides of the shuffle. Each positive then needs the negatives
+    below it: a running total, which cuts a group that holds most rows into ranges of scores and carries their
+    totals on. Rows without score or label take no part; a group of one class has no area.
+    """
+    rows = scored.where(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score))
+    cells = rows.groupBy(group.alias("group"), F.col(score).alias("t")).agg(
+        F.count_if(F.col(label) == 1).alias("up"), F.count_if(F.col(label) == 0).alias("down"), F.lit(0).alias("pos")
+    )
+    cells = materialise(cells, "areas")
+    placed = per_group(cells, lambda part: running_total(part, "below", F.col("down"), ["group"]), "group", max_rows)
+    return placed.groupBy("group").agg(
+        F.sum("up").alias("positives"), F.sum("down").alias("negatives"),
+        F.sum(F.col("up") * (F.col("below") + F.col("down") / 2)).alias("wins"),
+    ).select("group", "positives", "negatives", F.try_divide("wins", F.col("positives") * F.col("negatives")).alias("auc"))
+
+
 def append_metrics(record: DataFrame, root: str, version: str, written_at: str) -> None:
     """A metrics row as JSON under a key named by its time."""
     record.withColumn("timestamp", F.lit(written_at)).coalesce(1).write.mode("append").json(

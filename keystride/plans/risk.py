@@ -14,6 +14,11 @@ from keystride.plans.vectors import population_scale, population_stats
 from keystride.session import materialise
 from keystride.sources.payloads import named_requests
 
+# ---- fixed values: what a request without an answer is told --------------------------------
+NO_ID = "Missing session_id"
+NO_DATA = "No data found for this session"
+REFUSED, UNKNOWN, SCORED = "refused", "no_data", "scored"
+
 
 def model_rows(features: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Session features with their principal components, and labels where known."""
@@ -47,3 +52,23 @@ def assess(requests: DataFrame, risks: DataFrame, at: Column) -> DataFrame:
     return named_requests(requests).join(risks, "session_id").withColumn(
         "timestamp", iso_timestamp(at)
     )
+
+
+def answers(requests: DataFrame, risks: DataFrame, at: Column) -> DataFrame:
+    """One row for each request, batch or stream: its outcome, and the risk record or the reason why there is none.
+
+    Requests without an id, or with an empty one, are refused and take no part in the join, so they
+    do not meet in one task. `risks` holds one row for each session that can be answered.
+    """
+    known = [c for c in risks.columns if c != "session_id"]
+    absent = [F.lit(None).cast(risks.schema[c].dataType).alias(c) for c in known]
+    named = F.col("session_id").isNotNull() & (F.col("session_id") != "")
+    refused = requests.filter(~F.coalesce(named, F.lit(False))).select(
+        *requests.columns, F.lit(REFUSED).alias("outcome"), F.lit(NO_ID).alias("reason"), *absent
+    )
+    found = named_requests(requests).join(risks.withColumn("found", F.lit(True)), "session_id", "left")
+    judged = found.select(
+        *requests.columns, F.when(F.col("found"), SCORED).otherwise(UNKNOWN).alias("outcome"),
+        F.when(F.col("found"), F.lit(None)).otherwise(NO_DATA).alias("reason"), *known,
+    )
+    return refused.unionByName(judged).withColumn("timestamp", iso_timestamp(at))

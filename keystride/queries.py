@@ -177,6 +177,12 @@ def session_sql_features(spark, sf_dir):
     return _joined_sets(_activity(spark, sf_dir))
 
 
+@query
+def sql_view_features(spark, sf_dir):
+    """The activity features by a SQL statement over the interaction rows."""
+    return _joined_sets(feature_build.sql_features(interactions(timed_rows(sample.events(spark, sf_dir)))))
+
+
 @query
 def hourly_features(spark, sf_dir):
     raw = interactions(timed_rows(sample.events(spark, sf_dir)))
@@ -459,6 +465,23 @@ def risk_assessment(spark, sf_dir):
     return risk.assess(sample.requests(spark, sf_dir), _risks(spark, sf_dir), at)
 
 
+@query
+def request_outcomes(spark, sf_dir):
+    """Each request of a stream, answered from stored risks: refused, without data, or scored."""
+    rows = materialise(_session_features(spark, sf_dir), "sessions")
+    fitted = detector.SessionDetector(names=S.SESSION_FEATURES).fit(rows)
+    known = sample.events(spark, sf_dir).select("session_id").distinct()
+    risks = materialise(fitted.predict(rows).join(known, "session_id", "left_semi").select(
+        "session_id", "risk_score", "confidence", scalars.risk_tier(F.col("risk_score")).alias("tier")
+    ), "risks")
+    asked, out = new_path(spark, "requests"), new_path(spark, "answers")
+    sample.requests(spark, sf_dir).write.parquet(asked)
+    stream = spark.readStream.schema("request_id long, session_id string").parquet(asked)
+    found = risk.answers(stream, risks, F.lit(HALF_TIME).cast("timestamp"))
+    ingest.start(found.writeStream.format("parquet").option("path", out), new_path(spark, "stream")).awaitTermination()
+    return spark.read.parquet(out)
+
+
 # ---- scores -------------------------------------------------------------------------------
 
 @query
@@ -528,6 +551,13 @@ def metrics_by_window(spark, sf_dir):
     return rows.withColumn("window_start", F.unix_micros("window_start"))
 
 
+@query
+def auc_by_window(spark, sf_dir):
+    """Exact area under ROC of every day."""
+    day = F.unix_micros(F.window("event_time", "1 day")["start"])
+    return monitoring.area_by_group(sample.scored(spark, sf_dir), day)
+
+
 def _halves(spark, sf_dir):
     rows = sample.scored(spark, sf_dir)
     early = F.col("event_time") < F.lit(HALF_TIME).cast("timestamp")

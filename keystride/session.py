@@ -53,6 +53,16 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/keystride/{label}-{uuid.uuid4().hex}"
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the table that `materialise` wrote for `df`, which nothing may read any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/keystride/" not in folder:
+            raise ValueError(f"{folder} is no intermediate table")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from keystride.plans import registry
-from keystride.session import materialise
+from keystride.session import discard, materialise
 from keystride.streaming.ingest import start
 
 
@@ -45,21 +45,23 @@ def features_of_closed(
     The stream only decides *which* sessions are complete. Their events come from the stored
     event table, read for the days in question, and go through the batch operators - with
     their handling of oversized sessions - instead of growing a state per session. The table
-    is filled by `store_events` from the same intake; a session closes only after the gap
-    and the watermark delay, which is the time that query has to catch up. Every micro-batch
-    owns one folder and overwrites it, so a replayed batch changes nothing.
+    is filled by `store_events` from the same intake. Sessions whose events are not all there yet wait in a
+    table below `path` and are looked at again with the next batch, so a lagging intake delays features and
+    fails nothing. Every micro-batch owns its folders and overwrites them, so a replayed batch changes nothing;
+    what it wrote for itself is deleted at its end.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
+        spark, columns = batch.sparkSession, ["session_id", "session_start", "last_event", "events"]
+        fresh = batch.select(*columns)
+        before = _waiting(spark, path, batch_id)
         # Written once: every further read of a stateful batch would run its state again.
-        ended = materialise(
-            batch.select("session_id", "session_start", "last_event", "events"), "closed"
-        )
+        ended = materialise(fresh if before is None else fresh.unionByName(before), "closed")
         days = ended.agg(
             F.to_date(F.min("session_start")), F.to_date(F.max("last_event"))
         ).first()
         if days[0] is None:
-            return
+            return discard(ended)
         events = stored().filter(F.col("event_date").between(days[0], days[1]))
         named = F.concat_ws("@", F.col("e.session_id"), F.unix_micros("s.session_start"))
         members = (
@@ -69,36 +71,43 @@ def features_of_closed(
                 (F.col("e.session_id") == F.col("s.session_id"))
                 & F.col("e.event_time").between(F.col("s.session_start"), F.col("s.last_event")),
             )
-            .select("e.*", "s.events", named.alias("window_id"))
+            .select("e.*", named.alias("window_id"))
             .withColumn("session_id", F.col("window_id"))
             .drop("window_id")
         )
         # Written as well: the count below and the features must see the same table.
         members = materialise(members, "closed-events")
         held = members.groupBy("session_id").agg(F.count(F.lit(1)).alias("held"))
-        expected = ended.select(
-            F.concat_ws("@", "session_id", F.unix_micros("session_start")).alias("session_id"),
-            "events",
-        )
-        short = expected.join(held, "session_id", "left").filter(
-            F.coalesce("held", F.lit(0)) < F.col("events")
-        )
-        # The batch fails and is replayed, rather than write features of half a session. Late
-        # events that the watermark left out of the count may be in the table, and then count.
-        if not short.isEmpty():
-            raise RuntimeError(f"the event table lacks events of {short.count()} closed sessions")
-        members = members.drop("events")
+        name = F.concat_ws("@", "session_id", F.unix_micros("session_start"))
+        # Late events that the watermark left out of the count may be in the table, and then count.
+        judged = ended.withColumn("name", name).join(held.withColumnRenamed("session_id", "name"), "name", "left")
+        judged = materialise(judged.withColumn("whole", F.coalesce("held", F.lit(0)) >= F.col("events")), "judged")
+        judged.where(~F.col("whole")).select(*columns).write.mode("overwrite").parquet(f"{path}/_waiting/{batch_id}")
+        whole = judged.where("whole").select(F.col("name").alias("session_id"))
         started = F.regexp_extract("session_id", "@(\\d+)$", 1).cast("long")
         (
-            features(members)
+            features(members.join(whole, "session_id", "left_semi"))
             .withColumn("session_start", F.timestamp_micros(started))
             .withColumn("session_id", F.regexp_replace("session_id", "@\\d+$", ""))
             .write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         )
+        for table in (ended, members, judged):
+            discard(table)
 
     return start(closed.writeStream.foreachBatch(process), checkpoint, continuous)
 
 
+def _waiting(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """Sessions left waiting by the last batch before this one; a batch without rows leaves no table."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_waiting")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return None
+    known = [int(f.getPath().getName()) for f in files.listStatus(folder)]
+    last = max((n for n in known if n < batch_id), default=None)
+    return None if last is None else spark.read.parquet(f"{path}/_waiting/{last}")
+
+
 def score_stream(
     rows: DataFrame,
     score: Callable[[DataFrame], DataFrame],
