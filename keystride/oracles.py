@@ -258,6 +258,7 @@ ORACLES["hourly_features"] = f"""with {RAW},
     from raw group by all)
   select {_rounded(ACTIVITY_DOUBLES, "session_id, hour")}, {", ".join(ACTIVITY_OTHERS)}
   from activity"""
+ORACLES["hourly_refresh"] = ORACLES["hourly_features"]
 ORACLES["session_span"] = f"""
   select cast(user_id as varchar) as session_id,
          strftime(min(ts), '%Y-%m-%dT%H:%M:%S.%f') as started,
@@ -311,7 +312,10 @@ CHECKED = """
     from parsed
   )"""
 ORACLES["payload_validation"] = f"{CHECKED} select event_id, is_valid from checked"
-ORACLES["stream_rejected"] = f"{CHECKED} select raw from checked where not is_valid"
+ORACLES["stream_rejected"] = f"""{CHECKED}
+  select raw, case when raw like '{{%' then 'Missing required fields' else 'Not a JSON object' end as reason from checked where not is_valid"""
+ORACLES["assigned_positions"] = f"""with {EV}
+  select session_id, count(*) as events, count(*) as positions, sum(case when lane = 'key' then 1 else 0 end)::bigint as keys from ev group by session_id"""
 _PLAIN = f"""with {EV}
   select session_id, pos, lane, kind, key_code, x, y, button, {r("t", "t")} from ev"""
 for _name in ("explode_events", "read_session_log", "read_session_doc", "dedup_events",

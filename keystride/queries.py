@@ -13,7 +13,7 @@ from keystride.functions import scalars
 from keystride.operators.sessions import gap_sessions
 from keystride.operators.timings import interactions, timed_rows
 from keystride.plans import (
-    detector, feature_build, iforest, monitoring, registry, retraining, risk, scoring, training, vectors,
+    detector, feature_build, iforest, monitoring, refresh, registry, retraining, risk, scoring, training, vectors,
 )
 from keystride.plans import session_features as features
 from keystride.session import materialise, new_path
@@ -191,6 +191,19 @@ def hourly_features(spark, sf_dir):
     return _joined_sets(activity).withColumn("hour", F.unix_micros("hour"))
 
 
+@query
+def hourly_refresh(spark, sf_dir):
+    """Hourly features after a full build without two days' late events, and a refresh of those days with them."""
+    events = sample.events(spark, sf_dir).withColumn(refresh.DAY, F.to_date("event_time"))
+    late = (F.col("pos") % 5 == 2) & F.dayofmonth("event_time").isin(10, 11)
+    path, root = new_path(spark, "events"), new_path(spark, "state")
+    events.where(~late).write.partitionBy(refresh.DAY).parquet(path)
+    refresh.refresh(spark, path, root, refresh.touched_days(events.where(~late)))
+    events.where(late).write.mode("append").partitionBy(refresh.DAY).parquet(path)
+    refresh.refresh(spark, path, root, refresh.touched_days(events.where(late)))
+    return _joined_sets(refresh.features_from_state(spark, root)).withColumn("hour", F.unix_micros("hour"))
+
+
 @query
 def session_span(spark, sf_dir):
     rows = sample.events(spark, sf_dir).groupBy("session_id").agg(
@@ -262,6 +275,18 @@ def explode_events(spark, sf_dir):
     return _plain_events(payloads.explode_events(_documents(spark, sf_dir)))
 
 
+@query
+def assigned_positions(spark, sf_dir):
+    """Events of payloads as clients send them, without positions: each gets one of its own."""
+    def bare(column):
+        return F.transform(column, lambda e: e.withField("pos", F.lit(None).cast("long")))
+
+    docs = _documents(spark, sf_dir).withColumns({c: bare(c) for c in ("keystroke_data", "mouse_data")})
+    return payloads.explode_events(docs).groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct("pos").alias("positions"), F.count_if(F.col("lane") == "key").alias("keys")
+    )
+
+
 @query
 def read_session_log(spark, sf_dir):
     path = new_path(spark, "log")

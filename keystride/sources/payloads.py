@@ -15,9 +15,14 @@ RECORD_SEPARATOR = "\x1e"
 MOST_SECONDS = 253_402_300_799
 # Elements without a position get one from the payload time and their index.
 POSITIONS_PER_MILLI = 1_000_000
+PAYLOADS_PER_MILLI = 10_000
 # The client flushes on this clock, and at 50 events: its documents hold no more.
 FLUSH_SECONDS = 5
 BLOCK = 50
+# Why a request body is refused.
+NO_FIELDS = "Missing required fields"
+NO_OBJECT = "Not a JSON object"
+LOSSY = "A field or time cannot be read"
 # Fields that make two events the same event.
 IDENTITY = ["session_id", "lane", "kind", "key_code", "x", "y", "button", "t"]
 
@@ -83,8 +88,8 @@ def validate(texts: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def accept(texts: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
-    """Parsed payloads, and the texts to quarantine: those that are no payload, and those of
-    which a field or a time would be lost in parsing."""
+    """Parsed payloads, and the texts to quarantine, with the reason: those that are no payload, and
+    those of which a field or a time would be lost in parsing."""
     checked = validate(texts, raw).withColumn("payload", F.from_json(
         F.col(raw), f"{S.PAYLOAD}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT}
     ))
@@ -95,14 +100,20 @@ def accept(texts: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
     whole = F.col("is_valid") & F.col(f"payload.{CORRUPT}").isNull() & ~late[0] & ~late[1]
     checked = checked.withColumn("is_whole", F.coalesce(whole, F.lit(False)))
     parsed = checked.filter("is_whole").select("payload.*").drop(CORRUPT)
-    return parsed, checked.filter(~F.col("is_whole")).drop("is_valid", "is_whole", "payload")
+    reason = F.when(F.col("is_valid"), LOSSY).when(F.json_object_keys(F.col(raw)).isNull(), NO_OBJECT).otherwise(NO_FIELDS)
+    refused = checked.filter(~F.col("is_whole")).withColumn("reason", reason)
+    return parsed, refused.drop("is_valid", "is_whole", "payload")
 
 
 def explode_events(payloads: DataFrame) -> DataFrame:
     """Key and mouse elements of all payloads as event rows, in one pass over the payloads."""
-    # A payload whose time does not parse sorts before the others.
-    sent = F.coalesce(F.unix_millis(F.col("timestamp").try_cast("timestamp")), F.lit(0))
-    first = sent * POSITIONS_PER_MILLI
+    # A payload whose time does not parse counts as sent with its first event.
+    earliest = [F.array_min(F.transform(c, lambda e: e["timestamp"])) for c in ("keystroke_data", "mouse_data")]
+    begun = F.try_multiply(F.least(*earliest), F.lit(1000.0)).try_cast("long")
+    sent = F.coalesce(F.unix_millis(F.col("timestamp").try_cast("timestamp")), begun, F.lit(0))
+    # Payloads of one millisecond are told apart by what they hold, with nothing the client would have to send.
+    told = F.pmod(F.xxhash64("session_id", "timestamp", "keystroke_data", "mouse_data"), F.lit(PAYLOADS_PER_MILLI))
+    first = F.coalesce(F.try_add(F.try_multiply(sent, F.lit(POSITIONS_PER_MILLI)), told * (POSITIONS_PER_MILLI // PAYLOADS_PER_MILLI)), F.lit(0))
     # Mouse elements count on after the key elements of their payload.
     keys_before = F.greatest(F.coalesce(F.size("keystroke_data"), F.lit(0)), F.lit(0))
 

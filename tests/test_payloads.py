@@ -6,6 +6,7 @@ import pytest
 from events import click, key, move, table
 from pyspark.sql import functions as F
 
+from keystride import schema as S
 from keystride.operators.timings import timed_rows
 from keystride.plans.session_features import session_features
 from keystride.session import new_path
@@ -56,7 +57,7 @@ def test_presence_is_what_validation_asks_for(spark):
     assert {r["raw"]: r["is_valid"] for r in payloads.validate(rows).collect()} == texts
     accepted, rejected = payloads.accept(rows)
     assert accepted.count() == 2 and rejected.count() == 5
-    assert rejected.columns == ["raw"]
+    assert rejected.columns == ["raw", "reason"]
 
 
 def test_button_number_or_text(spark, log):
@@ -166,3 +167,25 @@ def test_a_resend_under_another_device_is_still_a_copy(spark, log):
     events = payloads.explode_events(payloads.read_log(spark, log(turned, one)))
     kept = payloads.deduplicate(events).collect()
     assert [r["screen_resolution"] for r in kept] == ["1920x1080"]
+
+
+def test_positions_of_payloads_without_readable_times(spark):
+    rows = [
+        ("a", "not a time", 1.0, [("keydown", 65, 5.0, None)], [], None), ("a", None, 1.0, [("keyup", 65, 5.0, None)], [], None),
+        ("a", "2024-01-01T00:00:00Z", 1.0, [("keydown", 66, 7.0, None), ("keyup", 66, 7.0, None)], [], None),
+        ("a", "2024-01-01T00:00:00Z", 1.0, [("keydown", 67, 7.0, None)], [("click", 1.0, 1.0, "0", 7.0, None)], None),
+        ("a", "9999-12-31T00:00:00Z", 1.0, [("keydown", 68, 9.0, None)], None, None),
+    ]
+    events = payloads.explode_events(spark.createDataFrame(rows, S.PAYLOAD)).collect()
+    assert len(events) == len({e["pos"] for e in events}) == 7
+    by_code = {(e["key_code"], e["kind"]): e["pos"] for e in events}
+    assert by_code[66, "keydown"] + 1 == by_code[66, "keyup"]
+
+
+def test_refused_bodies_say_why(spark):
+    texts = ["not json", "[1]", '{"session_id": "a"}', '{"session_id": "a", "timestamp": "x", "session_duration": "long"}', '{"session_id": null, "timestamp": "x"}']
+    parsed, refused = payloads.accept(spark.createDataFrame([(t,) for t in texts], "raw string"))
+    assert parsed.count() == 1
+    assert {r["raw"]: r["reason"] for r in refused.collect()} == dict(zip(
+        texts, [payloads.NO_OBJECT, payloads.NO_OBJECT, payloads.NO_FIELDS, payloads.LOSSY]
+    ))
