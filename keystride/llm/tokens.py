@@ -9,6 +9,7 @@ Texts with two spaces in a row are encoded as one piece.
 
 import sys
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +31,44 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.space_opens, self.lower, self.kept = space_opens, lower, kept
         self.pieces: dict[str, bytes] = {}
+        self.mark = self._mark() if space_opens else None
+
+    def _mark(self) -> int | None:
+        """The id of \x00, if no other token has that byte: what stands around it is then encoded by itself."""
+        ids, tokens = self.tokenizer.encode("\x00", add_special_tokens=False), self.tokenizer.get_vocab()
+        if len(ids.ids) != 1 or sum(ids.tokens[0] in token for token in tokens) != 1:
+            return None
+        return ids.ids[0]
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         out = []
         for i in range(0, len(pieces), 20_000):
-            found = self.tokenizer.encode_batch_fast(pieces[i:i + 20_000], add_special_tokens=False)
-            out += [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+            some = pieces[i:i + 20_000]
+            if self.mark is None:
+                out += self._each(some)
+                continue
+            # Words in a row, with a mark after each, are one call; what the mark could change goes alone: spaces
+            # before it, and signs without a space after it.
+            words = [(p[:1] == " " or p[:1].isalnum()) and not p[-1:].isspace() and "\x00" not in p for p in some]
+            alone = iter(self._each([p for p, w in zip(some, words) if not w]))
+            row = iter(self._in_a_row([p for p, w in zip(some, words) if w]))
+            out += [next(row) if w else next(alone) for w in words]
         return out
 
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _in_a_row(self, pieces: list[str]) -> list[bytes]:
+        if not pieces:
+            return []
+        (found,) = self.tokenizer.encode_batch_fast(["\x00".join(pieces) + "\x00"], add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        ends = np.flatnonzero(ids == self.mark)
+        if len(ends) != len(pieces):
+            raise RuntimeError("a mark was lost")
+        data, starts = ids.tobytes(), np.concatenate([[0], ends[:-1] + 1])
+        return [data[4 * s:4 * e] for s, e in zip(starts.tolist(), ends.tolist())]
+
     def _known(self, pieces: list[str]) -> list[bytes]:
         found = list(map(self.pieces.get, pieces))
         if None in found:
@@ -79,7 +110,7 @@ class PieceEncoder:
         flat = plain.flatten().dictionary_encode()
         table = self._known(flat.dictionary.to_pylist())
         table += self._known([t for t, o in zip(texts, odd) if o])
-        codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = flat.indices.to_numpy(zero_copy_only=False)
         counts = pc.list_value_length(plain).fill_null(1).to_numpy(zero_copy_only=False).astype(np.int64)
         if any(odd):
             at = np.cumsum(counts) - counts
@@ -90,7 +121,10 @@ class PieceEncoder:
         starts = np.cumsum(lengths) - lengths
         n = lengths[codes]
         ends = np.cumsum(n)
-        take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[codes] - (ends - n), n)
+        total = int(ends[-1]) if len(ends) else 0
+        kind = np.int32 if max(total, len(ids)) < 2**31 else np.int64
+        take = np.repeat((starts[codes] - (ends - n)).astype(kind), n)
+        take += np.arange(total, dtype=kind)
         last = np.cumsum(counts)
         return ids[take], np.concatenate([[0], ends])[last]
 
