@@ -11,7 +11,8 @@ MOST_ROUNDS = 60
 def components(edges: DataFrame, kind: str = "long") -> DataFrame:
     """(node, root) for every node of `edges` (a, b); root is the least node that it reaches.
 
-    Every round writes its edges to the shared folder. A node's neighbours are only aggregated to
+    Every round writes its edges to the shared folder, and joins by a shuffle also where a broadcast would fit: many
+    rounds of broadcasts fill the driver. A node's neighbours are only aggregated to
     their least, so no group of neighbours meets in one task.
     """
     edges = materialise(
@@ -22,10 +23,10 @@ def components(edges: DataFrame, kind: str = "long") -> DataFrame:
         # Large star: every larger neighbour of a node goes to the least of node and neighbours.
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # Small star: smaller neighbours and the node itself go to the least of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(least, "a").select(F.col("b").alias("from"), "m").where("from <> m")
+        moved = large.join(least.hint("merge"), "a").select(F.col("b").alias("from"), "m").where("from <> m")
         small = moved.select(F.col("m").alias("a"), F.col("from").alias("b")).union(least.select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
         new = materialise(small, "edges")
         if new.count() == edges.count() and new.exceptAll(edges).isEmpty():
@@ -34,6 +35,6 @@ def components(edges: DataFrame, kind: str = "long") -> DataFrame:
     else:
         raise RuntimeError(f"no end after {MOST_ROUNDS} rounds")
     return materialise(
-        nodes.join(edges.select(F.col("b").alias("node"), F.col("a").alias("root")), "node", "left")
+        nodes.join(edges.select(F.col("b").alias("node"), F.col("a").alias("root")).hint("merge"), "node", "left")
         .select("node", F.coalesce("root", "node").alias("root")), "components",
     )
