@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -139,11 +140,11 @@ def model(counts: DataFrame) -> dict[str, DataFrame]:
 
 def dense(parts: dict[str, DataFrame], langs: list[str]) -> dict[str, np.ndarray]:
     """For each language the log-probability of every trigram: 2^21 numbers."""
-    rows = {name: df.where(F.col("lang").isin(langs)).toPandas() for name, df in parts.items()}
+    rows = {name: df.where(F.col("lang").isin(langs)).toArrow() for name, df in parts.items()}
     out = {}
     for lang in langs:
-        of = {name: table[table["lang"] == lang] for name, table in rows.items()}
-        rest1 = of["rest1"]["rest"].iloc[0] if len(of["rest1"]) else 1.0
+        of = {name: _columns(table.filter(pc.equal(table["lang"], lang))) for name, table in rows.items()}
+        rest1 = of["rest1"]["rest"][0] if len(of["rest1"]["rest"]) else 1.0
         p1 = np.full(SYMBOLS, rest1 / SYMBOLS)
         p1[of["p1"]["w"]] = of["p1"]["p"]
         rest2 = np.ones(SYMBOLS)
@@ -154,10 +155,14 @@ def dense(parts: dict[str, DataFrame], langs: list[str]) -> dict[str, np.ndarray
         rest3[of["rest3"]["ctx"]] = of["rest3"]["rest"]
         p3 = rest3.reshape(SYMBOLS, SYMBOLS, 1) * p2
         p3.reshape(-1)[of["p3"]["g"]] = of["p3"]["p"]
-        out[lang] = np.log(p3).astype(np.float32).reshape(-1)
+        out[lang] = np.log(p3, out=p3).astype(np.float32).reshape(-1)
     return out
 
 
+def _columns(table: pa.Table) -> dict[str, np.ndarray]:
+    return {name: table[name].to_numpy() for name in table.column_names if name != "lang"}
+
+
 def scored(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """row, doc_id, lang, model (the one that it met), trusted, n_symbols, perplexity, written once. `trusted` has the doc_ids (id) of the trusted texts."""
     spark, docs = docs.sparkSession, stored(docs)
@@ -216,6 +221,7 @@ def scored(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: st
 
         part = materialise(rows.where(F.col("model").isin(shard)).mapInArrow(releasing(batches), schema), "scored")
         table.destroy()
+        pa.default_memory_pool().release_unused()
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = rows.select("row", "doc_id", "lang", "model", "trusted", F.lit(0).cast("long").alias("n_symbols"),
