@@ -1,5 +1,6 @@
 """Helpers shared by the operators of this package."""
 
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -81,7 +82,7 @@ Batches = Iterator[pa.RecordBatch]
 
 
 def releasing(kernel: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
-    """`kernel` of mapInArrow, giving Arrow's free memory back at its end: workers outlive their tasks."""
+    """`kernel` of mapInArrow, giving free memory back at its end: workers outlive their tasks."""
 
     @wraps(kernel)
     def run(found: Batches) -> Batches:
@@ -89,6 +90,8 @@ def releasing(kernel: Callable[[Batches], Batches]) -> Callable[[Batches], Batch
             yield from kernel(found)
         finally:
             pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
 
     return run
 

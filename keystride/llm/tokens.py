@@ -16,8 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: About 100 MB of a worker's memory.
-KEPT_PIECES = 400_000
+#: About 50 MB of a worker's memory.
+KEPT_PIECES = 200_000
 END = 1
 ENDS = {" ": " ", "\x00": r"\x00"}  # a separator as a pattern
 
@@ -141,7 +141,7 @@ def worker_encoder(path: str, space_opens: bool, lower: bool) -> PieceEncoder:
     return kept[key]
 
 
-def slices(lengths: list[int], most: int = 4 << 20) -> list[tuple[int, int]]:
+def slices(lengths: list[int], most: int = 2 << 20) -> list[tuple[int, int]]:
     """Runs of texts of at most `most` characters, or single texts."""
     out, first, held = [], 0, 0
     for i, n in enumerate(lengths):
