@@ -443,8 +443,8 @@ def _model_rows(spark, sf_dir):
 
 @query
 def train_model(spark, sf_dir):
-    rows = _model_rows(spark, sf_dir)
-    run = training.train(rows, VERSION, validation=rows, root=new_path(spark, "training"))
+    rows, unseen = _model_rows(spark, sf_dir), retraining.held_out("session_id")
+    run = training.train(rows.where(~unseen), VERSION, validation=rows.where(unseen), root=new_path(spark, "training"))
     return run.record.drop("model_path")
 
 
