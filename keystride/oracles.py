@@ -354,6 +354,59 @@ ORACLES["scaled_features"] = f"""with {ACTIVE}
   select session_id, feature, {r(
       "coalesce((value - avg(value) over w) / nullif(stddev_samp(value) over w, 0), 0)", "value")}
   from long window w as (partition by feature)"""
+#: The eigenvectors of the features' covariance by cyclic rotations: `a` goes to the diagonal, `v` collects the
+#: rotations (8 x 8, row by row, 28 pairs a sweep).
+ORACLES["pca_features"] = f"""with recursive {ACTIVE},
+names as (select unnest({_list(S.ACTIVITY_VECTOR)}) as feature, unnest(range(8)) as i),
+scaled as (
+  select session_id, i, coalesce((value - avg(value) over w) / nullif(stddev_samp(value) over w, 0), 0) as z
+  from long join names using (feature) window w as (partition by i)
+),
+covariance as (
+  select x.i, y.i as j, covar_samp(x.z, y.z) as c from scaled x join scaled y using (session_id) group by x.i, y.i
+),
+pairs as (
+  select list(p order by p, q) as ps, list(q order by p, q) as qs
+  from (select unnest(range(8)) as p) cross join (select unnest(range(8)) as q) where p < q
+),
+rotated(step, a, v) as (
+  select 0, list(c order by i, j), [case when x // 8 = x % 8 then 1.0::double else 0 end for x in range(64)] from covariance
+  union all
+  select step + 1,
+    [case when x // 8 = p then cs * b[p * 8 + x % 8 + 1] - sn * b[q * 8 + x % 8 + 1]
+          when x // 8 = q then sn * b[p * 8 + x % 8 + 1] + cs * b[q * 8 + x % 8 + 1] else b[x + 1] end for x in range(64)],
+    [case when x % 8 = p then cs * v[x // 8 * 8 + p + 1] - sn * v[x // 8 * 8 + q + 1]
+          when x % 8 = q then sn * v[x // 8 * 8 + p + 1] + cs * v[x // 8 * 8 + q + 1] else v[x + 1] end for x in range(64)]
+  from (
+    select *, [case when x % 8 = p then cs * a[x // 8 * 8 + p + 1] - sn * a[x // 8 * 8 + q + 1]
+                    when x % 8 = q then sn * a[x // 8 * 8 + p + 1] + cs * a[x // 8 * 8 + q + 1] else a[x + 1] end for x in range(64)] as b
+    from (
+      select *, 1 / sqrt(t * t + 1) as cs, t / sqrt(t * t + 1) as sn
+      from (
+        select *, case when a[p * 8 + q + 1] = 0 then 0
+            else (case when turn >= 0 then 1 else -1 end) / (abs(turn) + sqrt(turn * turn + 1)) end as t
+        from (
+          select *, coalesce((a[q * 9 + 1] - a[p * 9 + 1]) / nullif(2 * a[p * 8 + q + 1], 0), 0) as turn
+          from (select step, a, v, ps[step % 28 + 1] as p, qs[step % 28 + 1] as q from rotated, pairs where step < 28 * 15)
+        )
+      )
+    )
+  )
+),
+loadings as (
+  select i, component, a[component * 9 + 1] as size, v[i * 8 + component + 1] as loading
+  from rotated, (select unnest(range(8)) as i), (select unnest(range(8)) as component) where step = 28 * 15
+),
+largest as (
+  select component, size, arg_min(loading, i) as first
+  from (select *, max(abs(loading)) over (partition by component) as most from loadings)
+  where abs(loading) >= most - 1e-6 group by all
+),
+places as (
+  select component, case when first < 0 then -1 else 1 end as sign, row_number() over (order by size desc) as place from largest
+)
+  select session_id, 'pc' || place as feature, {r("sum(z * loading * sign)", "value")}
+  from scaled join loadings using (i) join places using (component) where place <= 5 group by session_id, place"""
 ORACLES["feature_stages"] = f"""with {ACTIVE}
   select session_id, {", ".join(
       r(f"coalesce({n}, 0)", n) if n in ACTIVITY_DOUBLES else n for n in S.ACTIVITY_VECTOR)},

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 
 from keystride import schema as S
 from keystride.plans.session_features import activity_features
-from keystride.plans.vectors import feature_pipeline
+from keystride.plans.vectors import fit_features
 from keystride.session import materialise
 from keystride.sources.feature_store import write_version
 
@@ -28,8 +28,8 @@ def vectorise(activity: DataFrame, names: list[str] | None = None) -> FeatureBui
     """
     names = names or S.ACTIVITY_VECTOR
     table = materialise(activity.fillna(0.0, names), "activity")
-    model = feature_pipeline(names).fit(table)
-    return FeatureBuild(model, model.transform(table))
+    model = fit_features(table, names)
+    return FeatureBuild(model, model.transform(table).drop("signless_features"))
 
 
 def register_raw(raw: DataFrame) -> str:

@@ -1,8 +1,10 @@
 """Feature vectors (M1-M5): assembly, the two scalings, and principal components."""
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+import numpy as np
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import PCA, ElementwiseProduct, PCAModel, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +29,31 @@ def feature_pipeline(names: list[str] | None = None, k: int = S.PCA_COMPONENTS)
     return Pipeline(stages=[
         assembler(names or S.ACTIVITY_VECTOR),
         standard_scaler(),
-        PCA(k=k, inputCol="scaled_features", outputCol="pca_features"),
+        PCA(k=k, inputCol="scaled_features", outputCol="signless_features"),
     ])
 
 
+def component_signs(reduction: PCAModel) -> ElementwiseProduct:
+    """The stage that turns each component so that its loading of largest size is positive.
+
+    An eigenvector is known up to its sign, which may differ from one fit to the next. Of loadings of
+    one size (to six digits) the first feature's counts.
+    """
+    loadings = reduction.pc.toArray()
+    size = np.abs(loadings)
+    leading = np.argmax(size >= size.max(axis=0) - 1e-6, axis=0)
+    signs = np.where(loadings[leading, np.arange(loadings.shape[1])] < 0, -1.0, 1.0)
+    return ElementwiseProduct(
+        scalingVec=Vectors.dense(signs), inputCol=reduction.getOutputCol(), outputCol="pca_features"
+    )
+
+
+def fit_features(table: DataFrame, names: list[str] | None = None, k: int = S.PCA_COMPONENTS) -> PipelineModel:
+    """`feature_pipeline` fitted on `table`, with the components' signs fixed; it can be saved whole."""
+    fitted = feature_pipeline(names, k).fit(table)
+    return PipelineModel([*fitted.stages, component_signs(fitted.stages[-1])])
+
+
 def long_rows(vectors: DataFrame, column: str, names: list[str], key: str = "session_id"):
     """A vector column as (key, feature, value) rows."""
     labels = F.array(*[F.lit(n) for n in names])
