@@ -6,23 +6,26 @@ above. A target is met by whole copies of every document and one more copy of th
 hash is below a threshold of the source. The threshold is found from histograms, without sorting:
 words are summed by source and hash bucket, the bucket where the sum crosses the budget is refined
 into sub-buckets, and so on to the 30th bit. Thresholds are nested: a larger budget takes what a
-smaller one took, and more. Documents that share the last cell split what is left, each giving the
-same fraction of its words.
+smaller one took, and more. Rows that share the boundary cell, because they share a doc_id or have
+none, are told apart by a hash of the text in the same way, and repeated rows by a hash of their
+place in the table. Rows that share even the last cell split what is left, each giving the same
+fraction of its words.
 
-Null text has no words, and takes none. A null source is one source, the last. Rows with one
-doc_id share a hash and so a fate. A source without words has target 0. The table of sources is
+Null text has no words, and takes none. A null source is one source, the last. Of equal rows some
+may be taken once more than others. A source without words has target 0. The table of sources is
 assumed to fit one task; documents are only aggregated or filtered.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keystride.llm.common import WORD, fresh, quoted, small, text_or_empty
+from keystride.llm.common import WORD, fresh, quoted, row_key, small, stored, text_or_empty
 from keystride.session import materialise
 
 WEIGHTS = (5, 2, 1)
 MOST = 2
 LEVELS = (20, 10, 0)  # shifts of the nested buckets of 1,024
+CELLS = ("cell", "text_cell", "row_cell")
 
 
 def words(text: str = "text") -> Column:
@@ -35,11 +38,20 @@ def hash_cell(doc_id: str = "doc_id") -> Column:
     return F.shiftright(F.conv(F.substring(F.md5(label), 1, 8), 16, 10).cast("long"), 2)
 
 
+def cells(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> dict[str, Column]:
+    """30 bits of hashes of the id, the text, and the row's place in `docs`, which is `stored`."""
+    low = (1 << 30) - 1
+    return {
+        "cell": hash_cell(doc_id), "text_cell": F.xxhash64(text_or_empty(text)).bitwiseAND(low),
+        "row_cell": F.xxhash64(row_key(docs)).bitwiseAND(low),
+    }
+
+
 def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, source, size and cell of every row, written once."""
+    """doc_id, source, size and cells of every row of a `stored` table, written once."""
     return materialise(docs.select(
-        quoted(doc_id).alias("doc_id"), quoted(source).alias("source"),
-        words(text).alias("size"), hash_cell(doc_id).alias("cell"),
+        quoted(doc_id).alias("doc_id"), quoted(source).alias("source"), words(text).alias("size"),
+        *[c.alias(name) for name, c in cells(docs, doc_id, text).items()],
     ), "sized")
 
 
@@ -84,53 +96,83 @@ def _same_source(left: DataFrame, right: DataFrame) -> Column:
     return left["source"].eqNullSafe(right["source"])
 
 
-def thresholds(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """targets, and the cell at which the extra copy ends with the share of that cell it takes."""
-    plan = targets(rows, weights).withColumns({"prefix": F.lit(0).cast("long"), "cell_size": F.lit(0).cast("long")})
-    plan = materialise(plan, "targets")
+def _crossing(wanted: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """For each source of `wanted` (source, extra): the cell of `column` at which the words of `rows`
+    pass extra (prefix, -1 if they do not), what that cell is to give (extra), its words and rows."""
+    zero = F.lit(0).cast("long")
+    plan = materialise(wanted.select("source", "extra", zero.alias("prefix")), "wanted")
     for level, shift in enumerate(LEVELS):
         bounds = plan.select("source", "extra", F.col("prefix").alias("within"))
         part = rows if level == 0 else rows.join(
             small(bounds.select("source", "within").withColumnRenamed("source", "s")),
-            F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("cell", shift + 10) == F.col("within")),
+            F.col("source").eqNullSafe(F.col("s")) & (F.shiftright(column, shift + 10) == F.col("within")),
         )
-        cells = part.groupBy("source", F.shiftright("cell", shift).alias("bucket")).agg(F.sum("size").alias("bucket_size"))
+        found = part.groupBy("source", F.shiftright(column, shift).alias("bucket")).agg(
+            F.sum("size").alias("bucket_size"), F.count_if(F.col("size") > 0).alias("bucket_rows"))
         running = Window.partitionBy("source").orderBy("bucket")
         crossing = (
-            cells.where("bucket_size > 0")
+            found.where("bucket_size > 0")
             .withColumn("upto", F.sum("bucket_size").over(running))
             .join(small(bounds.select(F.col("source").alias("s"), "extra")), F.col("source").eqNullSafe(F.col("s")))
             .where((F.col("upto") > F.col("extra")) & (F.col("upto") - F.col("bucket_size") <= F.col("extra")))
-            .select(F.col("s").alias("at"), F.lit(True).alias("found"), "bucket", "bucket_size",
+            .select(F.col("s").alias("at"), "bucket", "bucket_size", "bucket_rows",
                     (F.col("extra") - F.col("upto") + F.col("bucket_size")).alias("rest"))
         )
         plan = materialise(
             plan.join(crossing, plan["source"].eqNullSafe(crossing["at"]), "left").select(
-                "source", "source_size", "target", "base",
-                F.coalesce("rest", F.lit(0).cast("long")).alias("extra"),
+                "source", F.coalesce("rest", zero).alias("extra"),
                 # A source without words has nothing below any threshold.
                 F.coalesce("bucket", F.lit(-1).cast("long")).alias("prefix"),
                 F.coalesce("bucket_size", F.lit(1).cast("long")).alias("cell_size"),
+                F.coalesce("bucket_rows", zero).alias("cell_rows"),
             ), "thresholds",
         )
     return plan
 
 
-def taken(size: Column) -> Column:
-    """Words that the mix takes of a document joined with its source's threshold."""
-    more = F.when(F.col("cell") < F.col("prefix"), size).when(
-        F.col("cell") == F.col("prefix"), F.floor(size * F.col("extra") / F.col("cell_size"))
-    ).otherwise(0)
-    return (F.col("base") * size + more).cast("long")
+def thresholds(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """targets, the cell of each of CELLS at which the extra copy ends (null: not looked at), and
+    the words and share of the last one."""
+    plan = materialise(targets(rows, weights), "targets")
+    at = _crossing(plan, rows, CELLS[0])
+    plan = plan.drop("extra").join(at.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    plan = plan.drop("s").withColumnRenamed("prefix", f"{CELLS[0]}_end")
+    for column, finer in zip(CELLS, CELLS[1:]):
+        # Rows that share a boundary cell, with where the others end.
+        crowded = materialise(at.where("cell_rows > 1"), "crowded")
+        if crowded.isEmpty():
+            plan = plan.withColumn(f"{finer}_end", F.lit(None).cast("long"))
+            continue
+        ends = [c.alias(n) for c, n in ((F.col("source"), "s"), (F.col("prefix"), "end"))]
+        part = rows.join(small(crowded.select(*ends)), F.col("source").eqNullSafe(F.col("s")) & (F.col(column) == F.col("end")))
+        rows = materialise(part.select(*rows.columns), "boundary")
+        at = _crossing(crowded, rows, finer)
+        deeper = at.select(*[F.col(c).alias(f"{c} deeper") for c in at.columns])
+        plan = plan.join(deeper, F.col("source").eqNullSafe(F.col("source deeper")), "left").withColumns(
+            {c: F.coalesce(f"{c} deeper", c) for c in ("extra", "cell_size", "cell_rows")}
+        ).withColumnRenamed("prefix deeper", f"{finer}_end").drop(*[c for c in deeper.columns if c != "prefix deeper"])
+    return materialise(plan, "thresholds")
+
+
+def _more(size: Column, cell: dict[str, Column], plan: dict[str, Column]) -> Column:
+    """Words of the extra copy that a row gives."""
+    out = F.floor(size * plan["extra"] / plan["cell_size"])
+    for name in reversed(CELLS):
+        end = plan[f"{name}_end"]
+        finer = F.when(cell[name] < end, size).when(cell[name] > end, 0).otherwise(out)
+        out = F.when(end.isNull(), F.floor(size * plan["extra"] / plan["cell_size"])).otherwise(finer)
+    return out.cast("long")
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
         weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
-    rows = sized(docs, doc_id, text, source)
+    rows = sized(stored(docs), doc_id, text, source)
     plan = thresholds(rows, weights)
+    more = _more(F.col("size"), {c: F.col(c) for c in CELLS}, {c: F.col(c) for c in plan.columns if c != "source"})
+    taken = (F.col("base") * F.col("size") + more).cast("long")
     return rows.join(small(plan), _same_source(rows, plan)).select(
-        "doc_id", "size", "source_size", "target", taken(F.col("size")).alias("taken")
+        "doc_id", "size", "source_size", "target", taken.alias("taken")
     )
 
 
@@ -141,13 +183,17 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     A document of which the mix takes only some words more comes once more as those first words
     with the white space before each; documents without words follow their source's whole copies.
     """
+    docs = stored(docs)
     plan = thresholds(sized(docs, doc_id, text, source), weights)
     plan = plan.select(*[F.col(c).alias(f"mix {c}") for c in plan.columns])
     size, copy = fresh(docs, "mix words"), fresh(docs, "mix copy")
-    joined = docs.withColumn(size, words(text)).join(small(plan), quoted(source).eqNullSafe(F.col("`mix source`")))
-    cell, prefix, extra, cell_size = hash_cell(doc_id), *(quoted(f"mix {c}") for c in ("prefix", "extra", "cell_size"))
-    whole = quoted("mix base") + F.when(cell < prefix, 1).otherwise(0)
-    part = F.when(cell == prefix, F.floor(quoted(size) * extra / cell_size)).otherwise(0).cast("long")
+    joined = docs.select("*", words(text).alias(size), *[c.alias(f"mix {n} of row") for n, c in cells(docs, doc_id, text).items()])
+    joined = joined.join(small(plan), quoted(source).eqNullSafe(F.col("`mix source`")))
+    of = {c.removeprefix("mix "): quoted(c) for c in plan.columns}
+    given = F.when(quoted(size) > 0, _more(quoted(size), {c: quoted(f"mix {c} of row") for c in CELLS}, of))
+    # Words given of the extra copy: all of them are a copy more.
+    whole = quoted("mix base") + F.when(given == quoted(size), 1).otherwise(0)
+    part = F.when(given < quoted(size), given).otherwise(0).cast("long")
     lengths = F.array_repeat(F.lit(None).cast("long"), whole.cast("int"))
     lengths = F.when(part > 0, F.concat(lengths, F.array(part))).otherwise(lengths)
     # Pieces of one word and the white space before it; the join of all of them is the text.
