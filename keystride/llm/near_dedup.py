@@ -11,8 +11,12 @@ and linked with nothing). Documents are linked when the sets' Jaccard similarity
    COORDINATES - MATCHES + 1 rarest of each: only these prefixes are joined, and values that one class
    alone has use up places of the prefix without being posted.
 3. Lists of up to LIST classes give pairs, whose collisions are counted on the signatures; pairs
-   above the threshold are kept. A longer list is skipped in the merge: its classes are tied to its
-   least one, without a threshold, and all of its pairs are settled in step 5.
+   above the threshold are kept. In a longer list each class is compared with the least one: those
+   that differ from it in at most NEAR coordinates leave the list, and those that differ in at most
+   COORDINATES - MATCHES + NEAR, among which all partners of those that leave must be, are tied to
+   it. What remains is split by a second shared value, the rarest within the list first, with a prefix
+   as in 2 over the values that not all of the list have; a list whose classes all have MATCHES values is
+   tied to its least class. Parts that are still long are treated alike until none is.
 4. Components of what is kept are the families that can contain links.
 5. The full sets of each family meet once: in one group if it is small, otherwise in pairs of blocks
    of bounded size, only between neighbouring size classes. Intersections are matrix products over
@@ -30,13 +34,14 @@ columns play no part.
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystride.llm.common import ROW_KEY, fresh, quoted, releasing, row_key, small, stored, text_slices
+from keystride.llm.common import BROADCAST_ROWS, ROW_KEY, fresh, quoted, releasing, row_key, small, stored, text_slices
 from keystride.llm.components import components
 from keystride.session import materialise
 
@@ -45,6 +50,7 @@ MATCHES = 36
 PERCENT = 80
 WIDTH = 2
 LIST = 64
+NEAR = 18
 FAMILY_ROWS = 128
 BLOCK_SHINGLES = 1 << 20
 #: Wider than the ratio of linked sizes (1.25), so that linked classes are neighbours.
@@ -160,22 +166,64 @@ def posted(sigs: DataFrame, matches: int = MATCHES) -> DataFrame:
     return materialise(prefixes.select(F.col("p.value").alias("value"), "node"), "postings")
 
 
+def agreeing(one: str, other: str) -> Column:
+    """In how many coordinates two signatures agree."""
+    return F.size(F.filter(F.zip_with(one, other, lambda x, y: x == y), lambda same: same))
+
+
 def candidates(sigs: DataFrame, postings: DataFrame, percent: int = PERCENT, matches: int = MATCHES, most: int = LIST) -> DataFrame:
-    """(a, b) to be confirmed: pairs above the match threshold, and ties of the long lists."""
-    lists = materialise(
-        postings.groupBy("value").agg(F.count("*").alias("members"), F.min("node").alias("least")).where("members > 1"), "lists"
-    )
-    short = postings.join(lists.where(F.col("members") <= most).select("value"), "value")
-    short = materialise(short.join(sigs.select("node", "n"), "node"), "short-lists")
-    left = short.select("value", F.col("node").alias("a"), F.col("n").alias("na"))
-    right = short.select("value", F.col("node").alias("b"), F.col("n").alias("nb"))
+    """(a, b) to be confirmed: pairs above the match threshold, and ties that lead from one class of
+    such a pair to the other."""
+    short, ties = [], []
+    # A list's key stands for the values that its classes share, in any order.
+    members = postings.select(F.xxhash64("value").alias("key"), "node")
+    while True:
+        lists = materialise(
+            members.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("least")).where("members > 1"), "lists"
+        )
+        few = members.join(lists.where(F.col("members") <= most).select("key"), "key")
+        short.append(materialise(few.join(sigs.select("node", "n"), "node").select("key", "node", "n"), "short-lists"))
+        long = lists.where(F.col("members") > most)
+        if long.isEmpty():
+            break
+        least = long.join(sigs.select(F.col("node").alias("least"), F.col("sig").alias("least_sig")), "least")
+        met = members.join(least, "key").join(sigs.select("node", "n", "sig"), "node")
+        met = materialise(met.select("key", "least", "node", "n", "sig", (COORDINATES - agreeing("sig", "least_sig")).alias("apart")), "long-lists")
+        tied = met.where((F.col("node") != F.col("least")) & (F.col("apart") <= COORDINATES - matches + NEAR))
+        ties.append(tied.select(F.col("least").alias("a"), F.col("node").alias("b")))
+        rest = met.where(F.col("apart") > NEAR).select("key", "node", "n", "sig")
+        sizes = materialise(rest.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("least")).where("members > 1"), "rests")
+        few = rest.join(sizes.where(F.col("members") <= most).select("key"), "key")
+        short.append(materialise(few.select("key", "node", "n"), "short-lists"))
+        members, alike = split(rest.join(sizes.where(F.col("members") > most), "key"), matches)
+        ties.append(alike)
+    short = reduce(DataFrame.union, short)
+    left = short.select("key", F.col("node").alias("a"), F.col("n").alias("na"))
+    right = short.select("key", F.col("node").alias("b"), F.col("n").alias("nb"))
     near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    pairs = left.join(right, "value").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
     one, other = (sigs.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
-    alike = pairs.join(one, "a").join(other, "b").where(agree >= matches).select("a", "b")
-    tied = postings.join(lists.where(F.col("members") > most), "value").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    return alike.union(tied)
+    alike = pairs.join(one, "a").join(other, "b").where(agreeing("sig_a", "sig_b") >= matches).select("a", "b")
+    return reduce(DataFrame.union, ties, alike)
+
+
+def split(lists: DataFrame, matches: int = MATCHES) -> tuple[DataFrame, DataFrame]:
+    """Members (key, node) of smaller lists in which any two classes of a list (key, members, least,
+    node, sig) that agree in `matches` coordinates meet, and ties (a, b) of lists that are alike."""
+    values = lists.select("key", "members", "least", "node", F.explode("sig").alias("value"))
+    counts = values.groupBy("key", "value").agg(F.count("*").alias("n")).where("n > 1")
+    # A value that all of a list have parts nothing. At most COORDINATES values for each class.
+    held = values.join(counts, ["key", "value"]).groupBy("key", "least", "node").agg(
+        F.sort_array(F.collect_list(F.when(F.col("n") < F.col("members"), F.struct("n", "value")))).alias("v"),
+        F.count_if(F.col("n") == F.col("members")).alias("common"), F.count("*").alias("shared"),
+    )
+    held = materialise(held, "shared-values")
+    alike = held.where((F.col("common") >= matches) & (F.col("node") != F.col("least")))
+    places = (COORDINATES - matches + 1) - (COORDINATES - F.col("shared"))
+    parts = held.where((F.col("common") < matches) & (places > 0))
+    parts = parts.select("key", "node", F.explode(F.slice("v", F.lit(1), places.cast("int"))).alias("p"))
+    parts = parts.select(F.col("key").bitwiseXOR(F.xxhash64("p.value")).alias("key"), "node").distinct()
+    return materialise(parts, "parts"), alike.select(F.col("least").alias("a"), F.col("node").alias("b"))
 
 
 def blocks(family: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -252,7 +300,10 @@ def spanning_links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple
 def confirmed(docs: DataFrame, grouped: DataFrame, percent: int, width: int, text: str) -> DataFrame:
     """(a, b): links between the nodes of each group, enough to join what links join."""
     rows = docs.select(row_key(docs).alias("row"), quoted(text).alias("text"))
-    wanted = rows.join(small(grouped), "row").select("node", "root", "groups", "text")
+    # A row carries as many groups as its family has blocks to meet: those count, not the rows.
+    meetings = grouped.agg(F.sum(F.size("groups"))).first()[0] or 0
+    grouped = F.broadcast(grouped) if meetings <= BROADCAST_ROWS else grouped
+    wanted = rows.join(grouped, "row").select("node", "root", "groups", "text")
     schema = wanted.drop("text").withColumn("shingles", F.array().cast("array<long>")).schema
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
