@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystride.llm.common import ROW_KEY, fresh, quoted, releasing, row_key, small, stored, text_slices
@@ -36,6 +36,7 @@ SYMBOLS = 128
 SHARD = 6
 HELD_GRAMS = 1 << 21  # entries of partial tables in a task
 QUANTILE = 0.995
+QUANTILE_LEVELS = (34, 23, 12, 0)  # shifts of the buckets of a logarithm in 2^-40ths
 ALL = "\x00all"  # the model of all languages
 NONE = "\x00none"  # stands for a null language
 WITHOUT = "\x00-"  # between a language and the half that its model was counted without
@@ -109,7 +110,12 @@ def _discounted(counts: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
     grams = grams.join(of.select("lang", *d), "lang").withColumn(
         "d", F.when(F.col("n") >= 3, F.col("d3")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d1"))
     )
-    contexts = grams.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.sum("d").alias("off"))
+    # Sums of whole numbers only: sums of doubles depend on the order of merging.
+    once, twice = (F.count_if(F.col("n") == k) for k in (1, 2))
+    contexts = grams.groupBy("lang", "ctx").agg(
+        F.sum("n").alias("total"),
+        (once * F.first("d1") + twice * F.first("d2") + F.count_if(F.col("n") >= 3) * F.first("d3")).alias("off"),
+    )
     shares = grams.join(contexts, ["lang", "ctx"]).select("lang", "g", "ctx", "w", ((F.col("n") - F.col("d")) / F.col("total")).alias("share"))
     return shares, contexts.select("lang", "ctx", (F.col("off") / F.col("total")).alias("rest"))
 
@@ -229,12 +235,32 @@ def scored(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: st
     return out
 
 
+def exact_quantiles(scores: DataFrame, quantile: float) -> DataFrame:
+    """lang and threshold: of its n figures (lang, perplexity) the one at place ceil(quantile * n).
+
+    Figures are counted in ordered buckets, and the bucket that holds the place is parted again, down to
+    a 2^-40th of the logarithm, so that no language's figures are sorted in one place.
+    """
+    rows = materialise(scores.select("lang", "perplexity", F.floor(F.log("perplexity") * (1 << 40)).alias("fine")), "figures")
+    sizes = rows.groupBy("lang").agg(F.ceil(F.count("*") * F.lit(quantile)).alias("place"))
+    at = materialise(sizes.withColumn("bucket", F.lit(0).cast("long")), "places")
+    upto = Window.partitionBy("lang").orderBy("bucket")
+    for level, shift in enumerate(QUANTILE_LEVELS):
+        part = rows if level == 0 else rows.join(small(at.select("lang", F.col("bucket").alias("within"))), "lang").where(
+            F.shiftright("fine", QUANTILE_LEVELS[level - 1]) == F.col("within"))
+        counts = part.groupBy("lang", F.shiftright("fine", shift).alias("bucket")).agg(F.count("*").alias("n"))
+        found = counts.withColumn("upto", F.sum("n").over(upto)).join(small(at.select("lang", "place")), "lang")
+        found = found.where((F.col("upto") >= F.col("place")) & (F.col("upto") - F.col("n") < F.col("place")))
+        at = materialise(found.select("lang", (F.col("place") - F.col("upto") + F.col("n")).alias("place"), "bucket"), "places")
+    ends = rows.join(small(at), (rows["lang"] == at["lang"]) & (F.col("fine") == F.col("bucket")))
+    return ends.groupBy(rows["lang"]).agg(F.max("perplexity").alias("threshold"))
+
+
 def judged(scores: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """`scored` with the threshold of its language and kept; with the model of all languages there is none."""
     of_lang = scores.where("trusted and perplexity is not null").where(F.col("model") != ALL)
-    cut = F.percentile_approx("perplexity", quantile, 20_000).alias("threshold")
     # One row per language with trusted text.
-    limits = materialise(of_lang.groupBy("lang").agg(cut), "limits")
+    limits = materialise(exact_quantiles(of_lang, quantile), "limits")
     kept = ~F.coalesce(F.col("perplexity") > F.col("threshold"), F.lit(False))
     return scores.join(small(limits), "lang", "left").withColumn("kept", kept)
 
