@@ -170,9 +170,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, parts: int | None = None,
     """Files of segments below `path`."""
     parts = parts or partitions(docs.sparkSession)
     rows = docs.select(quoted(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
-        F.col("doc_id").asc_nulls_first(), F.sha2("text", 256)
-    )
+    # The text's hash parts rows of one doc_id, or without one.
+    order = F.col("doc_id").asc_nulls_first(), F.sha2("text", 256)
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(tokenizer, False, True)
