@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keystride.llm.common import quoted, releasing, text_or_empty
+from keystride.llm.common import BROADCAST_ROWS, quoted, releasing, text_or_empty
 from keystride.llm.tokens import documents_ids, worker_encoder
 from keystride.session import materialise
 
 WINDOW = 2048
 STEP = 8
-SHARDS = 64
+SHARD_PIECES = 1 << 18
 PIECES = "row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 INTERVALS = "cls int, low long, high long, first_sequence long, slot int"
 
@@ -136,15 +136,22 @@ def intervals(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, in
     return out
 
 
-def ranked(pieces: DataFrame) -> DataFrame:
-    """The pieces with their rank within their class, counted from (class, shard) totals."""
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("row", "start"), F.lit(SHARDS)).cast("int"))
+def ranked(pieces: DataFrame, counts: dict[int, int], most: int = SHARD_PIECES) -> DataFrame:
+    """The pieces with their rank within their class, counted from (class, shard) totals.
+
+    `counts` has the pieces of each class: a class has a shard for every `most` of them, so that tasks sort about as
+    many at every size.
+    """
+    shards = F.element_at(F.create_map(*[F.lit(x) for cls, n in counts.items() for x in (cls, -(-n // most))]), F.col("cls"))
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("row", "start"), shards).cast("int"))
     totals = pieces.groupBy("cls", "shard").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("cls").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select("cls", "shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     inside = F.row_number().over(Window.partitionBy("cls", "shard").orderBy("row", "start")) - 1
-    # At most (window / step + 1) * SHARDS rows.
-    return pieces.withColumn("inside", inside).join(F.broadcast(before), ["cls", "shard"]).withColumn(
+    pieces = pieces.withColumn("inside", inside)
+    # A row for each class and each `most` pieces.
+    before = F.broadcast(before) if len(counts) + sum(counts.values()) // most <= BROADCAST_ROWS else before
+    return pieces.join(before, ["cls", "shard"]).withColumn(
         "rank", F.col("before") + F.col("inside")
     ).drop("inside", "before", "shard")
 
@@ -156,11 +163,13 @@ def place(pieces: DataFrame, window: int = WINDOW, step: int = STEP) -> DataFram
     whole = F.col("length") == window
     pieces = pieces.withColumn("cls", F.when(whole, 0).otherwise(F.ceil(F.col("length") / step)).cast("int"))
     counts = {r["cls"]: r["count"] for r in pieces.groupBy("cls").count().collect()}  # units + 1 rows at most
+    if not counts:
+        return pieces.drop("cls").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+    rows = ranked(pieces, counts)
     n_whole = counts.pop(0, 0)
     dealt = intervals(plan(counts, units))
     # As many rows as the plan has slots: it depends on the histogram alone.
     table = F.broadcast(spark.createDataFrame(dealt, INTERVALS)) if dealt else spark.createDataFrame([], INTERVALS)
-    rows = ranked(pieces)
     alone = rows.where("cls = 0").select(
         *pieces.drop("cls").columns, F.col("rank").alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
