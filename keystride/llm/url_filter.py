@@ -1,18 +1,21 @@
 """URL filter: rules indexed by their rarest literal token.
 
-A rule is a pattern with the literal tokens (runs of ASCII letters and digits) that every URL it
-fits must contain whole. One Spark pass counts how many URLs hold each token of a rule, and each
-rule is filed under its rarest one. A URL's tokens fetch the rules filed under them, and only the
-regular expressions of those run; rules without a whole token run on every URL. Host rules of
-which the longest wins come first; pattern rules decide for URLs that no host rule fits, and the
-rest is allowed.
+A rule is a pattern. What it needs is read from the parsed pattern: literal tokens (runs of ASCII letters and
+digits) between two places where a token must end, so that every URL it fits holds them whole; an
+alternative needs one of several. One Spark pass counts how many URLs hold each of these tokens,
+and each rule is filed under its rarest one (or the rarest set of alternatives). A URL's tokens
+fetch the rules filed under them, and only the regular expressions of those run; rules that need
+no whole token run on every URL. Host rules of which the longest wins come first; pattern rules
+decide for URLs that no host rule fits, and the rest is allowed.
 
 A null URL, or one without `://`, has an empty host and path and fits no rule. Repeated rows are
 judged one by one; an empty table gives an empty result; other columns play no part. The list of
 rules is an argument and so fits the driver; the index sent to the tasks has one entry per rule.
 """
 
+import itertools
 import re
+import re._parser as parser
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -29,28 +32,84 @@ RULES = (
 )
 #: Patterns over host and path for URLs that no host rule fits.
 PATTERNS = (
-    ("block", r"(?:^|[./-])(?:cheap|discount)-(?:pills|meds)[./-]", ()),
-    ("block", r"(?:^|[./-])casino[./-]", ("casino",)),
+    ("block", r"(?:^|[./-])(?:cheap|discount)-(?:pills|meds)[./-]"),
+    ("block", r"(?:^|[./-])casino[./-]"),
 )
+MOST_ALTERNATIVES = 64
+EDGE, OPEN = "edge", "open"  # a token must end here; nothing is known here
+LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 
 
 class Rule(NamedTuple):
     verdict: str
     name: str | None  # None for a pattern, which decides only where no named rule fits
     pattern: str
-    tokens: tuple[str, ...]
+    needs: tuple[tuple[str, ...], ...]  # of each of these sets, a URL that fits holds a token
+
+
+def _steps(parsed) -> list:
+    """A parsed pattern as EDGE, OPEN, and lists of alternative pieces of a token."""
+    out = []
+    for kind, of in parsed:
+        if kind is parser.LITERAL:
+            out.append([chr(of)] if chr(of) in LETTERS else EDGE)
+        elif kind is parser.AT:
+            out.append(OPEN if of is parser.AT_NON_BOUNDARY else EDGE)
+        elif kind is parser.IN and all(k is parser.LITERAL and chr(v) not in LETTERS for k, v in of):
+            out.append(EDGE)
+        elif kind is parser.IN and all(k is parser.LITERAL and chr(v) in LETTERS for k, v in of):
+            out.append([chr(v) for _, v in of])
+        elif kind is parser.SUBPATTERN and not of[1] and not of[2]:
+            out += _steps(of[3])
+        elif kind is parser.BRANCH:
+            ways = [_steps(way) for way in of[1]]
+            if all(way == [EDGE] for way in ways):
+                out.append(EDGE)
+            elif all(way and all(isinstance(x, list) and len(x) == 1 for x in way) for way in ways):
+                out.append(["".join(x[0] for x in way) for way in ways])
+            else:
+                out.append(OPEN)
+        elif kind in (parser.MAX_REPEAT, parser.MIN_REPEAT) and of[0] > 0 and set(map(str, _steps(of[2]))) == {EDGE}:
+            out.append(EDGE)
+        else:
+            out.append(OPEN)
+    return out
+
+
+def needed(pattern: str, flags: int = 0) -> tuple[tuple[str, ...], ...]:
+    """Sets of tokens: a text in which `pattern` is found holds one of each set as a whole token.
+
+    Options inside the pattern, such as ignoring case, make nothing needed.
+    """
+    parsed = parser.parse(pattern, flags)
+    if parsed.state.flags & re.IGNORECASE:
+        return ()
+    found, part = [], None  # part: pieces since the last edge; None after something open
+    for step in _steps(parsed):
+        if step is EDGE:
+            ways = 1
+            for pieces in part or ():
+                ways *= len(pieces)
+            if part and ways <= MOST_ALTERNATIVES:
+                found.append(tuple(sorted({"".join(x) for x in itertools.product(*part)})))
+            part = []
+        elif step is OPEN or part is None:
+            part = None
+        else:
+            part.append(step)
+    return tuple(found)
 
 
 def host_rule(verdict: str, host: str, path: str) -> Rule:
     """A rule for `host`, its subdomains, and paths that start with `path`."""
+    pattern = rf"(?:[^/]*\.)?{re.escape(host)}{re.escape(path)}"
     whole = re.match(r"(?:.*[^A-Za-z0-9])?", path, re.S)[0]  # what follows may be part of a longer token
-    return Rule(verdict, host + path, rf"(?:[^/]*\.)?{re.escape(host)}{re.escape(path)}",
-                tuple(re.findall(TOKEN, f"{host}/{whole}")))
+    return Rule(verdict, host + path, pattern, tuple((t,) for t in re.findall(TOKEN, f"{host}/{whole}")))
 
 
 def all_rules(rules: Iterable = RULES, patterns: Iterable = PATTERNS) -> list[Rule]:
     return [host_rule(*r) for r in rules] + [
-        Rule(verdict, None, f"(?s:.*?){pattern}", tuple(tokens)) for verdict, pattern, tokens in patterns
+        Rule(verdict, None, f"(?s:.*?)(?:{pattern})", needed(pattern)) for verdict, pattern in patterns
     ]
 
 
@@ -62,8 +121,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def rarest_tokens(pages: DataFrame, rules: list[Rule], url: str = "url") -> dict[str, list[int]]:
-    """Rules (by number) under their rarest token; under "" those without one."""
-    known = sorted({t for rule in rules for t in rule.tokens})
+    """Rules (by number) under their rarest token or tokens; under "" those that need none."""
+    known = sorted({t for rule in rules for tokens in rule.needs for t in tokens})
     host, path = host_and_path(quoted(url))
     tokens = F.array_distinct(F.regexp_extract_all(F.concat(host, path), F.lit(TOKEN), F.lit(0)))
     spark = pages.sparkSession
@@ -75,7 +134,8 @@ def rarest_tokens(pages: DataFrame, rules: list[Rule], url: str = "url") -> dict
     found = {r["token"]: r["count"] for r in counts.collect()}  # a row per token of a rule at most
     index: dict[str, list[int]] = {}
     for i, rule in enumerate(rules):
-        index.setdefault(min(rule.tokens, key=lambda t: (found.get(t, 0), t), default=""), []).append(i)
+        for token in min(rule.needs, key=lambda ts: (sum(found.get(t, 0) for t in ts), ts), default=("",)):
+            index.setdefault(token, []).append(i)
     return index
 
 
@@ -94,7 +154,7 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None, page_id: str = "pag
 
         def one(host: str, path: str) -> tuple[str | None, str]:
             text = host + path
-            near = [*index.get("", ()), *(i for t in {*tokens.findall(text)} for i in index.get(t, ()))]
+            near = {*index.get("", ()), *(i for t in {*tokens.findall(text)} for i in index.get(t, ()))}
             fits = [rules[i] for i in near if host and compiled[i].match(text)]
             named = max((r for r in fits if r.name), key=lambda r: (len(r.name), r.name), default=None)
             if named:
