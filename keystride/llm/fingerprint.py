@@ -1,16 +1,17 @@
 """Merkle fingerprints of documents.
 
 A text is cut into leaves: a leaf ends after a line end, or after a space that follows a punctuation
-mark, an `e` or an `s`. The leaves, put together, are the text. Leaves up to a line end are a
+mark. The leaves, put together, are the text. Leaves up to a line end are a
 paragraph; a section ends with a paragraph whose last leaf's hash begins with 0-3, so that an
 insertion moves no later section. A paragraph's hash is that of its leaves' hashes, a section's
 that of its paragraphs', the root that of its sections'. All are SHA-256.
 
-The fingerprint is the tree as text: the root, then for each section `/`, eight digits of its hash
-and `:`, then its paragraphs parted by `;`, each the first eight digits of its leaves' hashes parted
-by `,`. Equal roots mean equal texts; equal section labels need no look inside; `changed_sections`
-lists the others. The likeness of two fingerprints is 1 if the roots agree, else the share of leaf
-labels that both have among those that either has.
+The fingerprint is the top of the tree as text: the root, then for each section `/` and eight digits of its hash,
+then `#` and a sketch: the SKETCH least of the distinct first eight digits of the leaves' hashes, parted
+by commas. Equal roots mean equal texts; equal section labels need no look inside; `changed_sections`
+lists the others. The likeness of two fingerprints is 1 if and only if the roots agree, else the
+share of the leaves that both have among those that either has: exact up to SKETCH leaves, above an
+estimate from the SKETCH least labels of both; n / (n + 1) where all n leaves agree and only their order or number differs.
 
 `next document`: rows stand in ascending doc_id order (null first, rows of one doc_id by text
 hash). Exact quantile rows of the ids cut the order into blocks; a block's first rows also visit
@@ -27,32 +28,37 @@ from pyspark.sql import functions as F
 from keystride.llm.common import partitions, quoted, text_or_empty
 
 #: Java and RE2 read it alike.
-LEAF = r"(?s).*?(?:\n|[.,;:!?|es] )|(?s).+$"
+LEAF = r"(?s).*?(?:\n|[.,;:!?|] )|(?s).+$"
 LABEL = 8
+SKETCH = 128
 BLOCKS_PER_PARTITION = 8
 MOST_BLOCKS = 4096
 LEAST_ID = -(1 << 63)
 
 
 def fingerprint(text: Column) -> Column:
-    """The Merkle tree of a text without nulls."""
+    """Root, section labels and sketch of the Merkle tree of a text without nulls."""
     leaves = F.regexp_extract_all(text, F.lit(LEAF), F.lit(0))
     labelled = F.transform(leaves, lambda x: F.struct(F.sha2(x, 256).alias("h"), x.endswith("\n").alias("end")))
-    marked = F.array_join(F.transform(labelled, lambda x: F.concat(
-        x["h"], F.when(~x["end"], ",").when(x["h"] < "4", "/").otherwise(";"))), "")
-    marked = F.regexp_replace(marked, "[,;/]$", "")
 
     def section(s: Column) -> Column:
-        paragraphs = F.transform(F.split(s, ";"), lambda p: F.sha2(p, 256))
-        labels = F.regexp_replace(s, f"([0-9a-f]{{{LABEL}}})[0-9a-f]{{{64 - LABEL}}}", "$1")
-        return F.struct(F.sha2(F.array_join(paragraphs, ""), 256).alias("h"), labels.alias("labels"))
+        return F.sha2(F.array_join(F.transform(F.split(s, ";"), lambda p: F.sha2(p, 256)), ""), 256)
 
-    sections = F.transform(F.split(marked, "/"), section)
-    # One lambda over all sections, so that they are made once for root and body.
-    return F.element_at(F.transform(F.array(sections), lambda all_: F.concat(
-        F.sha2(F.array_join(F.transform(all_, lambda s: s["h"]), ""), 256),
-        F.array_join(F.transform(all_, lambda s: F.concat(F.lit("/"), F.substring(s["h"], 1, LABEL), F.lit(":"), s["labels"])), ""),
-    )), 1)
+    def top(leaves: Column) -> Column:
+        marked = F.array_join(F.transform(leaves, lambda x: F.concat(
+            x["h"], F.when(~x["end"], ",").when(x["h"] < "4", "/").otherwise(";"))), "")
+        return F.transform(F.split(F.regexp_replace(marked, "[,;/]$", ""), "/"), section)
+
+    def sketch(leaves: Column) -> Column:
+        labels = F.array_distinct(F.transform(leaves, lambda x: F.substring(x["h"], 1, LABEL)))
+        return F.array_join(F.slice(F.sort_array(labels), 1, SKETCH), ",")
+
+    # Lambdas over arrays of one, so that leaves and sections are made once.
+    return F.element_at(F.transform(F.array(labelled), lambda leaves: F.element_at(F.transform(F.array(top(leaves)), lambda all_: F.concat(
+        F.sha2(F.array_join(all_, ""), 256),
+        F.array_join(F.transform(all_, lambda h: F.concat(F.lit("/"), F.substring(h, 1, LABEL))), ""),
+        F.lit("#"), sketch(leaves),
+    )), 1)), 1)
 
 
 def root(tree: Column) -> Column:
@@ -60,28 +66,30 @@ def root(tree: Column) -> Column:
 
 
 def leaf_labels(tree: Column) -> Column:
-    """The distinct labels of the leaves."""
-    body = F.regexp_replace(F.substring(tree, 65, 1 << 30), "/[0-9a-f]+:", ",")
-    return F.array_distinct(F.split(F.regexp_replace(F.regexp_replace(body, ";", ","), "^,", ""), ","))
+    """The sketch: the least labels of the leaves, in order."""
+    return F.split(F.substring_index(tree, "#", -1), ",")
 
 
 def sections(tree: Column) -> Column:
-    return F.split(F.substring(tree, 66, 1 << 30), "/")
+    return F.split(F.substring_index(F.substring(tree, 66, 1 << 30), "#", 1), "/")
 
 
 def changed_sections(left: Column, right: Column) -> Column:
     """Numbers (from 0) of the sections of `left` whose subtree `right` has not."""
-    labels = F.transform(sections(right), lambda s: F.substring(s, 1, LABEL))
-    marks = F.transform(sections(left), lambda s, i: F.when(~F.array_contains(labels, F.substring(s, 1, LABEL)), i))
+    labels = sections(right)
+    marks = F.transform(sections(left), lambda s, i: F.when(~F.array_contains(labels, s), i))
     return F.filter(marks, lambda i: i.isNotNull())
 
 
 def likeness(left: Column, right: Column) -> Column:
-    """From 0 to 1; 1 for equal texts."""
+    """From 0 to 1; 1 for equal texts only."""
     a, b = leaf_labels(left), leaf_labels(right)
-    share = F.element_at(F.transform(
-        F.array(F.struct(F.size(F.array_intersect(a, b)).alias("both"), F.size(a).alias("a"), F.size(b).alias("b"))),
-        lambda x: x["both"].cast("double") / (x["a"] + x["b"] - x["both"]).cast("double")), 1)
+    sketches = F.array(F.struct(F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH).alias("least"), F.array_intersect(a, b).alias("both")))
+    counts = F.transform(sketches, lambda x: F.struct(
+        F.size(x["least"]).alias("n"), F.size(F.array_intersect(x["least"], x["both"])).alias("both")))
+    share = F.element_at(F.transform(counts, lambda x: F.when(
+        x["both"] < x["n"], x["both"].cast("double") / x["n"].cast("double")
+    ).otherwise(x["n"].cast("double") / (x["n"] + 1).cast("double"))), 1)
     return F.when(root(left) == root(right), F.lit(1.0)).otherwise(share)
 
 

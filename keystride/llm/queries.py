@@ -89,31 +89,33 @@ with docs as (
   from docs a join docs b on b.place = a.place % (select count(*) from docs) + 1
 ), texts as (select text as t from pairs union select edited from pairs),
 leaves as (
-  select t, list_transform(regexp_extract_all(t, '(?s).*?(?:\n|[.,;:!?|es] )|(?s).+$'),
+  select t, list_transform(regexp_extract_all(t, '(?s).*?(?:\n|[.,;:!?|] )|(?s).+$'),
                            lambda x : {'h': sha256(x), 'e': right(x, 1) = chr(10)}) as l from texts
 ), marked as (
   select t, regexp_replace(array_to_string(list_transform(l, lambda x :
-           x.h || case when not x.e then ',' when x.h < '4' then '/' else ';' end), ''), '[,;/]$', '') as m from leaves
+           x.h || case when not x.e then ',' when x.h < '4' then '/' else ';' end), ''), '[,;/]$', '') as m, list_distinct(list_transform(l, lambda x : left(x.h, 8))) as labels from leaves
 ), trees as (
-  select t, list_transform(string_split(m, '/'), lambda s : {
-      'h': sha256(array_to_string(list_transform(string_split(s, ';'), lambda p : sha256(p)), '')),
-      'b': regexp_replace(s, '([0-9a-f]{8})[0-9a-f]{56}', '\1', 'g')}) as s from marked
+  select t, list_transform(string_split(m, '/'), lambda s :
+      sha256(array_to_string(list_transform(string_split(s, ';'), lambda p : sha256(p)), ''))) as s,
+      list_sort(labels)[1:128] as labels from marked
 ), prints as (
-  select t, sha256(array_to_string(list_transform(s, lambda x : x.h), ''))
-         || array_to_string(list_transform(s, lambda x : '/' || left(x.h, 8) || ':' || x.b), '') as f,
-         list_distinct(string_split_regex(array_to_string(list_transform(s, lambda x : x.b), ','), '[,;]')) as labels,
-         list_transform(s, lambda x : left(x.h, 8)) as nodes from trees
+  select t, sha256(array_to_string(s, '')) || array_to_string(list_transform(s, lambda x : '/' || left(x, 8)), '')
+         || '#' || array_to_string(labels, ',') as f,
+         case when len(labels) = 0 then [''] else labels end as labels, list_transform(s, lambda x : left(x, 8)) as nodes from trees
 ), joined as (
   select p.*, a.f as fa, e.f as fe, n.f as fn, a.labels as la, e.labels as le, n.labels as ln, a.nodes as na, e.nodes as ne
   from pairs p join prints a on a.t = p.text join prints e on e.t = p.edited join prints n on n.t = p.next_text
+), bottom as (
+  select *, list_sort(list_distinct(list_concat(la, le)))[1:128] as ue, list_sort(list_distinct(list_concat(la, ln)))[1:128] as un from joined
 ), met as (
-  select *, len(list_intersect(la, le)) as ie, len(list_intersect(la, ln)) as i_n from joined
+  select *, len(list_intersect(list_intersect(la, le), ue)) as ie, len(list_intersect(list_intersect(la, ln), un)) as i_n,
+         len(ue) as we, len(un) as wn from bottom
 )
 select doc_id, n_chars, sha256(edited) as edited_sha256, fa as fingerprint, fe as edited_fingerprint,
        case when left(fa, 64) = left(fe, 64) then 1.0::double
-            else ie::double / (len(la) + len(le) - ie)::double end as near_edited,
+            when ie < we then ie::double / we::double else we::double / (we + 1)::double end as near_edited,
        case when left(fa, 64) = left(fn, 64) then 1.0::double
-            else i_n::double / (len(la) + len(ln) - i_n)::double end as near_next,
+            when i_n < wn then i_n::double / wn::double else wn::double / (wn + 1)::double end as near_next,
        list_transform(list_filter(list_transform(ne, lambda x, i : case when not list_contains(na, x) then i - 1 end),
                                   lambda i : i is not null), lambda i : i::int) as edited_sections
 from met""",
