@@ -96,6 +96,31 @@ def releasing(kernel: Callable[[Batches], Batches]) -> Callable[[Batches], Batch
     return run
 
 
+#: Settings of batches that tasks send to Python: rows of a table of texts are far larger than Spark's default expects.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def in_small_batches(job: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """`job`, which takes a DataFrame first and writes what its kernels give, with the batches of BATCH.
+
+    The default of 10,000 rows is some 30 MB of text, held by the JVM and by Python for each running task.
+    """
+
+    @wraps(job)
+    def run(docs: DataFrame, *args, **named) -> DataFrame:
+        conf = docs.sparkSession.conf
+        before = {name: conf.get(name, None) for name in BATCH}
+        try:
+            for name, value in BATCH.items():
+                conf.set(name, value)
+            return job(docs, *args, **named)
+        finally:
+            for name, value in before.items():
+                conf.unset(name) if value is None else conf.set(name, value)
+
+    return run
+
+
 def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of at most SLICE_BYTES or one row; null is empty."""
     texts = batch.column(column).cast(pa.large_binary()).fill_null(b"")

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystride.llm.common import BROADCAST_ROWS, ROW_KEY, fresh, quoted, releasing, row_key, small, stored, text_slices
+from keystride.llm.common import BROADCAST_ROWS, ROW_KEY, fresh, in_small_batches, quoted, releasing, row_key, small, stored, text_slices
 from keystride.llm.components import components
 from keystride.session import materialise
 
@@ -328,6 +328,7 @@ def confirmed(docs: DataFrame, grouped: DataFrame, percent: int, width: int, tex
     return sets.select("node", "root", "g.low", "g.high", "shingles").groupBy("root", "low", "high").applyInArrow(links, "a long, b long")
 
 
+@in_small_batches
 def named_components(docs: DataFrame, percent: int, width: int, doc_id: str, text: str) -> DataFrame:
     """One row per document of a `stored` table: row, doc_id, n_shingles, root (a number of its
     component, null without a word) and component_id."""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keystride.llm.common import BROADCAST_ROWS, quoted, releasing, text_or_empty
+from keystride.llm.common import BROADCAST_ROWS, in_small_batches, quoted, releasing, text_or_empty
 from keystride.llm.tokens import documents_ids, worker_encoder
 from keystride.session import materialise
 
@@ -32,6 +32,7 @@ PIECES = "row long, doc_id long, start long, length long, ids_crc32 long, doc_to
 INTERVALS = "cls int, low long, high long, first_sequence long, slot int"
 
 
+@in_small_batches
 def cut(docs: DataFrame, tokenizer: str, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The pieces of every document, written once; `row` is the document's place in the table."""
     rows = docs.select(

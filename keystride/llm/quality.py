@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keystride.llm.common import ROW_KEY, fresh, quoted, releasing, row_key, small, stored, text_slices
+from keystride.llm.common import ROW_KEY, fresh, in_small_batches, quoted, releasing, row_key, small, stored, text_slices
 from keystride.session import materialise
 
 SYMBOLS = 128
@@ -169,6 +169,7 @@ def _columns(table: pa.Table) -> dict[str, np.ndarray]:
     return {name: table[name].to_numpy() for name in table.column_names if name != "lang"}
 
 
+@in_small_batches
 def scored(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """row, doc_id, lang, model (the one that it met), trusted, n_symbols, perplexity, written once. `trusted` has the doc_ids (id) of the trusted texts."""
     spark, docs = docs.sparkSession, stored(docs)
