@@ -1,13 +1,17 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney model.
 
-Units are symbols of 7 bits: the ASCII bytes, and the bytes of other characters folded to the
-control codes. Trigrams of the trusted texts (labelled quality 1), two line ends before and one
-behind, are counted for each language inside the tasks and summed by a sharded aggregation. The
-lower orders' continuation counts, the counts of counts that give the three discounts, and the interpolation are
-joins of these count tables on language and context. Languages are handled in shards of
-SHARD models: a model's table has at most 2^21 trigrams, a proven bound, and meets only the
-documents that it judges, each of which gets its perplexity from it. Documents of a language
-without trusted text meet the model of all languages together.
+Units are the bytes of a text (tabs and the like as a space), ORDER of them to a gram, so the model grows with the
+trusted text (labelled quality 1) and knows every script. Grams, line ends before the text and one behind, are
+counted for each language inside the tasks and summed by a sharded aggregation. The lower orders' continuation
+counts, the counts of counts that give the three discounts, and the interpolation are joins of these count tables
+on language and context.
+
+An interpolated model is a sum of figures of seen grams: ln p of a symbol is ln(1 / SYMBOLS), and for each order
+what its context leaves to the lower order (0 for an unseen context) and what the gram, if seen, adds to that.
+These figures are whole 2^-24ths, so that a text's sum does not depend on the order of adding. The figures used most, at most
+HOT of them, whatever the corpus, meet the texts as a broadcast; for all others a text's distinct grams, with their
+numbers, meet the sharded table by a join and are summed back. Where the cut falls changes no result.
+Documents of a language without trusted text meet the model of all languages together.
 
 No trusted document meets a model that it was counted in: a hash of the text deals the trusted texts
 of a language into two halves, and each half meets the model of the other one. A document is
@@ -21,39 +25,43 @@ its own. Null labels are not trusted. Of a doc_id with several labels, one of qu
 Without any trusted text nothing is rejected. An empty table gives an empty result; other columns play no part.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystride.llm.common import ROW_KEY, fresh, in_small_batches, quoted, releasing, row_key, small, stored, text_slices
+from keystride.llm.hot import lookup
 from keystride.session import materialise
 
-SYMBOLS = 128
-SHARD = 6
+SYMBOLS = 256
+ORDER = 4
+BITS = 40  # of a gram's code, below the kind of its figure
+UNIT = 1 << 24  # of a logarithm
+HOT = 1 << 21  # figures in the broadcast, 12 bytes each
 HELD_GRAMS = 1 << 21  # entries of partial tables in a task
 QUANTILE = 0.995
 QUANTILE_LEVELS = (34, 23, 12, 0)  # shifts of the buckets of a logarithm in 2^-40ths
 ALL = "\x00all"  # the model of all languages
 NONE = "\x00none"  # stands for a null language
 WITHOUT = "\x00-"  # between a language and the half that its model was counted without
-LINE_END = 127
-_SYMBOL = np.arange(256, dtype=np.int32)
-_SYMBOL[128:] &= 31
+LINE_END = 10
+_SYMBOL = np.arange(256, dtype=np.int64)
 _SYMBOL[[9, 11, 12, 13]] = 32
-_SYMBOL[10] = LINE_END
 
 
-def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the trigrams of several texts in a row, and where each text's begin and end."""
+def grams_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the grams of several texts in a row, and where each text's begin; its own are one more than its bytes."""
     lengths = np.diff(offsets)
-    at = offsets + 3 * np.arange(len(offsets))
-    padded = np.full(int(at[-1]), LINE_END, np.int32)
-    padded[np.arange(len(data)) + np.repeat(3 * np.arange(len(lengths)) + 2, lengths)] = _SYMBOL[data]
-    codes = padded[:-2] << 14 | padded[1:-1] << 7 | padded[2:] if len(padded) > 2 else np.empty(0, np.int32)
+    at = offsets + ORDER * np.arange(len(offsets))
+    padded = np.full(int(at[-1]), LINE_END, np.int64)
+    padded[np.arange(len(data)) + np.repeat(ORDER * np.arange(len(lengths)) + ORDER - 1, lengths)] = _SYMBOL[data]
+    codes = np.zeros(max(len(padded) - ORDER + 1, 0), np.int64)
+    for k in range(ORDER):
+        codes = codes << 8 | padded[k:k + len(codes)]
     return codes, at
 
 
@@ -66,10 +74,10 @@ def counted(texts: DataFrame) -> DataFrame:
         for batch in found:
             langs = np.array(batch["lang"].to_pylist(), object)
             for first, end, data, offsets in text_slices(batch, "text"):
-                codes, at = trigrams(data, offsets)
+                codes, at = grams_of(data, offsets)
                 for lang in set(langs[first:end]):
                     mine = np.nonzero(langs[first:end] == lang)[0]
-                    g, n = np.unique(np.concatenate([codes[at[i]:at[i + 1] - 2] for i in mine.tolist()]), return_counts=True)
+                    g, n = np.unique(np.concatenate([codes[at[i]:at[i + 1] - ORDER + 1] for i in mine.tolist()]), return_counts=True)
                     tables.setdefault(lang, []).append((g, n))
                     held += len(g)
                 if held > HELD_GRAMS:
@@ -88,15 +96,15 @@ def counted(texts: DataFrame) -> DataFrame:
         for lang, parts in tables.items():
             g, n = summed(parts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(g), pa.string()), pa.array(g, pa.int32()), pa.array(n, pa.int64())], names=["lang", "g", "n"]
+                [pa.array([lang] * len(g), pa.string()), pa.array(g, pa.int64()), pa.array(n, pa.int64())], names=["lang", "g", "n"]
             )
 
-    partial = texts.mapInArrow(releasing(batches), "lang string, g int, n long")
+    partial = texts.mapInArrow(releasing(batches), "lang string, g long, n long")
     return partial.groupBy("lang", "g").agg(F.sum("n").alias("n"))
 
 
-def _discounted(counts: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
-    """From (lang, g, n): (lang, g, ctx, w, share) and (lang, ctx, rest): what each seen gram keeps of
+def _discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (lang, g, n, c): (lang, g, ctx, c, share) and (lang, ctx, c, rest): what each seen gram keeps of
     its context's mass after the modified discounts, and what the context leaves to the lower order."""
     of = counts.groupBy("lang").agg(*[F.sum(F.when(F.col("n") == k, 1).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3, 4)])
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
@@ -106,71 +114,94 @@ def _discounted(counts: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
         F.when(usable, F.least(F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), F.lit(0.01)), F.lit(float(k) - 0.01)))
         .otherwise(F.lit(fixed[k - 1])).alias(f"d{k}") for k in (1, 2, 3)
     ]
-    grams = counts.withColumns({"ctx": F.shiftright("g", 7), "w": F.col("g").bitwiseAND(SYMBOLS - 1)})
-    grams = grams.join(of.select("lang", *d), "lang").withColumn(
+    of = small(materialise(of.select("lang", *d), "discounts"))
+    grams = counts.withColumn("ctx", F.shiftright("g", 8)).join(of, "lang").withColumn(
         "d", F.when(F.col("n") >= 3, F.col("d3")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d1"))
     )
     # Sums of whole numbers only: sums of doubles depend on the order of merging.
     once, twice = (F.count_if(F.col("n") == k) for k in (1, 2))
     contexts = grams.groupBy("lang", "ctx").agg(
-        F.sum("n").alias("total"),
+        F.sum("n").alias("total"), F.sum("c").alias("c"),
         (once * F.first("d1") + twice * F.first("d2") + F.count_if(F.col("n") >= 3) * F.first("d3")).alias("off"),
     )
-    shares = grams.join(contexts, ["lang", "ctx"]).select("lang", "g", "ctx", "w", ((F.col("n") - F.col("d")) / F.col("total")).alias("share"))
-    return shares, contexts.select("lang", "ctx", (F.col("off") / F.col("total")).alias("rest"))
-
-
-def model(counts: DataFrame) -> dict[str, DataFrame]:
-    """The interpolated model: p1 (lang, w, p), p2 and p3 (lang, g, p) of the seen grams, and
-    rest1, rest2, rest3 (lang, ctx, rest) for the unseen."""
-    continued = lambda c, bits: (
-        c.select("lang", F.col("g").bitwiseAND((1 << bits) - 1).alias("g")).groupBy("lang", "g").agg(F.count("*").alias("n"))
-    )
-    two = materialise(continued(counts, 14), "bigrams")
-    one = materialise(continued(two, 7), "unigrams")
-    s1, r1 = _discounted(one, 7)
-    p1 = s1.join(r1.drop("ctx"), "lang").select("lang", "w", (F.col("share") + F.col("rest") / SYMBOLS).alias("p"))
-    p1 = materialise(p1, "p1")
-    s2, r2 = _discounted(two, 14)
-    r2 = materialise(r2, "rest2")
-    # A seen gram's lower order is seen as well, so these joins lose none.
-    p2 = s2.join(r2, ["lang", "ctx"]).join(p1.withColumnRenamed("p", "low"), ["lang", "w"])
-    p2 = materialise(p2.select("lang", "g", (F.col("share") + F.col("rest") * F.col("low")).alias("p")), "p2")
-    s3, r3 = _discounted(counts, 21)
-    r3 = materialise(r3, "rest3")
-    low = p2.select("lang", F.col("g").alias("g2"), F.col("p").alias("low"))
-    p3 = s3.join(r3, ["lang", "ctx"]).withColumn("g2", F.col("g").bitwiseAND((1 << 14) - 1)).join(low, ["lang", "g2"])
-    p3 = materialise(p3.select("lang", "g", (F.col("share") + F.col("rest") * F.col("low")).alias("p")), "p3")
-    return {"p1": p1, "p2": p2, "p3": p3, "rest1": materialise(r1, "rest1"), "rest2": r2, "rest3": r3}
-
-
-def dense(parts: dict[str, DataFrame], langs: list[str]) -> dict[str, np.ndarray]:
-    """For each language the log-probability of every trigram: 2^21 numbers."""
-    rows = {name: df.where(F.col("lang").isin(langs)).toArrow() for name, df in parts.items()}
-    out = {}
-    for lang in langs:
-        of = {name: _columns(table.filter(pc.equal(table["lang"], lang))) for name, table in rows.items()}
-        rest1 = of["rest1"]["rest"][0] if len(of["rest1"]["rest"]) else 1.0
-        p1 = np.full(SYMBOLS, rest1 / SYMBOLS)
-        p1[of["p1"]["w"]] = of["p1"]["p"]
-        rest2 = np.ones(SYMBOLS)
-        rest2[of["rest2"]["ctx"]] = of["rest2"]["rest"]
-        p2 = rest2[:, None] * p1
-        p2.reshape(-1)[of["p2"]["g"]] = of["p2"]["p"]
-        rest3 = np.ones(SYMBOLS ** 2)
-        rest3[of["rest3"]["ctx"]] = of["rest3"]["rest"]
-        p3 = rest3.reshape(SYMBOLS, SYMBOLS, 1) * p2
-        p3.reshape(-1)[of["p3"]["g"]] = of["p3"]["p"]
-        out[lang] = np.log(p3, out=p3).astype(np.float32).reshape(-1)
-    return out
-
-
-def _columns(table: pa.Table) -> dict[str, np.ndarray]:
-    return {name: table[name].to_numpy() for name in table.column_names if name != "lang"}
+    contexts = materialise(contexts.select("lang", "ctx", "c", "total", (F.col("off") / F.col("total")).alias("rest")), "contexts")
+    shares = grams.join(contexts.select("lang", "ctx", "total", "rest"), ["lang", "ctx"])
+    return shares.select("lang", "g", "c", ((F.col("n") - F.col("d")) / F.col("total")).alias("share"), "rest"), contexts
+
+
+def model(counts: DataFrame) -> DataFrame:
+    """The interpolated model of counts (lang, g, n) as figures (lang, key, value, c), written: for gram g of j
+    symbols under key 2j << BITS | g what it adds when seen, for context g under key 2j + 1 << BITS | g what it
+    leaves to the order below j; c is how often they occur in the counted texts."""
+    levels = [counts.withColumn("c", F.col("n"))]
+    for j in range(ORDER - 1, 0, -1):
+        lower = levels[0].select("lang", F.col("g").bitwiseAND((1 << 8 * j) - 1).alias("g"), "c")
+        levels.insert(0, materialise(lower.groupBy("lang", "g").agg(F.count("*").alias("n"), F.sum("c").alias("c")), "lower"))
+
+    def figures(rows: DataFrame, kind: int, code: str, value: Column) -> DataFrame:
+        key = F.lit(kind << BITS).bitwiseOR(F.col(code))
+        return rows.select("lang", key.alias("key"), F.round(value * UNIT).cast("int").alias("value"), "c")
+
+    out, low = None, None
+    for j, level in enumerate(levels, 1):
+        shares, contexts = _discounted(level)
+        if low is None:
+            shares = shares.withColumn("low", F.lit(1 / SYMBOLS))
+        else:
+            # A seen gram's lower order is seen as well, so this join loses none.
+            shares = shares.withColumn("tail", F.col("g").bitwiseAND((1 << 8 * (j - 1)) - 1)).join(low, ["lang", "tail"])
+        seen = materialise(shares.select("lang", "g", "c", "share", (F.col("rest") * F.col("low")).alias("under")), "seen")
+        low = seen.select("lang", F.col("g").alias("tail"), (F.col("share") + F.col("under")).alias("low"))
+        own = figures(seen, 2 * j, "g", F.log1p(F.col("share") / F.col("under")))
+        both = own.unionByName(figures(contexts, 2 * j + 1, "ctx", F.log("rest")))
+        out = both if out is None else out.unionByName(both)
+    return materialise(out, "model")
+
+
+def split(figures: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
+    """The figures that occur most, at most `hot` of them, and all others."""
+    bucket = F.floor(F.log2("c") * 8)
+    sizes = sorted(figures.groupBy(bucket.alias("bucket")).count().collect(), reverse=True)  # at most 8 * 63 rows
+    least, held = 8 * 64, 0
+    for size in sizes:
+        held += size["count"]
+        if held > hot:
+            break
+        least = size["bucket"]
+    return figures.where(bucket >= least), figures.where(bucket < least)
+
+
+def held(figures: DataFrame, names: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Keys in order and their values for each of `names`, from a bounded table."""
+    ids = figures.sparkSession.createDataFrame(list(enumerate(names)), "id int, lang string")
+    found = figures.join(F.broadcast(ids), "lang").select("id", "key", "value").toArrow()
+    of, keys, values = (found[name].to_numpy() for name in ("id", "key", "value"))
+    order = np.lexsort((keys, of))
+    cuts = np.searchsorted(of[order], np.arange(len(names) + 1))
+    return {name: (keys[order[a:b]], values[order[a:b]]) for name, a, b in zip(names, cuts[:-1], cuts[1:])}
+
+
+def keys_of(grams: np.ndarray) -> Iterator[np.ndarray]:
+    """The keys of the figures that grams of ORDER symbols ask for."""
+    for j in range(1, ORDER + 1):
+        yield 2 * j << BITS | grams & (1 << 8 * j) - 1
+        yield 2 * j + 1 << BITS | grams >> 8 & (1 << 8 * (j - 1)) - 1
+
+
+def _asked(text_of: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, key and number of each distinct pair."""
+    order = np.lexsort((keys, text_of))
+    text_of, keys = text_of[order], keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (text_of[1:] != text_of[:-1])
+    first = np.nonzero(new)[0]
+    return text_of[first], keys[first], np.diff(np.append(first, len(keys)))
 
 
 @in_small_batches
-def scored(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def scored(
+    docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", hot: int = HOT
+) -> DataFrame:
     """row, doc_id, lang, model (the one that it met), trusted, n_symbols, perplexity, written once. `trusted` has the doc_ids (id) of the trusted texts."""
     spark, docs = docs.sparkSession, stored(docs)
     rows = docs.select(
@@ -188,7 +219,7 @@ def scored(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: st
     grams = counted(known.select(F.concat("lang", F.lit("\x00"), F.col("half").cast("string")).alias("lang"), "text"))
     grams = materialise(
         grams.select(F.substring_index("lang", "\x00", -1).cast("int").alias("half"), F.expr("substring(lang, 1, length(lang) - 2)").alias("lang"), "g", "n"),
-        "trigrams",
+        "grams",
     )
     counts = grams.where(F.col("lang").isin(own))
     # The model without a half has the counts of the other one.
@@ -196,44 +227,74 @@ def scored(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: st
     whole = counts.groupBy("lang", "g").agg(F.sum("n").alias("n"))
     pooled = grams.groupBy("g").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("lang"), "g", "n")
     counts = materialise(whole.union(without).union(pooled), "counts")
-    parts = model(counts)
     names = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    schema = f"row {ROW_KEY}, doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang string, model string, trusted boolean, n_symbols long"
+    if not names:
+        return rows.select("row", "doc_id", "lang", F.lit(ALL).alias("model"), "trusted", F.lit(0).cast("long").alias("n_symbols"),
+                           F.lit(None).cast("double").alias("perplexity"))
+    often, rest = split(model(counts), hot)
+    asks = not rest.isEmpty()
+    tables = spark.sparkContext.broadcast(held(often, names))
     held_out = F.concat("lang", F.lit(WITHOUT), half.cast("string"))
     judge = F.when(F.col("trusted") & F.col("text").isNotNull(), held_out).otherwise(F.col("lang"))
     rows = rows.withColumn("model", F.when(F.col("lang").isin(own), judge).otherwise(F.lit(ALL)))
-    schema = f"row {ROW_KEY}, doc_id string, lang string, model string, trusted boolean, n_symbols long, perplexity double"
-    schema = schema.replace("doc_id string", f"doc_id {rows.schema['doc_id'].dataType.simpleString()}")
-    out = None
-    for at in range(0, len(names), SHARD):
-        shard = names[at:at + SHARD]
-        table = spark.sparkContext.broadcast(dense(parts, shard))
-
-        def batches(found: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
-            for batch in found:
-                own = batch["model"].to_pylist()
-                sums, sizes = np.zeros(len(own)), np.zeros(len(own), np.int64)
-                for first, end, data, offsets in text_slices(batch, "text"):
-                    codes, at = trigrams(data, offsets)
-                    for i in range(first, end):
-                        if offsets[i - first + 1] > offsets[i - first]:
-                            mine = codes[at[i - first]:at[i - first + 1] - 2]
-                            sizes[i] = len(mine)
-                            sums[i] = table.value[own[i]][mine].sum(dtype=np.float64)
-                ppl = np.exp(-sums / np.maximum(sizes, 1))
-                yield pa.RecordBatch.from_arrays(
-                    [batch["row"], batch["doc_id"], batch["lang"], batch["model"], batch["trusted"], pa.array(sizes),
-                     pa.array(ppl, mask=sizes == 0)],
-                    names=["row", "doc_id", "lang", "model", "trusted", "n_symbols", "perplexity"],
-                )
-
-        part = materialise(rows.where(F.col("model").isin(shard)).mapInArrow(releasing(batches), schema), "scored")
-        table.destroy()
-        pa.default_memory_pool().release_unused()
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = rows.select("row", "doc_id", "lang", "model", "trusted", F.lit(0).cast("long").alias("n_symbols"),
-                          F.lit(None).cast("double").alias("perplexity"))
-    return out
+    floor = round(-math.log(SYMBOLS) * UNIT)
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            models = np.array(batch["model"].to_pylist(), object)
+            sums, sizes = np.zeros(len(models), np.int64), np.zeros(len(models), np.int64)
+            for first, end, data, offsets in text_slices(batch, "text"):
+                codes, at = grams_of(data, offsets)
+                lengths = np.diff(offsets)
+                for name in set(models[first:end]):
+                    mine = np.nonzero((models[first:end] == name) & (lengths > 0))[0]
+                    if not len(mine):
+                        continue
+                    here, place = np.unique(np.concatenate([codes[at[i]:at[i] + lengths[i] + 1] for i in mine]), return_inverse=True)
+                    begins = np.concatenate([[0], np.cumsum(lengths[mine] + 1)])
+                    keys, values = tables.value[name]
+                    total, missed = np.full(len(here), floor, np.int64), []
+                    for asked in keys_of(here):
+                        where = np.searchsorted(keys, asked)
+                        seen = np.zeros(len(here), bool)
+                        inside = where < len(keys)
+                        seen[inside] = keys[where[inside]] == asked[inside]
+                        total[seen] += values[where[seen]]
+                        missed.append((asked, ~seen))
+                    sizes[first + mine] = lengths[mine] + 1
+                    sums[first + mine] = np.add.reduceat(total[place], begins[:-1])
+                    if asks:
+                        text_of = np.repeat(first + mine, lengths[mine] + 1)
+                        for asked, miss in missed:
+                            at_miss = miss[place]
+                            yield from questions(batch, *_asked(text_of[at_miss], asked[place[at_miss]]))
+            none = pa.nulls(len(models), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch[c] for c in kept), pa.array(sizes), pa.array(sums), none, none], names=[*kept, "n_symbols", "total", "key", "n"]
+            )
+
+    def questions(batch: pa.RecordBatch, text_of: np.ndarray, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        none = pa.nulls(len(keys), pa.int64())
+        if len(keys):
+            which = batch.select(kept).take(pa.array(text_of))
+            yield pa.RecordBatch.from_arrays([*which.columns, none, none, pa.array(keys), pa.array(n)], names=[*kept, "n_symbols", "total", "key", "n"])
+
+    kept = ["row", "doc_id", "lang", "model", "trusted"]
+    out = materialise(rows.mapInArrow(releasing(batches), schema + ", total long, key long, n long"), "scored")
+    tables.destroy()
+    pa.default_memory_pool().release_unused()
+    scores = out.where("key is null").drop("key", "n")
+    if asks:
+        found = lookup(
+            out.where("key is not null").select("row", "model", "key", "n"),
+            rest.select(F.col("lang").alias("model"), "key", "value"), ["model", "key"], "inner",
+        )
+        more = found.groupBy("row").agg(F.sum(F.col("n") * F.col("value")).alias("more"))
+        scores = scores.join(more, "row", "left").withColumn("total", F.col("total") + F.coalesce("more", F.lit(0))).drop("more")
+    ppl = F.when(F.col("n_symbols") > 0, F.exp(-F.col("total") / UNIT / F.col("n_symbols")))
+    scores = scores.withColumn("perplexity", ppl).drop("total")
+    return materialise(scores, "perplexities") if asks else scores
 
 
 def exact_quantiles(scores: DataFrame, quantile: float) -> DataFrame:

@@ -112,7 +112,10 @@ def test_long_lists_tie_no_unlike_texts(spark):
 
 def kneser_ney(texts):
     """ln p of each symbol of a text, by plain loops over dictionaries."""
-    tri = Counter(g for t in texts for g in zip(t, t[1:], t[2:]))
+    size = quality.ORDER
+    counts = [Counter(g for t in texts for g in zip(*(t[k:] for k in range(size))))]
+    for _ in range(size - 1):
+        counts.append(Counter(g[1:] for g in counts[-1]))
 
     def level(counts):
         of = Counter(counts.values())
@@ -130,24 +133,27 @@ def kneser_ney(texts):
             else ((counts[g] - d[min(counts[g], 3) - 1] if counts[g] else 0) + off[g[:-1]] * low) / total[g[:-1]]
         )
 
-    two = Counter(g[1:] for g in tri)
-    one = Counter(g[1:] for g in two)
-    p3, p2, p1 = level(tri), level(two), level(one)
-    return lambda t: [math.log(p3(g, p2(g[1:], p1(g[2:], 1 / quality.SYMBOLS)))) for g in zip(t, t[1:], t[2:])]
+    levels = [level(c) for c in counts]
 
+    def p(g, order=0):
+        return 1 / quality.SYMBOLS if order == size else levels[order](g, p(g[1:], order + 1))
 
-def test_perplexity_equals_a_plain_loop(spark):
+    return lambda t: [math.log(p(g)) for g in zip(*(t[k:] for k in range(size)))]
+
+
+@pytest.mark.parametrize("hot", [quality.HOT, 2000, 0])
+def test_perplexity_equals_a_plain_loop(spark, hot):
     sf = "/root/testdata/sf0.01"
     docs = table(spark, sf, "documents").where("lang = 'de' and length(text) < 900 and text <> ''").limit(150)
     docs = materialise(docs, "some")
     ids = table(spark, sf, "labels").where("quality = 1 and doc_id % 2 = 0").select("doc_id")
-    rows = quality.scored(docs, ids).collect()
+    rows = quality.scored(docs, ids, hot=hot).collect()
     trusted = {r.doc_id for r in rows if r.trusted}
     half = {r.doc_id: (r.half, r.text) for r in docs.select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(2)).alias("half")).collect()}
 
     def symbols(text):
         end = quality.LINE_END
-        return [end, end, *quality._SYMBOL[np.frombuffer(text.encode(), np.uint8)].tolist(), end]
+        return [end] * (quality.ORDER - 1) + [*quality._SYMBOL[np.frombuffer(text.encode(), np.uint8)].tolist(), end]
 
     known = {h: [symbols(t) for i, (x, t) in half.items() if i in trusted and x == h] for h in (0, 1)}
     assert known[0] and known[1]

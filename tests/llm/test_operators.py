@@ -455,10 +455,19 @@ def test_a_language_with_few_trusted_texts_keeps_its_clean_documents(spark):
 
 def test_model_is_a_distribution(spark):
     texts = spark.createDataFrame([("x", t) for t in ("aba abc abcab", "bca cab ab", "hello there")], "lang string, text string")
-    logp = quality.dense(quality.model(quality.counted(texts)), ["x", "unknown"])
-    for table_ in logp.values():
-        sums = np.exp(table_.reshape(-1, quality.SYMBOLS).astype(float)).sum(axis=1)
-        assert abs(sums - 1).max() < 1e-4
+    value = {r.key: r.value / quality.UNIT for r in quality.model(quality.counted(texts)).collect()}
+    symbols = np.arange(quality.SYMBOLS, dtype=np.int64)
+    for ctx in (b"\n\n\n", b"aba", b"cab", b"zzz", b"zab", b"zza", b" he"):
+        grams = int.from_bytes(ctx, "big") << 8 | symbols
+        logs = sum(np.array([value.get(k, 0.0) for k in keys.tolist()]) for keys in quality.keys_of(grams))
+        assert abs(np.exp(logs).sum() / quality.SYMBOLS - 1) < 1e-4
+
+
+def test_where_the_cut_falls_changes_no_perplexity(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, ids = table(spark, sf, "documents"), quality.trusted_ids(table(spark, sf, "labels"))
+    found = [sorted(map(tuple, quality.scored(docs, ids, hot=hot).select("doc_id", "model", "perplexity").collect())) for hot in (quality.HOT, 500, 0)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == docs.count()
 
 
 def test_quality_of_odd_rows(spark, edge):
