@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from keystride.llm.common import give_back
+
 #: About 100 MB of a worker's memory.
 KEPT_PIECES = 400_000
 END = 1
@@ -42,8 +44,8 @@ class PieceEncoder:
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         out = []
-        for i in range(0, len(pieces), 20_000):
-            some = pieces[i:i + 20_000]
+        for i in range(0, len(pieces), 5_000):
+            some = pieces[i:i + 5_000]
             if self.mark is None:
                 out += self._each(some)
                 continue
@@ -141,7 +143,7 @@ def worker_encoder(path: str, space_opens: bool, lower: bool) -> PieceEncoder:
     return kept[key]
 
 
-def slices(lengths: list[int], most: int = 4 << 20) -> list[tuple[int, int]]:
+def slices(lengths: list[int], most: int = 1 << 20) -> list[tuple[int, int]]:
     """Runs of texts of at most `most` characters, or single texts."""
     out, first, held = [], 0, 0
     for i, n in enumerate(lengths):
@@ -163,3 +165,5 @@ def documents_ids(encoder: PieceEncoder, texts: pa.Array):
         for stop in ends.tolist():
             yield np.append(ids[start:stop], np.uint32(END))
             start = stop
+        del ids
+        give_back()
