@@ -81,13 +81,6 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 Batches = Iterator[pa.RecordBatch]
 
 
-def give_back() -> None:
-    """Gives memory that this process has freed back to the system."""
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
-
-
 def releasing(kernel: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     """`kernel` of mapInArrow, giving free memory back at its end: workers outlive their tasks."""
 
@@ -96,7 +89,9 @@ def releasing(kernel: Callable[[Batches], Batches]) -> Callable[[Batches], Batch
         try:
             yield from kernel(found)
         finally:
-            give_back()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
 
     return run
 
