@@ -16,7 +16,7 @@ from keystride.plans import (
     detector, feature_build, iforest, monitoring, refresh, registry, retraining, risk, scoring, training, vectors,
 )
 from keystride.plans import session_features as features
-from keystride.session import materialise, new_path
+from keystride.session import materialise, new_path, rocksdb_state
 from keystride.sources import browser, feature_store, payloads, sample
 from keystride.streaming import ingest
 from keystride.streaming import sessions as session_streams
@@ -707,7 +707,9 @@ def stream_state_features(spark, sf_dir):
     """Key and mouse features of closed sessions, from the stream's own state."""
     out = new_path(spark, "closed")
     found = stateful.session_state_features(sample.event_stream(spark, sf_dir), 6 * 3600, "1 hour")
-    ingest.start(found.writeStream.format("parquet").option("path", out), new_path(spark, "stream")).awaitTermination()
+    with rocksdb_state(spark):
+        running = ingest.start(found.writeStream.format("parquet").option("path", out), new_path(spark, "stream"))
+    running.awaitTermination()
     return spark.read.schema(stateful.CLOSED).parquet(out).withColumns({
         "session_start": F.unix_micros("session_start"), "last_event": F.unix_micros("last_event")
     })

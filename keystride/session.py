@@ -2,9 +2,12 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -17,7 +20,7 @@ def build(master: str | None = None, shuffle_partitions: int | None = None) -> S
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # Stream state on local disk with its log in the checkpoint, not on the heap.
-        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        .config(PROVIDER, ROCKSDB)
         .config(
             "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"
         )
@@ -32,6 +35,20 @@ def build(master: str | None = None, shuffle_partitions: int | None = None) -> S
     return builder.getOrCreate()
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, whatever the session's setting.
+
+    A stream takes the setting when it starts, and a restarted one from its checkpoint.
+    """
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir.
 

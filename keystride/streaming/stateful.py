@@ -186,7 +186,7 @@ _NO_CODE = -(2**63)
 def session_state_features(events: DataFrame, gap_seconds: float, delay: str) -> DataFrame:
     """One row (CLOSED) for each session that ended: keystroke and mouse features, as the batch operators give them.
 
-    Needs the RocksDB state store (see session.build).
+    Needs the RocksDB state store: start the stream within `session.rocksdb_state`.
     """
     rows = events.where("session_id is not null and event_time is not null").select(
         "session_id", "event_time", F.unix_micros("event_time").alias("at"), "t", "pos", "lane", "kind", F.col("key_code").cast("long").alias("key_code"), "x", "y"

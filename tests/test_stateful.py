@@ -3,11 +3,15 @@
 import random
 
 import pytest
+from compare import compare, connect
 from pyspark.sql import functions as F
 
 from keystride import schema as S
+from keystride import session
 from keystride.operators.sessions import gap_sessions
+from keystride.oracles import ORACLES
 from keystride.plans.session_features import keystroke_features, mouse_features
+from keystride.queries import QUERIES
 from keystride.session import new_path
 from keystride.streaming import ingest, stateful
 
@@ -105,3 +109,17 @@ def test_session_without_keys_or_moves(spark):
     frame(spark, rows + [(None, 0, 1.0, "click", "click", None, 1.0, 1.0)]).coalesce(1).write.parquet(path)
     got = streamed(spark, path, new_path(spark, "o"), new_path(spark, "c"))
     assert got == [("a", 1_000_000, 1, (None,) * 11), ("b", 1_000_000, 1, (None,) * 11)]
+
+
+@pytest.fixture
+def plain(spark):
+    """The session as others build it: stream state on the heap, which cannot hold a stateful processor's variables."""
+    before = spark.conf.get(session.PROVIDER)
+    spark.conf.set(session.PROVIDER, before.replace("RocksDB", "HDFSBacked"))
+    yield spark
+    spark.conf.set(session.PROVIDER, before)
+
+
+def test_state_query_needs_no_setting_of_the_session(plain, sf):
+    assert compare(QUERIES["stream_state_features"](plain, sf), connect(sf), ORACLES["stream_state_features"]) > 0
+    assert "HDFSBacked" in plain.conf.get(session.PROVIDER)
