@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from keystride.plans import registry
-from keystride.session import discard, materialise
+from keystride.session import discard, materialise, rocksdb_state
 from keystride.streaming.ingest import start
 
 
@@ -120,7 +120,8 @@ def score_stream(
     def process(batch: DataFrame, batch_id: int) -> None:
         score(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return start(rows.writeStream.foreachBatch(process), checkpoint, continuous)
+    with rocksdb_state(rows.sparkSession):
+        return start(rows.writeStream.foreachBatch(process), checkpoint, continuous)
 
 
 def score_with_current(
@@ -152,4 +153,5 @@ def score_with_current(
         scored = score(loaded[version], batch).withColumn("model_version", F.lit(version))
         scored.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return start(rows.writeStream.foreachBatch(process), checkpoint, continuous)
+    with rocksdb_state(rows.sparkSession):
+        return start(rows.writeStream.foreachBatch(process), checkpoint, continuous)

@@ -123,3 +123,7 @@ def plain(spark):
 def test_state_query_needs_no_setting_of_the_session(plain, sf):
     assert compare(QUERIES["stream_state_features"](plain, sf), connect(sf), ORACLES["stream_state_features"]) > 0
     assert "HDFSBacked" in plain.conf.get(session.PROVIDER)
+
+
+def test_scoring_query_needs_no_setting_of_the_session(plain, sf):
+    assert compare(QUERIES["stream_scoring"](plain, sf), connect(sf), ORACLES["stream_scoring"]) > 0
