@@ -11,20 +11,19 @@ and linked with nothing). Documents are linked when the sets' Jaccard similarity
    COORDINATES - MATCHES + 1 rarest of each: only these prefixes are joined, and values that one class
    alone has use up places of the prefix without being posted.
 3. Lists of up to LIST classes give pairs, whose collisions are counted on the signatures; pairs
-   above the threshold are kept. In a longer list each class is compared with the least one: those
-   that differ from it in at most NEAR coordinates leave the list, and those that differ in at most
-   COORDINATES - MATCHES + NEAR, among which all partners of those that leave must be, are tied to
-   it. What remains is split by a second shared value, the rarest within the list first, with a prefix
-   as in 2 over the values that not all of the list have; a list whose classes all have MATCHES values is
-   tied to its least class. Parts that are still long are treated alike until none is.
+   above the threshold are kept. The classes of longer lists are posted anew under BANDS keys, each the hash of
+   BAND coordinates, and short lists of these give pairs alike. In a long one each class is compared with the least
+   one: those that differ from it in at most COORDINATES - MATCHES + NEAR coordinates are tied to it, among them all
+   partners of those that differ in at most NEAR. If some differ more, all that differ in more than NEAR meet in
+   pairs of blocks of LIST_ROWS, which give pairs above the threshold that span all such pairs.
 4. Components of what is kept are the families that can contain links.
 5. The full sets of each family meet once: in one group if it is small, otherwise in pairs of blocks
    of bounded size, only between neighbouring size classes. Intersections are matrix products over
    slices of the vocabulary; a group gives links that span its links, not all pairs.
 6. Components of the links, named by the least doc_id.
 
-A pair at exactly 0.8 has fewer than 36 of 64 matches with a probability of about 1e-5, and a more
-similar pair with much less; no other step loses a link, and none has a cap.
+A pair at exactly 0.8 has fewer than 36 of 64 matches with a probability of about 1e-5, and shares no band with
+one of 3e-7, and a more similar pair with much less; no other step loses a link, and none has a cap.
 
 Null text is empty. A null doc_id is never the least unless alone. Rows of one doc_id are separate
 documents with equal answers if their texts are equal. An empty table gives an empty result; other
@@ -49,8 +48,11 @@ COORDINATES = 64
 MATCHES = 36
 PERCENT = 80
 WIDTH = 2
-LIST = 64
+LIST = 8
 NEAR = 18
+BAND = 3
+BANDS = COORDINATES // BAND
+LIST_ROWS = 128
 FAMILY_ROWS = 128
 BLOCK_SHINGLES = 1 << 20
 #: Wider than the ratio of linked sizes (1.25), so that linked classes are neighbours.
@@ -171,59 +173,57 @@ def agreeing(one: str, other: str) -> Column:
     return F.size(F.filter(F.zip_with(one, other, lambda x, y: x == y), lambda same: same))
 
 
+def banded(sigs: DataFrame) -> DataFrame:
+    """(key, node): the BANDS keys of each class."""
+    keys = [F.xxhash64(F.lit(k), F.slice("sig", k * BAND + 1, BAND)) for k in range(BANDS)]
+    return sigs.select("node", F.explode(F.array(*keys)).alias("key")).select("key", "node")
+
+
 def candidates(sigs: DataFrame, postings: DataFrame, percent: int = PERCENT, matches: int = MATCHES, most: int = LIST) -> DataFrame:
     """(a, b) to be confirmed: pairs above the match threshold, and ties that lead from one class of
     such a pair to the other."""
-    short, ties = [], []
-    # A list's key stands for the values that its classes share, in any order.
-    members = postings.select(F.xxhash64("value").alias("key"), "node")
-    while True:
-        lists = materialise(
-            members.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("least")).where("members > 1"), "lists"
-        )
-        few = members.join(lists.where(F.col("members") <= most).select("key"), "key")
-        short.append(materialise(few.join(sigs.select("node", "n"), "node").select("key", "node", "n"), "short-lists"))
-        long = lists.where(F.col("members") > most)
-        if long.isEmpty():
-            break
-        least = long.join(sigs.select(F.col("node").alias("least"), F.col("sig").alias("least_sig")), "least")
-        met = members.join(least, "key").join(sigs.select("node", "n", "sig"), "node")
-        met = materialise(met.select("key", "least", "node", "n", "sig", (COORDINATES - agreeing("sig", "least_sig")).alias("apart")), "long-lists")
-        tied = met.where((F.col("node") != F.col("least")) & (F.col("apart") <= COORDINATES - matches + NEAR))
-        ties.append(tied.select(F.col("least").alias("a"), F.col("node").alias("b")))
-        rest = met.where(F.col("apart") > NEAR).select("key", "node", "n", "sig")
-        sizes = materialise(rest.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("least")).where("members > 1"), "rests")
-        few = rest.join(sizes.where(F.col("members") <= most).select("key"), "key")
-        short.append(materialise(few.select("key", "node", "n"), "short-lists"))
-        members, alike = split(rest.join(sizes.where(F.col("members") > most), "key"), matches)
-        ties.append(alike)
-    short = reduce(DataFrame.union, short)
+    counts = materialise(postings.groupBy("value").agg(F.count("*").alias("members")).where("members > 1"), "lists")
+    few = postings.join(counts.where(F.col("members") <= most).select("value"), "value").select(F.col("value").alias("key"), "node")
+    crowded = postings.join(counts.where(F.col("members") > most).select("value"), "value").select("node").distinct()
+    keys = materialise(banded(sigs.join(crowded, "node")), "bands")
+    lists = materialise(keys.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("least")).where("members > 1"), "lists")
+    short = few.union(keys.join(lists.where(F.col("members") <= most).select("key"), "key").select("key", "node"))
+    short = materialise(short.join(sigs.select("node", "n"), "node").select("key", "node", "n"), "short-lists")
+    least = lists.where(F.col("members") > most).join(sigs.select(F.col("node").alias("least"), F.col("sig").alias("least_sig")), "least")
+    met = keys.join(least, "key").join(sigs.select("node", "sig"), "node")
+    met = materialise(met.select("key", "least", "node", (COORDINATES - agreeing("sig", "least_sig")).alias("apart")), "long-lists")
+    within = COORDINATES - matches + NEAR
+    ties = met.where((F.col("node") != F.col("least")) & (F.col("apart") <= within)).select(F.col("least").alias("a"), F.col("node").alias("b"))
+    wide = met.where(F.col("apart") > within).select("key").distinct()
+    rest = materialise(met.where(F.col("apart") > NEAR).join(wide, "key", "left_semi").select("key", "node"), "rests")
     left = short.select("key", F.col("node").alias("a"), F.col("n").alias("na"))
     right = short.select("key", F.col("node").alias("b"), F.col("n").alias("nb"))
     near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
     pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
     one, other = (sigs.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
     alike = pairs.join(one, "a").join(other, "b").where(agreeing("sig_a", "sig_b") >= matches).select("a", "b")
-    return reduce(DataFrame.union, ties, alike)
-
-
-def split(lists: DataFrame, matches: int = MATCHES) -> tuple[DataFrame, DataFrame]:
-    """Members (key, node) of smaller lists in which any two classes of a list (key, members, least,
-    node, sig) that agree in `matches` coordinates meet, and ties (a, b) of lists that are alike."""
-    values = lists.select("key", "members", "least", "node", F.explode("sig").alias("value"))
-    counts = values.groupBy("key", "value").agg(F.count("*").alias("n")).where("n > 1")
-    # A value that all of a list have parts nothing. At most COORDINATES values for each class.
-    held = values.join(counts, ["key", "value"]).groupBy("key", "least", "node").agg(
-        F.sort_array(F.collect_list(F.when(F.col("n") < F.col("members"), F.struct("n", "value")))).alias("v"),
-        F.count_if(F.col("n") == F.col("members")).alias("common"), F.count("*").alias("shared"),
-    )
-    held = materialise(held, "shared-values")
-    alike = held.where((F.col("common") >= matches) & (F.col("node") != F.col("least")))
-    places = (COORDINATES - matches + 1) - (COORDINATES - F.col("shared"))
-    parts = held.where((F.col("common") < matches) & (places > 0))
-    parts = parts.select("key", "node", F.explode(F.slice("v", F.lit(1), places.cast("int"))).alias("p"))
-    parts = parts.select(F.col("key").bitwiseXOR(F.xxhash64("p.value")).alias("key"), "node").distinct()
-    return materialise(parts, "parts"), alike.select(F.col("least").alias("a"), F.col("node").alias("b"))
+    return reduce(DataFrame.union, [ties, blockwise(sigs, rest, matches)], alike)
+
+
+def blockwise(sigs: DataFrame, lists: DataFrame, matches: int = MATCHES) -> DataFrame:
+    """(a, b): of the lists (key, node), pairs above the match threshold that span all such pairs."""
+    parts = lists.groupBy("key").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    met = lists.join(parts, "key").select("key", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+    met = met.select("key", F.least("own", "k").alias("low"), F.greatest("own", "k").alias("high"), "node")
+
+    def pairs(group: pa.Table) -> pa.Table:
+        nodes = group["node"].to_numpy()
+        sig = group["sig"].combine_chunks().flatten().to_numpy().reshape(len(nodes), COORDINATES)
+        agreed = np.zeros((len(nodes), len(nodes)), np.int16)
+        for values in sig.T:
+            agreed += values[:, None] == values[None, :]
+        found = spanning(np.triu(agreed >= matches, 1))
+        return pa.table({
+            "a": pa.array([nodes[i] for i, _ in found], pa.int64()), "b": pa.array([nodes[j] for _, j in found], pa.int64()),
+        })
+
+    return met.join(sigs.select("node", "sig"), "node").groupBy("key", "low", "high").applyInArrow(pairs, "a long, b long")
 
 
 def blocks(family: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -262,6 +262,25 @@ def blocks(family: DataFrame, percent: int = PERCENT) -> DataFrame:
     return rows.withColumn("own", own).select("node", "root", "row", F.concat(inside, up, down).alias("groups"))
 
 
+def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs marked in a matrix that join all numbers which marked pairs join."""
+    parent = list(range(len(linked)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(linked))):
+        a, b = find(i), find(j)
+        if a != b:
+            parent[a] = b
+            out.append((i, j))
+    return out
+
+
 def spanning_links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Pairs of numbers that join all sets which links join, each of them a link."""
     n = len(sets)
@@ -279,22 +298,7 @@ def spanning_links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple
         m[which[a:b], column[a:b] - at] = 1
         both += m @ m.T
     meet = np.rint(both).astype(np.int64)
-    linked = np.triu(100 * meet >= percent * (sizes[:, None] + sizes[None, :] - meet), 1)
-    parent = list(range(n))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for i, j in zip(*(x.tolist() for x in np.nonzero(linked))):
-        a, b = find(i), find(j)
-        if a != b:
-            parent[a] = b
-            out.append((i, j))
-    return out
+    return spanning(np.triu(100 * meet >= percent * (sizes[:, None] + sizes[None, :] - meet), 1))
 
 
 def confirmed(docs: DataFrame, grouped: DataFrame, percent: int, width: int, text: str) -> DataFrame:

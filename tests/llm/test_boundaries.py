@@ -108,6 +108,44 @@ def test_long_lists_tie_no_unlike_texts(spark):
     assert near_dedup.components(pairs).groupBy("root").count().agg(F.max("count")).first()[0] < 100
 
 
+def test_rows_of_a_large_group_grow_with_its_size(spark, monkeypatch):
+    """Near copies of one text, most of them neither close to each other nor far: what candidates write."""
+
+    def written(n):
+        draw, rows = random.Random(9), []
+        base = [f"w{i}" for i in range(120)]
+        texts = [" ".join(f"x{draw.randrange(10 ** 9)}" if draw.random() < 0.09 else w for w in base) for _ in range(n)]
+        docs = materialise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "copies")
+        sigs, _ = near_dedup.classes(near_dedup.signed(stored(docs)))
+        postings = near_dedup.posted(sigs)
+
+        def counted(df, label):
+            found = materialise(df, label)
+            rows.append(found.count())
+            return found
+
+        with monkeypatch.context() as m:
+            m.setattr(near_dedup, "materialise", counted)
+            near_dedup.candidates(sigs, postings).count()
+        return sum(rows)
+
+    small, large = written(150), written(600)
+    assert large <= 5 * small and large <= 100 * 600
+
+
+def test_blocks_of_wide_lists_lose_no_pair(spark, monkeypatch):
+    """A list of more blocks than one, of which no class is near the least: all pairs above the threshold meet."""
+    monkeypatch.setattr(near_dedup, "LIST_ROWS", 7)
+    draw = np.random.default_rng(4)
+    sigs = [draw.integers(0, 1 << 60, near_dedup.COORDINATES) for _ in range(30)]
+    sigs += [np.where(np.arange(near_dedup.COORDINATES) < draw.integers(30, 50), s, draw.integers(0, 1 << 60, near_dedup.COORDINATES)) for s in sigs]
+    agreed = [[int((a == b).sum()) for b in sigs] for a in sigs]
+    expected = {(i, j) for i in range(60) for j in range(i + 1, 60) if agreed[i][j] >= near_dedup.MATCHES}
+    frame = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sigs)], "node long, sig array<long>")
+    found = near_dedup.blockwise(frame, frame.selectExpr("1L as key", "node")).collect()
+    assert expected and {(min(r), max(r)) for r in found} == expected
+
+
 # ---- quality ------------------------------------------------------------------------------
 
 def kneser_ney(texts):
