@@ -87,9 +87,10 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's ids end."""
         if self.lower:
-            # Lower-casing depends on the neighbours of a capital sigma alone.
+            # Lower-casing depends on the neighbours of a capital sigma alone, and gives another order of marks
+            # after a dotted capital I alone, whose dot becomes one.
             texts = [
-                t.lower() if t.isascii() or ("Σ" not in t and unicodedata.is_normalized("NFC", t)) else t
+                t.lower() if t.isascii() or ("Σ" not in t and "İ" not in t and unicodedata.is_normalized("NFC", t)) else t
                 for t in texts
             ]
         if self.space_opens:
