@@ -37,7 +37,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystride.llm.common import BROADCAST_ROWS, ROW_KEY, fresh, in_small_batches, quoted, releasing, row_key, small, stored, text_slices
@@ -241,11 +241,13 @@ def blocks(family: DataFrame, percent: int = PERCENT) -> DataFrame:
     # A class holds as many blocks as its largest sets need.
     need = F.greatest(F.ceil(F.count("*") / FAMILY_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     counts = sized.groupBy("root", "cls").agg(need.alias("blocks"))
-    above = counts.select(F.col("root").alias("r"), (F.col("cls") - 1).alias("c"), F.col("blocks").alias("blocks_above"))
-    below = counts.select(F.col("root").alias("r"), (F.col("cls") + 1).alias("c"), F.col("blocks").alias("blocks_below"))
-    same = lambda x: (counts["root"] == x["r"]) & (counts["cls"] == x["c"])
-    counts = counts.join(above, same(above), "left").drop("r", "c").join(below, same(below), "left").drop("r", "c")
-    rows = sized.join(counts.withColumnsRenamed({"root": "r", "cls": "c"}), (F.col("root") == F.col("r")) & (F.col("cls") == F.col("c")))
+    # A family has no more classes than there are powers of SIZE_BASE.
+    by_size = Window.partitionBy("root").orderBy("cls")
+    counts = counts.withColumns({
+        f"blocks_{name}": F.when(step("cls").over(by_size) == F.col("cls") + k, step("blocks").over(by_size))
+        for name, step, k in (("above", F.lead, 1), ("below", F.lag, -1))
+    })
+    rows = sized.join(counts, ["root", "cls"])
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
 
     def label(cls: Column, block: Column) -> Column:
@@ -340,8 +342,8 @@ def named_components(docs: DataFrame, percent: int, width: int, doc_id: str, tex
     sigs, groups = classes(rows)
     postings = posted(sigs)
     families = components(candidates(sigs, postings, percent))
-    family = families.join(sigs.select("node", "row", "n"), "node")
-    grouped = materialise(blocks(family, percent), "families")
+    family = materialise(families.join(sigs.select("node", "row", "n"), "node"), "families")
+    grouped = materialise(blocks(family, percent), "blocks")
     linked = components(confirmed(docs, grouped, percent, width, text))
     named = groups.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))

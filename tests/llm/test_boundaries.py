@@ -10,8 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keystride.llm import fingerprint, mixing, near_dedup, packing, quality, url_filter
-from keystride.llm.common import stored, table
+from keystride.llm import components, fingerprint, mixing, near_dedup, packing, quality, url_filter
+from keystride.llm.common import ROW_KEY, stored, table
 from keystride.session import materialise
 
 
@@ -133,6 +133,32 @@ def test_rows_of_a_large_group_grow_with_its_size(spark, monkeypatch):
     assert large <= 5 * small and large <= 100 * 600
 
 
+def test_finished_components_take_no_round(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(components, "materialise", lambda df, label: tables.append(label) or materialise(df, label))
+    edges = [(1, 5), (9, 1), (2, 3), (2, 2), (4, 2), (3, 2)]
+    found = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {1: 1, 5: 1, 9: 1, 2: 2, 3: 2, 4: 2} and tables == ["edges", "components"]
+    for edges, done in (([(1, 2), (1, 3)], True), ([(1, 2), (2, 3)], False), ([(1, 3), (2, 3)], False), ([], True)):
+        assert components.stars(spark.createDataFrame(edges, "a long, b long")) == done
+
+
+def test_blocks_meet_their_neighbours_with_few_scans(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "FAMILY_ROWS", 5)
+    draw = np.random.default_rng(5)
+    rows = [(i, i % 3, (0, i), int(draw.integers(30, 90) if i % 3 else draw.choice([20, 90, 140]))) for i in range(120)] + [(500, 9, (0, 500), 7)]
+    family = materialise(spark.createDataFrame(rows, f"node long, root long, row {ROW_KEY}, n long"), "family")
+    groups = near_dedup.blocks(family)
+    found = {r.node: {(r.root, g.low, g.high) for g in r.groups} for r in groups.collect()}
+    assert set(found) == {node for node, *_ in rows}
+    cls = {node: math.floor(math.log(n) / math.log(near_dedup.SIZE_BASE)) for node, _, _, n in rows}
+    for a, root, *_ in rows:
+        for b, other, *_ in rows:
+            meet = root == other and abs(cls[a] - cls[b]) <= 1
+            assert bool(found[a] & found[b]) == meet
+    assert groups._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 4
+
+
 def test_blocks_of_wide_lists_lose_no_pair(spark, monkeypatch):
     """A list of more blocks than one, of which no class is near the least: all pairs above the threshold meet."""
     monkeypatch.setattr(near_dedup, "LIST_ROWS", 7)
